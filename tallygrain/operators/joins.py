@@ -53,7 +53,7 @@ def densify(df: DataFrame, groups: Sequence[str], periods: DataFrame, fill: dict
 
 
 def range_join(
-    points: DataFrame, at: str, ranges: DataFrame, low: str, high: str, cell: int, how: str = "inner"
+    points: DataFrame, at: str, ranges: DataFrame, low: str, high: str, cell: int | Column, how: str = "inner"
 ) -> DataFrame:
     """Pair each point with the closed ranges holding it (integer columns).
 
@@ -67,7 +67,7 @@ def range_join(
     return left.join(by_cell, inside, how).drop(left["_cell"]).drop(by_cell["_cell"])
 
 
-def range_owner(points: DataFrame, at: str, ranges: DataFrame, low: str, high: str, code: str, cell: int) -> DataFrame:
+def range_owner(points: DataFrame, at: str, ranges: DataFrame, low: str, high: str, code: str, cell: int | Column) -> DataFrame:
     """Each id with the ``code`` of the range holding it, the greatest lower bound winning; null without one."""
     ids = points.select(at).distinct()
     owner = range_join(ids, at, ranges, low, high, cell).groupBy(at).agg(F.max_by(code, low).alias(code))

@@ -19,10 +19,11 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 
-def block_of(column: str | Column, width: int) -> Column:
+def block_of(column: str | Column, width: int | Column) -> Column:
     """Number of the ``width``-wide cell that holds an integer value."""
     value = (F.col(column) if isinstance(column, str) else column).cast("long")
-    return ((value - F.pmod(value, F.lit(width).cast("long"))) / width).cast("long")
+    cell = F.lit(width).cast("long")
+    return ((value - F.pmod(value, cell)) / cell).cast("long")
 
 
 def _with_block(df: DataFrame, keys: Sequence[str], blocks: Sequence[Column]) -> DataFrame:
