@@ -106,7 +106,8 @@ def replace_if_version(
     """Replace documents whose version still matches; returns the new table and the rejected changes.
 
     The first matching change of a key raises the version, so later ones of
-    the batch that expect the old version are stale too.
+    the batch that expect the old version are stale too. ``seq`` tells a key's
+    changes apart and holds no nulls.
     """
     targets = [c for c in changes.columns if c not in (key, version, *seq)]
     matching = changes.join(df.select(key, version), [key, version], "left_semi")

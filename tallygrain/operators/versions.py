@@ -30,7 +30,7 @@ def scd2_apply(
     """Set members of a circle; returns the new versions table and the rejected changes.
 
     The first ``allowance`` changes of an owner, in ``seq`` order, are taken and
-    the rest rejected. A taken change closes the open version of its member and
+    the rest rejected; ``seq`` tells an owner's changes apart and holds no nulls. A taken change closes the open version of its member and
     opens a new one at ``seq[0]``; of several to one member each closes the one before.
     """
     taken = first_per(changes, [owner], seq, allowance)

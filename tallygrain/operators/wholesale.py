@@ -27,12 +27,16 @@ def new_orders(
 ) -> dict[str, DataFrame]:
     """A batch of orders ``(batch_id, w_id, d_id, c_id)`` and lines ``(batch_id, ol_number, i_id, supply_w_id, quantity)``.
 
-    An order naming an unknown item is dropped whole. The others get the next
+    An order naming an unknown item, or one its supplier does not stock, is
+    dropped whole. The others get the next
     numbers of their district in ``order``, their lines are priced, and the
     total is ``sum × (1 + taxes) × (1 - discount)`` (taxes in 1/10000, discount
     in 1/100, total in millionths of a cent, exact). Stock follows the refill rule.
     """
-    bad = lines.join(items.select("i_id"), "i_id", "left_anti").select("batch_id").distinct()
+    stocked = stock.select(F.col("s_w_id").alias("supply_w_id"), F.col("s_i_id").alias("i_id"))
+    unknown = lines.join(items.select("i_id"), "i_id", "left_anti").select("batch_id")
+    missing = lines.join(stocked, ["supply_w_id", "i_id"], "left_anti").select("batch_id")
+    bad = unknown.union(missing).distinct()
     good = orders.join(bad, "batch_id", "left_anti")
     numbered = position(good, ["w_id", "d_id"], order, "_n", blocks).join(
         districts.select(F.col("d_w_id").alias("w_id"), "d_id", "d_next_o_id", "w_tax_bp", "d_tax_bp"),
