@@ -7,6 +7,10 @@ MODULES = [
     "relational",
     "changes",
     "documents",
+    "streams",
+    "orders",
+    "scalars",
+    "io",
 ]
 
 
