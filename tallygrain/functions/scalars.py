@@ -60,9 +60,14 @@ def syllable_name(number: str | Column) -> Column:
     return F.concat(*[F.get(table, d.cast("int")) for d in digits])
 
 
+def hash_key(column: str | Column) -> Column:
+    """The first 32 bits of the md5 of a key: the same number in every engine and after every retry."""
+    return F.conv(F.substring(F.md5(_col(column).cast("string")), 1, 8), 16, 10).cast("long")
+
+
 def hash_bucket(column: str | Column, n: int) -> Column:
     """A steady bucket 0..n-1 of a text; null falls in bucket 0."""
-    return F.when(_col(column).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(_col(column)), F.lit(n)).cast("int"))
+    return F.coalesce(F.pmod(hash_key(column), F.lit(n)), F.lit(0)).cast("int")
 
 
 def clamp(column: str | Column, low, high) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallygrain.functions.scalars import hash_key
 from tallygrain.operators.ordered import block_of
 
 
@@ -74,11 +75,6 @@ def range_owner(points: DataFrame, at: str, ranges: DataFrame, low: str, high: s
     return points.join(owner, at, "left")
 
 
-def hash_key(column: str) -> Column:
-    """The first 32 bits of the md5 of a key: the same number in every engine."""
-    return F.conv(F.substring(F.md5(F.col(column).cast("string")), 1, 8), 16, 10).cast("long")
-
-
 def hash_chunks(spark, n: int) -> DataFrame:
     """``n`` contiguous ranges over the 32-bit hash space."""
     width = 2**32 // n

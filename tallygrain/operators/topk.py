@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallygrain.functions.scalars import hash_key
 from tallygrain.operators.windows import first_per
 
 
@@ -28,14 +29,25 @@ def worklist(orders: DataFrame, order: Sequence[str | Column], n: int, *joins: t
     return out
 
 
-def sample_by(df: DataFrame, column: str, fractions: dict, seed: int) -> DataFrame:
-    """Each row kept with its stratum's probability."""
-    return df.sampleBy(column, fractions, seed)
+def sample_by(df: DataFrame, column: str, fractions: dict, key: str, seed: int) -> DataFrame:
+    """Each row kept with its stratum's probability; strata not named are dropped.
+
+    The draw is a hash of ``key`` and the seed, so a task that runs again, or
+    a table laid out in other files, keeps the same rows.
+    """
+    share = F.lit(0.0)
+    for value, fraction in fractions.items():
+        share = F.when(F.col(column) == value, F.lit(float(fraction))).otherwise(share)
+    return df.filter(hash_key(_salted(key, seed)) < share * 2.0**32)
+
+
+def _salted(key: str, seed: int) -> Column:
+    return F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))
 
 
 def _draw_order(key: str, seed: int) -> list[Column]:
     # a hash of the key, not rand(): the same draw after a task is run again
-    return [F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), F.col(key)]
+    return [F.md5(_salted(key, seed)), F.col(key)]
 
 
 def random_n(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:

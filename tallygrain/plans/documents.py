@@ -11,6 +11,7 @@ from tallygrain.functions.scalars import as_array
 from tallygrain.operators import documents, predicates, topk
 from tallygrain.operators.aggregates import collect_chunks, collect_ordered, count_by
 from tallygrain.operators.ordered import block_of
+from tallygrain.plans.relational import SHARE_SQL
 from tallygrain.registry import query
 from tallygrain.shapes import shape
 
@@ -369,12 +370,17 @@ def movie_by_name(spark, sf):
     return predicates.text_prefix_search(movies, "title", "eauo*", _newest(), 16)
 
 
-# rows only: a tenth drawn by Spark's sampler, which has no SQL twin
-@query("movie_browse")
+@query(
+    "movie_browse",
+    f"""with drawn as (select source from (select distinct source from movies) order by md5(source || '|5'), source limit 4)
+        select movie_id, year, source from movies where source in (select source from drawn) and {SHARE_SQL.format(seed=5)} < 0.1""",
+)
 def movie_browse(spark, sf):
     """A tenth of the movies of four drawn genres."""
-    movies = shape(spark, sf, "movies").select("movie_id", "year", "source")
-    return topk.draw_categories(movies, "source", 4, seed=5).sample(0.1, seed=5)
+    movies = shape(spark, sf, "movies").select("movie_id", "year", "source", F.lit("all").alias("_s"))
+    tenth = topk.sample_by(movies, "_s", {"all": 0.1}, "movie_id", seed=5).drop("_s")
+    drawn = topk.random_n(movies.select("source").distinct(), "source", 4, seed=5)
+    return tenth.join(drawn, "source", "left_semi")
 
 
 # --- customer documents ---------------------------------------------------------------------------

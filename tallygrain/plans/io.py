@@ -125,16 +125,33 @@ def table_inventory(spark, sf):
     return tables.inventory({t: shape(spark, sf, t) for t in ALL_TABLES})
 
 
-# rows only: reads the schema of the files, which SQL over the views cannot
-@query("validate_schema")
+SCHEMA_SPEC = {
+    "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double"},
+    "customer": {"c_custkey": "bigint", "c_name": "string", "c_since": "date"},
+    "lineitem": {"l_orderkey": "bigint", "l_quantity": "bigint"},
+    "warehouses": {"warehouse_id": "bigint"},
+}
+
+
+@query(
+    "validate_schema",
+    """with spec(table_name, column_name, kind) as (values
+         ('orders', 'o_orderkey', 'BIGINT'), ('orders', 'o_custkey', 'BIGINT'), ('orders', 'o_totalprice', 'DOUBLE'),
+         ('customer', 'c_custkey', 'BIGINT'), ('customer', 'c_name', 'VARCHAR'), ('customer', 'c_since', 'DATE'),
+         ('lineitem', 'l_orderkey', 'BIGINT'), ('lineitem', 'l_quantity', 'BIGINT'), ('warehouses', 'warehouse_id', 'BIGINT')),
+       present as (select distinct table_name, column_name, data_type from information_schema.columns),
+       r as (select s.table_name, count(*) as expected, count(*) filter (where p.data_type = s.kind) as valid_columns,
+                    count(*) filter (where p.column_name is null) as missing_columns
+             from spec s left join present p using (table_name, column_name) group by 1)
+       select table_name, case when not exists (select 1 from present p where p.table_name = r.table_name) then 'missing'
+                               when valid_columns = expected then 'valid' else 'invalid' end as state,
+              valid_columns, expected - valid_columns - missing_columns as wrong_columns, missing_columns,
+              case table_name when 'orders' then (select count(*) from orders) when 'customer' then (select count(*) from customer)
+                   when 'lineitem' then (select count(*) from lineitem) else 0 end as row_count
+       from r""",
+)
 def validate_schema(spark, sf):
-    spec = {
-        "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double"},
-        "customer": {"c_custkey": "bigint", "c_name": "string", "c_since": "date"},
-        "lineitem": {"l_orderkey": "bigint", "l_quantity": "bigint"},
-        "warehouses": {"warehouse_id": "bigint"},
-    }
-    return tables.validate({t: shape(spark, sf, t) for t in ("orders", "customer", "lineitem")}, spec)
+    return tables.validate({t: shape(spark, sf, t) for t in ("orders", "customer", "lineitem")}, SCHEMA_SPEC)
 
 
 # --- documents --------------------------------------------------------------------------------

@@ -700,11 +700,18 @@ def bounded_browse(spark, sf):
     return topk.browse(orders, ["customer_id"], [F.desc("order_date"), "order_id"], 4, out="n").drop("order_date")
 
 
-# rows only: Spark's sampler has no SQL twin that draws the same rows
-@query("bernoulli_sample")
+# the first 32 bits of a key's md5 as a share of the hash space
+SHARE_SQL = "cast('0x' || substr(md5(cast(movie_id as varchar) || '|{seed}'), 1, 8) as bigint) / 4294967296.0::double"
+
+
+@query(
+    "bernoulli_sample",
+    f"""select movie_id, lang, year from movies
+        where {SHARE_SQL.format(seed=11)} < case lang when 'en' then 0.1 when 'de' then 0.2 when 'es' then 0.1 else 0 end""",
+)
 def bernoulli_sample(spark, sf):
     movies = shape(spark, sf, "movies").select("movie_id", "lang", "year")
-    return topk.sample_by(movies, "lang", {"en": 0.1, "de": 0.1, "es": 0.1, "fr": 0.1}, seed=11)
+    return topk.sample_by(movies, "lang", {"en": 0.1, "de": 0.2, "es": 0.1}, "movie_id", seed=11)
 
 
 @query(

@@ -13,17 +13,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrain.functions.scalars import calendar, money_text, month_desc, quarter_desc, units
+from tallygrain.functions.scalars import calendar, money_text, units
 from tallygrain.operators import aggregates, joins, windows
 from tallygrain.registry import query
 from tallygrain.shapes import shape
 
 
-def by_customer(sales: DataFrame, keys: dict[str, Column]) -> DataFrame:
+def named(columns: dict[str, str]) -> list[Column]:
+    """SQL expressions as named columns."""
+    return [F.expr(text).alias(name) for name, text in columns.items()]
+
+
+def by_customer(sales: DataFrame, keys: dict[str, str]) -> DataFrame:
     """Sales summed per customer and the given columns."""
-    return sales.groupBy("cust_id", *[c.alias(n) for n, c in keys.items()]).agg(
-        F.sum("amount_cents").alias("cents")
-    )
+    return sales.groupBy("cust_id", *named(keys)).agg(F.sum("amount_cents").alias("cents"))
 
 
 def with_country(df: DataFrame, customers: DataFrame, countries: DataFrame) -> DataFrame:
@@ -35,9 +38,10 @@ def _load(spark, sf, *names):
     return [shape(spark, sf, n) for n in names]
 
 
-YEAR_WEEK = {"calendar_year": F.year("time_id"), "calendar_week_number": F.weekofyear("time_id")}
-MONTH = {"calendar_month_desc": month_desc("time_id")}
-WEEK = {"calendar_week_number": F.weekofyear("time_id")}
+WEEK = {"calendar_week_number": "weekofyear(time_id)"}
+YEAR_WEEK = {"calendar_year": "year(time_id)", **WEEK}
+MONTH = {"calendar_month_desc": "date_format(time_id, 'yyyy-MM')"}
+QUARTER = {"calendar_quarter_desc": "concat(year(time_id), '-Q', quarter(time_id))"}
 
 
 # --- year over year ----------------------------------------------------------
@@ -50,8 +54,8 @@ def year_over_year(
     weekly = calendar(
         sales.groupBy("prod_id", "time_id").agg(F.sum("amount_cents").alias("cents")), "time_id"
     ).filter(F.col("calendar_year").isin(years) & week)
-    named = weekly.join(products.select("prod_id", "prod_name"), "prod_id")
-    measured = aggregates.group_sum(named, ["prod_name", "calendar_year", "calendar_week_number"], "cents", "cents")
+    by_name = weekly.join(products.select("prod_id", "prod_name"), "prod_id")
+    measured = aggregates.group_sum(by_name, ["prod_name", "calendar_year", "calendar_week_number"], "cents", "cents")
     periods = times.filter(F.col("calendar_year").isin(years) & week).select("calendar_year", "calendar_week_number")
     dense = joins.densify(measured, ["prod_name"], periods, {"cents": 0})
     ytd = windows.running_sum(dense, ["prod_name", "calendar_year"], "calendar_week_number", "cents", "ytd")
@@ -116,11 +120,9 @@ def sh_product_monthly_rollup(spark, sf):
     """Rollup of year, week and product name."""
     sales, products = _load(spark, sf, "sales", "products")
     keys = ["calendar_year", "calendar_week_number"]
-    leaves = sales.groupBy("prod_id", *[c.alias(n) for n, c in YEAR_WEEK.items()]).agg(
-        F.sum("amount_cents").alias("cents")
-    )
-    named = joins.star_join(leaves, [(products.select("prod_id", "prod_name"), "prod_id")])
-    return aggregates.rollup_sum(named, [*keys, "prod_name"], "cents", "cents").select(
+    leaves = sales.groupBy("prod_id", *named(YEAR_WEEK)).agg(F.sum("amount_cents").alias("cents"))
+    by_name = joins.star_join(leaves, [(products.select("prod_id", "prod_name"), "prod_id")])
+    return aggregates.rollup_sum(by_name, [*keys, "prod_name"], "cents", "cents").select(
         *keys, "prod_name", units("cents").alias("amount_sold"), "level"
     )
 
@@ -147,10 +149,9 @@ def sh_product_rollup(spark, sf):
     )
 
 
-def channel_country_leaves(sales, customers, countries, channels, period: dict[str, Column]) -> DataFrame:
-    leaves = by_customer(sales, {"channel_id": F.col("channel_id"), **period})
-    named = joins.star_join(with_country(leaves, customers, countries), [(channels, "channel_id")])
-    return named
+def channel_country_leaves(sales, customers, countries, channels, period: dict[str, str]) -> DataFrame:
+    leaves = by_customer(sales, {"channel_id": "channel_id", **period})
+    return joins.star_join(with_country(leaves, customers, countries), [(channels, "channel_id")])
 
 
 def _level_report(agg, spark, sf, period, *, filters: Column | None = None):
@@ -227,7 +228,7 @@ def sh_sales_by_country_year(spark, sf):
     )
 
 
-def _country_sums(spark, sf, period: dict[str, Column]) -> DataFrame:
+def _country_sums(spark, sf, period: dict[str, str]) -> DataFrame:
     sales, customers, countries = _load(spark, sf, "sales", "customers", "countries")
     located = with_country(by_customer(sales, period), customers, countries)
     keys = [*period, "country_name"]
@@ -283,7 +284,7 @@ def sh_moving_average(spark, sf):
     )
 
 
-def top_customers(sales: DataFrame, customers: DataFrame, period: dict[str, Column], k: int) -> DataFrame:
+def top_customers(sales: DataFrame, customers: DataFrame, period: dict[str, str], k: int) -> DataFrame:
     """The best ``k`` customers of every period; names are joined to the ranked few."""
     ranked = windows.topk_enrich(by_customer(sales, period), list(period), "cents", k, customers, "cust_id")
     return ranked.select(
@@ -303,9 +304,7 @@ from ranked join customers using (cust_id) where rank < 16"""
 @query("sh_top_quarter", _top_sql("calendar_quarter_desc"))
 def sh_top_quarter(spark, sf):
     """Top 15 customers of each quarter, ties kept."""
-    return top_customers(
-        *_load(spark, sf, "sales", "customers"), {"calendar_quarter_desc": quarter_desc("time_id")}, 15
-    )
+    return top_customers(*_load(spark, sf, "sales", "customers"), QUARTER, 15)
 
 
 @query("sh_top_week", _top_sql("calendar_year, calendar_week_number"))
