@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallygrain.operators.ordered import position
 from tallygrain.operators.windows import earliest_per, first_per, latest_per
+from tallygrain.session import written
 
 
 def append(df: DataFrame, new: DataFrame) -> DataFrame:
@@ -149,7 +150,7 @@ def add_preferred(
 
 def add_customers(tables: dict[str, DataFrame], new: DataFrame, key: str) -> dict[str, DataFrame]:
     """Customer, address, card and first logon of each new person, all under one new id."""
-    people = assign_ids(new, tables["customers"], "customer_id", key)
+    people = written(assign_ids(new, tables["customers"], "customer_id", key), "people")
     rows = {
         "customers": people.select("customer_id", F.col(key).alias("name")),
         "addresses": people.select(F.col("customer_id").alias("address_id"), "customer_id", "country"),
@@ -192,6 +193,8 @@ def process_orders(orders: DataFrame, n: int, open_status: int, new_status: int)
         ["order_date", "order_id"],
         n,
     )
+    # a short list: written, so that the orders need not be shuffled to meet it
+    work = written(work, "work")
     changes = work.select("order_id", F.lit(new_status).alias("order_status"))
     return apply_update(orders, changes, ["order_id"], ["order_status"])
 

@@ -39,6 +39,21 @@ def with_related(df: DataFrame, other: DataFrame, on: Sequence[str], aggs: dict[
     return out
 
 
+def left_join(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join that stays even when one key of ``other`` holds a large share of its rows.
+
+    Spark can split a skewed right side of an inner join, not of an outer one:
+    so the matches come from an inner join and the rest from an anti join.
+    """
+    alone = df.join(other.select(*on).distinct(), list(on), "left_anti")
+    return df.join(other, list(on)).unionByName(alone, allowMissingColumns=True)
+
+
+def with_details(short: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a short list to a large table: the table is first cut down to the list's keys where it lies."""
+    return short.join(semi(other, short, on), list(on), how)
+
+
 def densify(df: DataFrame, groups: Sequence[str], periods: DataFrame, fill: dict[str, object]) -> DataFrame:
     """Every group of ``df`` × every row of ``periods``, missing measures filled.
 

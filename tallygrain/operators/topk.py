@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrain.functions.scalars import hash_key
+from tallygrain.operators.joins import with_details
 from tallygrain.operators.windows import first_per
 
 
@@ -21,11 +22,11 @@ def browse(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n:
     return first_per(df, keys, order, n, out)
 
 
-def worklist(orders: DataFrame, order: Sequence[str | Column], n: int, *joins: tuple[DataFrame, str, str]) -> DataFrame:
+def worklist(orders: DataFrame, order: Sequence[str | Column], n: int, *details: tuple[DataFrame, str, str]) -> DataFrame:
     """A bounded work list joined to its details: limit before join."""
     out = orders.orderBy(*order).limit(n)
-    for other, on, how in joins:
-        out = out.join(other, on, how)
+    for other, on, how in details:
+        out = with_details(out, other, [on], how)
     return out
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tallygrain.functions.scalars import stock_after
 from tallygrain.operators.changes import apply_delete, apply_increment, append
 from tallygrain.operators.ordered import position
-from tallygrain.operators.windows import earliest_per, first_per
+from tallygrain.operators.windows import earliest_per, first_per, latest_per
+from tallygrain.session import written
 
 MAX_LINE = 81  # largest line quantity for which the stock rule is free of line order
 
@@ -25,47 +26,53 @@ def new_orders(
     order: Sequence[str],
     blocks: Sequence[Column],
 ) -> dict[str, DataFrame]:
-    """A batch of orders ``(batch_id, w_id, d_id, c_id)`` and lines ``(batch_id, ol_number, i_id, supply_w_id, quantity)``.
+    """A batch of orders ``(batch_id, w_id, d_id, c_id)`` and lines
+    ``(batch_id, w_id, ol_number, i_id, supply_w_id, quantity)``.
 
     An order naming an unknown item, or one its supplier does not stock, is
-    dropped whole. The others get the next
-    numbers of their district in ``order``, their lines are priced, and the
-    total is ``sum × (1 + taxes) × (1 - discount)`` (taxes in 1/10000, discount
-    in 1/100, total in millionths of a cent, exact). Stock follows the refill rule.
+    dropped whole. The others get the next numbers of their district in
+    ``order``, their lines are priced, and the total is
+    ``sum × (1 + taxes) × (1 - discount)`` (taxes in 1/10000, discount in
+    1/100, total in millionths of a cent, exact). Stock follows the refill rule.
     """
-    stocked = stock.select(F.col("s_w_id").alias("supply_w_id"), F.col("s_i_id").alias("i_id"))
-    unknown = lines.join(items.select("i_id"), "i_id", "left_anti").select("batch_id")
-    missing = lines.join(stocked, ["supply_w_id", "i_id"], "left_anti").select("batch_id")
-    bad = unknown.union(missing).distinct()
-    good = orders.join(bad, "batch_id", "left_anti")
-    numbered = position(good, ["w_id", "d_id"], order, "_n", blocks).join(
-        districts.select(F.col("d_w_id").alias("w_id"), "d_id", "d_next_o_id", "w_tax_bp", "d_tax_bp"),
-        ["w_id", "d_id"],
-    ).withColumn("o_id", F.col("d_next_o_id") + F.col("_n") - 1)
-
+    stocked = stock.select(F.col("s_w_id").alias("supply_w_id"), F.col("s_i_id").alias("i_id"), F.lit(True).alias("_stocked"))
     priced = (
-        lines.join(bad, "batch_id", "left_anti")
-        .join(items.select("i_id", "i_price_cents"), "i_id")
-        .withColumn("ol_cents", F.col("quantity") * F.col("i_price_cents"))
+        lines.join(items.select("i_id", "i_price_cents"), "i_id", "left")
+        .join(stocked, ["supply_w_id", "i_id"], "left")
+        .select(
+            "batch_id", "ol_number", "i_id", "supply_w_id", "quantity",
+            (F.col("quantity") * F.col("i_price_cents")).alias("ol_cents"),
+            (F.col("supply_w_id") != F.col("w_id")).cast("long").alias("remote"),
+            (F.col("i_price_cents").isNull() | F.col("_stocked").isNull()).alias("_bad"),
+        )
     )
-    homes = orders.select("batch_id", "w_id")
-    located = priced.join(homes, "batch_id").withColumn("remote", (F.col("supply_w_id") != F.col("w_id")).cast("long"))
-    sums = located.groupBy("batch_id").agg(
+    # used by every output below
+    priced = written(priced, "priced")
+    sums = priced.groupBy("batch_id").agg(
         F.sum("ol_cents").alias("cents"),
         F.count(F.lit(1)).alias("ol_cnt"),
         (F.max("remote") == 0).cast("int").alias("all_local"),
+        F.max("_bad").alias("_bad"),
     )
+    checked = written(orders.join(sums, "batch_id", "left"), "checked")
+    good = checked.filter("not coalesce(_bad, false)").drop("_bad")
+    rejected = checked.filter("_bad").select("batch_id")
+    taxed = districts.select(F.col("d_w_id").alias("w_id"), "d_id", "d_next_o_id", "w_tax_bp", "d_tax_bp")
     headers = (
-        numbered.join(sums, "batch_id", "left")
-        .join(customers.select(F.col("c_id"), "c_discount_pct"), "c_id")
-        .withColumn(
-            "total_millionths",
-            F.coalesce("cents", F.lit(0).cast("long"))
-            * (10000 + F.col("w_tax_bp") + F.col("d_tax_bp"))
-            * (100 - F.col("c_discount_pct")),
+        position(good, ["w_id", "d_id"], order, "_n", blocks)
+        .join(taxed, ["w_id", "d_id"])
+        .join(customers.select("c_id", "c_discount_pct"), "c_id")
+        .withColumns(
+            {
+                "o_id": F.col("d_next_o_id") + F.col("_n") - 1,
+                "total_millionths": F.coalesce("cents", F.lit(0).cast("long"))
+                * (10000 + F.col("w_tax_bp") + F.col("d_tax_bp"))
+                * (100 - F.col("c_discount_pct")),
+            }
         )
     )
-    moved = located.groupBy(F.col("supply_w_id").alias("s_w_id"), F.col("i_id").alias("s_i_id")).agg(
+    sold = priced.join(rejected, "batch_id", "left_anti")
+    moved = sold.groupBy(F.col("supply_w_id").alias("s_w_id"), F.col("i_id").alias("s_i_id")).agg(
         F.sum("quantity").alias("_ordered"),
         F.max("quantity").alias("_largest"),
         F.min("quantity").alias("_smallest"),
@@ -77,13 +84,13 @@ def new_orders(
     in_contract = F.col("_ordered").isNull() | (
         (F.col("s_quantity") >= 0) & (F.col("_smallest") >= 1) & (F.col("_largest") <= MAX_LINE)
     )
-    checked = F.when(in_contract, stock_after(F.col("s_quantity"), ordered)).otherwise(
+    left = F.when(in_contract, stock_after(F.col("s_quantity"), ordered)).otherwise(
         F.raise_error(F.lit("stock below 0, or a line quantity outside 1..81")).cast("long")
     )
     restocked = stock.join(moved, ["s_w_id", "s_i_id"], "left").select(
         "s_w_id",
         "s_i_id",
-        checked.alias("s_quantity"),
+        left.alias("s_quantity"),
         ordered.alias("s_ytd"),
         F.coalesce("_lines", F.lit(0).cast("long")).alias("s_order_cnt"),
         F.coalesce("_remote", F.lit(0).cast("long")).alias("s_remote_cnt"),
@@ -91,10 +98,10 @@ def new_orders(
     used = good.groupBy(F.col("w_id").alias("d_w_id"), "d_id").agg(F.count(F.lit(1)).alias("d_next_o_id"))
     return {
         "orders": headers,
-        "lines": priced,
+        "lines": sold,
         "stock": restocked,
         "districts": apply_increment(districts, used, ["d_w_id", "d_id"], ["d_next_o_id"]),
-        "rejected": bad,
+        "rejected": rejected,
     }
 
 
@@ -150,7 +157,8 @@ def delivery(
 ) -> dict[str, DataFrame]:
     """Deliver the oldest waiting order of every district."""
     key = ["w_id", "d_id", "o_id"]
-    oldest = earliest_per(waiting.select(*key), ["w_id", "d_id"], ["o_id"])
+    # one order per district, met by three large tables
+    oldest = written(earliest_per(waiting.select(*key), ["w_id", "d_id"], ["o_id"]), "oldest")
     picked = oldest.withColumn("_hit", F.lit(True))
     shipped = orders.join(picked, key, "left").withColumn(
         "o_carrier_id", F.when(F.col("_hit"), F.lit(carrier)).otherwise(F.col("o_carrier_id"))
@@ -176,8 +184,6 @@ def delivery(
 
 def order_status(customers: DataFrame, orders: DataFrame, lines: DataFrame) -> DataFrame:
     """Each given customer's latest order and its lines."""
-    from tallygrain.operators.windows import latest_per
-
     latest = latest_per(
         orders.select(F.col("o_c_id").alias("c_id"), "o_id", "o_carrier_id", "o_entry_d"), ["c_id"], ["o_id"]
     )

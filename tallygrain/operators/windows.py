@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from tallygrain.session import written
+
 
 def _descending(column: str) -> Column:
     return F.col(column).desc_nulls_first()
@@ -30,8 +32,12 @@ def first_per(df: DataFrame, part: Sequence[str], order: Sequence[str | Column],
 
 
 def topk_enrich(df: DataFrame, part: Sequence[str], measure: str, k: int, dim: DataFrame, on: str) -> DataFrame:
-    """Rank first, then join the few kept rows to the dimension."""
-    return top_ranked(df, part, measure, k).join(dim, on)
+    """Rank first, then join the few kept rows to the dimension.
+
+    The ranked rows are written first: when they are small, as they should be,
+    the dimension is scanned in place instead of being shuffled.
+    """
+    return dim.join(written(top_ranked(df, part, measure, k), "ranked"), on)
 
 
 def running_sum(df: DataFrame, part: Sequence[str], order: str, column: str, out: str) -> DataFrame:

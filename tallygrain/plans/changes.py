@@ -334,7 +334,7 @@ def _ws_batch(spark, sf):
         F.col("o_id").alias("batch_id"), F.col("o_w_id").alias("w_id"), F.col("o_d_id").alias("d_id"), F.col("o_c_id").alias("c_id")
     )
     batch_lines = lines.filter("ol_status = 'P'").select(
-        F.col("ol_o_id").alias("batch_id"), "ol_number", F.col("ol_i_id").alias("i_id"),
+        F.col("ol_o_id").alias("batch_id"), F.col("ol_w_id").alias("w_id"), "ol_number", F.col("ol_i_id").alias("i_id"),
         F.col("ol_supply_w_id").alias("supply_w_id"), F.col("ol_quantity").alias("quantity"),
     )
     districts, customers, items, stock = _load(spark, sf, "ws_district", "ws_customer", "ws_item", "ws_stock")

@@ -13,6 +13,7 @@ from tallygrain.operators.aggregates import collect_chunks, collect_ordered, cou
 from tallygrain.operators.ordered import block_of
 from tallygrain.plans.relational import SHARE_SQL
 from tallygrain.registry import query
+from tallygrain.session import written
 from tallygrain.shapes import shape
 
 ROWS = 256  # elements per chunk of a document array
@@ -341,6 +342,7 @@ def movie_by_genre(spark, sf):
         ]))),
     )
     kept = topk.browse(tagged, ["search"], _newest(), 16, out="place").select("search", "place", "movie_id")
+    kept = written(kept, "found")
     docs = movie_document(movies.join(kept.select("movie_id").distinct(), "movie_id", "left_semi"))
     return kept.join(docs, "movie_id").select("search", "place", "movie_id", "doc")
 

@@ -9,6 +9,7 @@ from tallygrain.operators import aggregates, joins, predicates, topk, wholesale,
 from tallygrain.operators.ordered import nth_row
 from tallygrain.plans.relational import LAST_NAME_SQL, MINUTES_5
 from tallygrain.registry import query
+from tallygrain.session import written
 from tallygrain.shapes import shape
 
 
@@ -109,10 +110,11 @@ def oe_process_orders_list(spark, sf):
     open_orders = orders.filter("order_status <= 4").select(
         "warehouse_id", "order_id", "order_mode", "order_status", "total_cents", "customer_id", "order_date"
     )
-    work = topk.browse(open_orders, ["warehouse_id"], ["order_date", "order_id"], 9).drop("order_date")
+    work = written(topk.browse(open_orders, ["warehouse_id"], ["order_date", "order_id"], 9).drop("order_date"), "work")
     people = customers.select("customer_id", "cust_last_name", "credit_cents")
     lines = items.select("order_id", "line_no", "product_id", "quantity", "amount_cents")
-    return work.join(people, "customer_id").join(lines, "order_id", "left")
+    details = joins.with_details(work.select("order_id"), lines, ["order_id"])
+    return work.join(people, "customer_id").join(details, "order_id", "left")
 
 
 @query(

@@ -185,7 +185,7 @@ def left_outer_join(spark, sf):
     orders = shape(spark, sf, "oe_orders").select("order_id", "customer_id")
     customers = shape(spark, sf, "oe_customers").select("customer_id", "cust_last_name")
     items = shape(spark, sf, "oe_items").select("order_id", "line_no", "product_id", "quantity")
-    return orders.join(customers, "customer_id").join(items, "order_id", "left").drop("customer_id")
+    return joins.left_join(orders.join(customers, "customer_id").drop("customer_id"), items, ["order_id"])
 
 
 @query(
@@ -297,7 +297,7 @@ OWNER_SQL = """
           on customer_id between low and high group by customer_id""",
 )
 def owner_range_lookup(spark, sf):
-    customers = shape(spark, sf, "oe_customers").select("customer_id")
+    customers = shape(spark, sf, "customer").select(F.col("c_custkey").alias("customer_id"))
     width = customers.agg(F.expr("(max(customer_id) + 25) div 25")).scalar()
     ranges = shape(spark, sf, "nation").select(
         F.col("n_name").alias("code"),

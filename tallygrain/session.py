@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # What the library expects of a session. On a cluster these belong in
 # spark-defaults; shuffle partitions there should be sized so that one
@@ -44,6 +45,22 @@ def work_folder(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="tallygrain-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_base(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+@cache
+def _local_base(application: str) -> str:
+    return tempfile.mkdtemp(prefix="tallygrain-")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and go on from the files.
+
+    For results used more than once (lineage is cut, nothing is computed
+    twice) and for short lists (the planner learns their true size, and
+    broadcasts them only if that is below its threshold).
+    """
+    path = work_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
