@@ -123,7 +123,9 @@ def following(
     # wrapped in a struct so that a null value differs from a missing row
     wrapped = F.struct(F.col(column).alias("v"))
     inside = W.partitionBy("_block").orderBy(*order)
-    first = blocked.groupBy("_block").agg(F.min_by(wrapped, F.struct(*order)).alias("_first"))
+    # the leading order column is its own minimum: a hash aggregate instead of a sorted one
+    first_value = F.struct(F.min(column).alias("v")) if column == order[0] else F.min_by(wrapped, F.struct(*order))
+    first = blocked.groupBy("_block").agg(first_value.alias("_first"))
     next_block = W.partitionBy(*_group_of(keys)).orderBy("_block")
     edge = first.select("_block", F.lead("_first").over(next_block).alias("_edge"))
     return (

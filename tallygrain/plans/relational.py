@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallygrain.functions.scalars import calendar, syllable_name, units
+from tallygrain.functions.scalars import quarter_desc, units
 from tallygrain.operators import aggregates, joins, predicates, topk, windows
-from tallygrain.operators.ordered import block_of, following, nth_row, position
+from tallygrain.operators.ordered import nth_row
 from tallygrain.registry import query
 from tallygrain.shapes import shape
 
-ID_BLOCK = 1 << 16  # ids per block where a group is ordered by a numeric id
-
 
 # --- filters ------------------------------------------------------------------
 @query(
@@ -197,12 +195,14 @@ def left_outer_join(spark, sf):
             left join v on v.prod_name = n.prod_name and v.calendar_month_desc = t.calendar_month_desc""",
 )
 def partitioned_outer_join(spark, sf):
-    sales, products, times = (shape(spark, sf, n) for n in ("sales", "products", "times"))
-    daily = sales.groupBy("prod_id", "time_id").agg(F.sum("amount_cents").alias("cents"))
-    named = calendar(daily, "time_id").join(products.select("prod_id", "prod_name"), "prod_id")
-    monthly = aggregates.group_sum(named, ["prod_name", "calendar_month_desc"], "cents", "cents")
-    dense = joins.densify(monthly, ["prod_name"], times.select("calendar_month_desc"), {"cents": 0})
-    return dense.select("prod_name", "calendar_month_desc", units("cents").alias("amount_sold"))
+    lines, products = shape(spark, sf, "sale_lines"), shape(spark, sf, "products")
+    month = F.trunc("time_id", "MM").alias("month")
+    named = lines.select("prod_id", month, "amount_cents").join(products.select("prod_id", "prod_name"), "prod_id")
+    monthly = aggregates.group_sum(named, ["prod_name", "month"], "amount_cents", "cents")
+    dense = joins.densify(monthly, ["prod_name"], lines.select(month).distinct(), {"cents": 0})
+    return dense.select(
+        "prod_name", F.date_format("month", "yyyy-MM").alias("calendar_month_desc"), units("cents").alias("amount_sold")
+    )
 
 
 MINUTES_5 = 300_000_000  # microseconds
@@ -507,10 +507,10 @@ def counter_totals(spark, sf):
        select calendar_quarter_desc, prod_id, cents::double / 100 as amount_sold, rank from r where rank < 16""",
 )
 def rank_in_partition(spark, sf):
-    daily = shape(spark, sf, "sales").groupBy("prod_id", "time_id").agg(F.sum("amount_cents").alias("cents"))
-    quarterly = calendar(daily, "time_id").groupBy("calendar_quarter_desc", "prod_id").agg(F.sum("cents").alias("cents"))
-    return windows.top_ranked(quarterly, ["calendar_quarter_desc"], "cents", 15).select(
-        "calendar_quarter_desc", "prod_id", units("cents").alias("amount_sold"), "rank"
+    lines = shape(spark, sf, "sale_lines")
+    quarterly = lines.groupBy("prod_id", F.trunc("time_id", "QUARTER").alias("q")).agg(F.sum("amount_cents").alias("cents"))
+    return windows.top_ranked(quarterly, ["q"], "cents", 15).select(
+        quarter_desc("q").alias("calendar_quarter_desc"), "prod_id", units("cents").alias("amount_sold"), "rank"
     )
 
 

@@ -1,69 +1,82 @@
 """Sales history reports over the star schema.
 
-Facts are summed to the grain of their keys before a dimension is joined: a
-hot customer or product becomes one row per period, and the joins carry sums.
-A dimension that is neither filtered nor grouped on is not joined, since the
-star's foreign keys are complete. Calendar columns come from the date itself.
+The fact is the sale line; customer and channel are attributes of its order.
+So the order side (a quarter of the rows) is joined to customers and countries
+first, and the lines are shuffled once, to meet it. The sums that follow
+combine before their shuffle. A dimension that is neither filtered nor grouped
+on is not joined, since the star's foreign keys are complete; reports by
+product or date alone never touch the orders. Calendar columns come from the
+date itself, grouped as numbers and dates and written out as text at the end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrain.functions.scalars import calendar, money_text, units
-from tallygrain.operators import aggregates, joins, windows
+from tallygrain.functions.scalars import money_text, quarter_desc, units
+from tallygrain.operators import aggregates, joins, predicates, windows
 from tallygrain.registry import query
 from tallygrain.shapes import shape
 
+# grouping expressions of the calendar periods
+WEEK = {"calendar_week_number": "weekofyear(time_id)"}
+YEAR_WEEK = {"calendar_year": "year(time_id)", **WEEK}
+MONTH = {"calendar_month_desc": "trunc(time_id, 'MM')"}
+QUARTER = {"calendar_quarter_desc": "trunc(time_id, 'QUARTER')"}
+QUARTER_MONTH = {
+    "calendar_year": "year(time_id)", "calendar_quarter_number": "quarter(time_id)", "calendar_month_number": "month(time_id)"
+}
 
-def named(columns: dict[str, str]) -> list[Column]:
-    """SQL expressions as named columns."""
+
+def grouping(columns: dict[str, str]) -> list[Column]:
     return [F.expr(text).alias(name) for name, text in columns.items()]
 
 
-def by_customer(sales: DataFrame, keys: dict[str, str]) -> DataFrame:
-    """Sales summed per customer and the given columns."""
-    return sales.groupBy("cust_id", *named(keys)).agg(F.sum("amount_cents").alias("cents"))
+def labelled(df: DataFrame) -> DataFrame:
+    """Period dates as their descriptions."""
+    if "calendar_month_desc" in df.columns:
+        df = df.withColumn("calendar_month_desc", F.date_format("calendar_month_desc", "yyyy-MM"))
+    if "calendar_quarter_desc" in df.columns:
+        df = df.withColumn("calendar_quarter_desc", quarter_desc("calendar_quarter_desc"))
+    return df
+
 
+def summed(df: DataFrame, keys: list) -> DataFrame:
+    return df.groupBy(*keys).agg(F.sum("amount_cents").alias("cents"))
 
-def with_country(df: DataFrame, customers: DataFrame, countries: DataFrame) -> DataFrame:
-    """Customer → country, the snowflaked part of the star."""
-    return joins.star_join(df, [(customers.select("cust_id", "country_id"), "cust_id"), (countries, "country_id")])
+
+def order_places(orders: DataFrame, customers: DataFrame, countries: DataFrame) -> DataFrame:
+    """Orders with their customer's country: the snowflaked arm of the star."""
+    people = customers.select("cust_id", "country_id")
+    return joins.star_join(orders, [(people, "cust_id"), (countries, "country_id")]).drop("country_id", "cust_id")
 
 
 def _load(spark, sf, *names):
     return [shape(spark, sf, n) for n in names]
 
 
-WEEK = {"calendar_week_number": "weekofyear(time_id)"}
-YEAR_WEEK = {"calendar_year": "year(time_id)", **WEEK}
-MONTH = {"calendar_month_desc": "date_format(time_id, 'yyyy-MM')"}
-QUARTER = {"calendar_quarter_desc": "concat(year(time_id), '-Q', quarter(time_id))"}
+def _placed_lines(spark, sf) -> DataFrame:
+    lines, orders, customers, countries = _load(spark, sf, "sale_lines", "sale_orders", "customers", "countries")
+    return lines.join(order_places(orders, customers, countries), "order_id")
 
 
 # --- year over year ----------------------------------------------------------
 def year_over_year(
-    sales: DataFrame, products: DataFrame, times: DataFrame, target_year: int, weeks: tuple[int, int]
+    lines: DataFrame, products: DataFrame, times: DataFrame, target_year: int, weeks: tuple[int, int]
 ) -> DataFrame:
     """Weekly sales, year-to-date sums and the same week's sum a year before, per product name."""
+    keys = ["prod_name", "calendar_year", "calendar_week_number"]
     years = [target_year - 1, target_year]
-    week = F.col("calendar_week_number").between(*weeks)
-    weekly = calendar(
-        sales.groupBy("prod_id", "time_id").agg(F.sum("amount_cents").alias("cents")), "time_id"
-    ).filter(F.col("calendar_year").isin(years) & week)
-    by_name = weekly.join(products.select("prod_id", "prod_name"), "prod_id")
-    measured = aggregates.group_sum(by_name, ["prod_name", "calendar_year", "calendar_week_number"], "cents", "cents")
-    periods = times.filter(F.col("calendar_year").isin(years) & week).select("calendar_year", "calendar_week_number")
-    dense = joins.densify(measured, ["prod_name"], periods, {"cents": 0})
+    span = F.col("calendar_year").isin(years) & F.col("calendar_week_number").between(*weeks)
+    weekly = lines.select("prod_id", "amount_cents", *grouping(YEAR_WEEK)).filter(span)
+    by_name = joins.star_join(weekly, [(products.select("prod_id", "prod_name"), "prod_id")])
+    periods = times.filter(span).select("calendar_year", "calendar_week_number")
+    dense = joins.densify(summed(by_name, keys), ["prod_name"], periods, {"cents": 0})
     ytd = windows.running_sum(dense, ["prod_name", "calendar_year"], "calendar_week_number", "cents", "ytd")
     prior = windows.lag_by(ytd, ["prod_name", "calendar_week_number"], "calendar_year", "ytd", 1, "ytd_prior")
     return prior.filter(F.col("calendar_year") == target_year).select(
-        "prod_name",
-        "calendar_year",
-        "calendar_week_number",
+        *keys,
         units("cents").alias("sales"),
         units("ytd").alias("weekly_ytd_sales"),
         units("ytd_prior").alias("weekly_ytd_sales_prior_year"),
@@ -97,13 +110,13 @@ from lagged where calendar_year = {year}"""
 @query("sh_period_to_period", _yoy_sql(2000, 1, 53))
 def sh_period_to_period(spark, sf):
     """All weeks of a year against the year before."""
-    return year_over_year(*_load(spark, sf, "sales", "products", "times"), 2000, (1, 53))
+    return year_over_year(*_load(spark, sf, "sale_lines", "products", "times"), 2000, (1, 53))
 
 
 @query("sh_week_to_week", _yoy_sql(1999, 23, 23))
 def sh_week_to_week(spark, sf):
     """One week against the same week a year before."""
-    return year_over_year(*_load(spark, sf, "sales", "products", "times"), 1999, (23, 23))
+    return year_over_year(*_load(spark, sf, "sale_lines", "products", "times"), 1999, (23, 23))
 
 
 # --- rollups and cubes ---------------------------------------------------------
@@ -118,12 +131,12 @@ group by rollup(calendar_year, calendar_week_number, prod_name)""",
 )
 def sh_product_monthly_rollup(spark, sf):
     """Rollup of year, week and product name."""
-    sales, products = _load(spark, sf, "sales", "products")
-    keys = ["calendar_year", "calendar_week_number"]
-    leaves = sales.groupBy("prod_id", *named(YEAR_WEEK)).agg(F.sum("amount_cents").alias("cents"))
-    by_name = joins.star_join(leaves, [(products.select("prod_id", "prod_name"), "prod_id")])
-    return aggregates.rollup_sum(by_name, [*keys, "prod_name"], "cents", "cents").select(
-        *keys, "prod_name", units("cents").alias("amount_sold"), "level"
+    lines, products = _load(spark, sf, "sale_lines", "products")
+    weekly = lines.select("prod_id", "amount_cents", *grouping(YEAR_WEEK))
+    by_name = joins.star_join(weekly, [(products.select("prod_id", "prod_name"), "prod_id")])
+    keys = [*YEAR_WEEK, "prod_name"]
+    return aggregates.rollup_sum(by_name, keys, "amount_cents", "cents").select(
+        *keys, units("cents").alias("amount_sold"), "level"
     )
 
 
@@ -138,29 +151,27 @@ group by rollup(calendar_year, calendar_quarter_number, calendar_month_number)""
 )
 def sh_product_rollup(spark, sf):
     """Rollup of year, quarter and month for some products."""
-    sales, products = _load(spark, sf, "sales", "products")
-    chosen = products.filter(F.col("prod_name").isin("red widget", "blue bolt", "small ring"))
-    daily = aggregates.group_sum(
-        joins.star_join(sales, [(chosen.select("prod_id"), "prod_id")]), ["time_id"], "amount_cents", "cents"
-    )
-    keys = ["calendar_year", "calendar_quarter_number", "calendar_month_number"]
-    return aggregates.rollup_sum(calendar(daily, "time_id"), keys, "cents", "cents").select(
+    lines, products = _load(spark, sf, "sale_lines", "products")
+    chosen = predicates.where_in(products, "prod_name", ["red widget", "blue bolt", "small ring"])
+    sold = predicates.lookup(lines, chosen, ["prod_id"]).select("amount_cents", *grouping(QUARTER_MONTH))
+    keys = list(QUARTER_MONTH)
+    return aggregates.rollup_sum(sold, keys, "amount_cents", "cents").select(
         *keys, units("cents").alias("amount_sold"), "level"
     )
 
 
-def channel_country_leaves(sales, customers, countries, channels, period: dict[str, str]) -> DataFrame:
-    leaves = by_customer(sales, {"channel_id": "channel_id", **period})
-    return joins.star_join(with_country(leaves, customers, countries), [(channels, "channel_id")])
-
-
-def _level_report(agg, spark, sf, period, *, filters: Column | None = None):
-    sales, customers, countries, channels = _load(spark, sf, "sales", "customers", "countries", "channels")
-    leaves = channel_country_leaves(sales, customers, countries, channels, period)
-    if filters is not None:
-        leaves = leaves.filter(filters)
+def _level_report(levels, spark, sf, period: dict[str, str], channels: list[str] | None = None) -> DataFrame:
+    """Subtotals of channel, period and country over the leaf sums."""
+    lines, orders, customers, countries, channel = _load(
+        spark, sf, "sale_lines", "sale_orders", "customers", "countries", "channels"
+    )
+    if channels:
+        channel = predicates.where_in(channel, "channel_desc", channels)
+    placed = order_places(joins.star_join(orders, [(channel, "channel_id")]), customers, countries)
+    sold = lines.select("order_id", "amount_cents", *grouping(period)).join(placed, "order_id")
     keys = ["channel_desc", *period, "country_iso_code"]
-    return agg(leaves, keys, "cents", "cents").select(*keys, money_text("cents").alias("sales_text"), "level")
+    leaves = labelled(summed(sold, keys))
+    return levels(leaves, keys, "cents", "total").select(*keys, money_text("total").alias("sales_text"), "level")
 
 
 def _level_sql(grouping: str, period: str, where: str = "") -> str:
@@ -197,9 +208,7 @@ def sh_rollup_month(spark, sf):
 )
 def sh_rollup_week(spark, sf):
     """Rollup of channel, week and country for two channels."""
-    return _level_report(
-        aggregates.rollup_sum, spark, sf, WEEK, filters=F.col("channel_desc").isin("1-URGENT", "5-LOW")
-    )
+    return _level_report(aggregates.rollup_sum, spark, sf, WEEK, channels=["1-URGENT", "5-LOW"])
 
 
 # --- grouped sums ----------------------------------------------------------------
@@ -213,26 +222,20 @@ group by country_name, calendar_year""",
 )
 def sh_sales_by_country_year(spark, sf):
     """Quantity at list price per country and year."""
-    sales, products, customers, countries = _load(spark, sf, "sales", "products", "customers", "countries")
-    # per product, customer and year first: the price join then carries one row per such group
-    amounts = sales.groupBy("prod_id", "cust_id", F.year("time_id").alias("calendar_year")).agg(
-        F.sum("quantity_sold").alias("quantity")
-    )
-    priced = joins.star_join(amounts, [(products.select("prod_id", "list_cents"), "prod_id")])
-    per_customer = aggregates.group_sum(
-        priced, ["cust_id", "calendar_year"], F.col("quantity") * F.col("list_cents"), "cents"
-    )
-    located = with_country(per_customer, customers, countries)
-    return aggregates.group_sum(located, ["country_name", "calendar_year"], "cents", "cents").select(
-        "country_name", "calendar_year", units("cents").alias("list_value")
+    products = shape(spark, sf, "products").select("prod_id", "list_cents")
+    priced = joins.star_join(_placed_lines(spark, sf), [(products, "prod_id")])
+    value = priced.select(
+        "country_name", F.year("time_id").alias("calendar_year"),
+        (F.col("quantity_sold") * F.col("list_cents")).alias("amount_cents"),
     )
+    keys = ["country_name", "calendar_year"]
+    return summed(value, keys).select(*keys, units("cents").alias("list_value"))
 
 
 def _country_sums(spark, sf, period: dict[str, str]) -> DataFrame:
-    sales, customers, countries = _load(spark, sf, "sales", "customers", "countries")
-    located = with_country(by_customer(sales, period), customers, countries)
     keys = [*period, "country_name"]
-    return aggregates.group_sum(located, keys, "cents", "cents").select(*keys, units("cents").alias("amount_sold"))
+    sums = summed(_placed_lines(spark, sf).select("country_name", "amount_cents", *grouping(period)), keys)
+    return labelled(sums).select(*keys, units("cents").alias("amount_sold"))
 
 
 @query(
@@ -274,7 +277,7 @@ from avged""",
 )
 def sh_moving_average(spark, sf):
     """Daily sales and their centred five-day average."""
-    daily = aggregates.group_sum(shape(spark, sf, "sales"), ["time_id"], "amount_cents", "cents")
+    daily = summed(shape(spark, sf, "sale_lines"), ["time_id"])
     # one row per calendar day by now, whatever the size of the facts
     smoothed = windows.moving_average(daily, "time_id", "cents", 2, "average")
     return smoothed.select(
@@ -286,7 +289,8 @@ def sh_moving_average(spark, sf):
 
 def top_customers(sales: DataFrame, customers: DataFrame, period: dict[str, str], k: int) -> DataFrame:
     """The best ``k`` customers of every period; names are joined to the ranked few."""
-    ranked = windows.topk_enrich(by_customer(sales, period), list(period), "cents", k, customers, "cust_id")
+    sums = summed(sales, ["cust_id", *grouping(period)])
+    ranked = labelled(windows.topk_enrich(sums, list(period), "cents", k, customers, "cust_id"))
     return ranked.select(
         *period, "cust_first_name", "cust_last_name", "cust_id", units("cents").alias("amount_sold"), "rank"
     )
@@ -319,7 +323,5 @@ def sh_top_week(spark, sf):
 )
 def sh_simple_lookup(spark, sf):
     """Sales rows per customer key."""
-    from tallygrain.operators.predicates import lookup_count
-
     sales, customers = _load(spark, sf, "sales", "customers")
-    return lookup_count(sales, customers, ["cust_id"])
+    return predicates.lookup_count(sales, customers, ["cust_id"])

@@ -14,12 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 # --- star schema -----------------------------------------------------------
 SHAPES: dict[str, str] = {
-    "sales": """
-        select l_partkey as prod_id, o_custkey as cust_id, cast(l_shipdate as date) as time_id,
-               cast(substr(o_orderpriority, 1, 1) as int) as channel_id,
+    # a sale is a line; its order names the customer and the channel
+    "sale_lines": """
+        select l_orderkey as order_id, l_partkey as prod_id, cast(l_shipdate as date) as time_id,
                cast(l_quantity as bigint) as quantity_sold,
                cast(round(l_extendedprice * 100) as bigint) as amount_cents
-        from {lineitem} join {orders} on l_orderkey = o_orderkey""",
+        from {lineitem}""",
+    "sale_orders": """
+        select o_orderkey as order_id, o_custkey as cust_id, cast(substr(o_orderpriority, 1, 1) as int) as channel_id
+        from {orders}""",
+    "sales": """
+        select prod_id, cust_id, time_id, channel_id, quantity_sold, amount_cents
+        from {sale_lines} join {sale_orders} using (order_id)""",
     "times": """
         select time_id, year(time_id) as calendar_year, quarter(time_id) as calendar_quarter_number,
                month(time_id) as calendar_month_number, weekofyear(time_id) as calendar_week_number,
