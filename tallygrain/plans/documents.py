@@ -77,12 +77,16 @@ def json_array_size_top(spark, sf):
     return documents.largest_arrays(load_articles(spark, sf), "article_id", "comments", 10)
 
 
+# documents with their comments in chunks of 256; the other arrays sit in chunk 0
 ARTICLE_SQL = """
-  arts as (select a.article_id,
-             (select coalesce(list(struct_pack(name := m.name, comment := m.comment) order by m.idx), []) from art_comments m where m.article_id = a.article_id) as comments,
-             (select coalesce(list(distinct c.name order by c.name), []) from art_categories c where c.article_id = a.article_id) as categories,
-             (select coalesce(list(distinct m.name order by m.name), []) from art_comments m where m.article_id = a.article_id) as peoples
-           from art_articles a)"""
+  chunks as (select article_id, idx // 256 as chunk, list(struct_pack(name := name, comment := comment) order by idx) as comments
+             from art_comments group by all),
+  arts as (select k.*,
+             case when chunk = 0 then (select coalesce(list(distinct c.name order by c.name), []) from art_categories c where c.article_id = k.article_id)
+                  else [] end as categories,
+             case when chunk = 0 then (select list(distinct m.name order by m.name) from art_comments m where m.article_id = k.article_id)
+                  else [] end as peoples
+           from chunks k)"""
 
 
 @query(
@@ -171,11 +175,9 @@ def json_append(spark, sf):
     "json_set_element",
     """with ch as (select user_id as article_id, event_id % 4 as i, arg_max(event_type || ' ' || event_id, event_id) as v
                    from events group by all)
-       select article_id, 0::bigint as chunk,
+       select m.article_id, m.idx // 256 as chunk,
               to_json(list(struct_pack(name := name, comment := coalesce(v, comment)) order by idx))::varchar as comments
-       from art_comments m left join ch on ch.article_id = m.article_id and ch.i = m.idx group by m.article_id""".replace(
-        "select article_id, 0::bigint", "select m.article_id, 0::bigint"
-    ),
+       from art_comments m left join ch on ch.article_id = m.article_id and ch.i = m.idx group by all""",
 )
 def json_set_element(spark, sf):
     changes = shape(spark, sf, "events").select(
@@ -191,10 +193,11 @@ def json_set_element(spark, sf):
 @query(
     "json_remove_element",
     """with gone as (select distinct user_id as article_id, event_id % 7 as i from events where event_type = 'error')
-       select a.article_id, 0::bigint as chunk, coalesce(
+       select a.article_id, a.chunk, coalesce(
                 (select to_json(list(struct_pack(name := m.name, comment := m.comment) order by m.idx))::varchar from art_comments m
-                 where m.article_id = a.article_id and not exists (select 1 from gone g where g.article_id = m.article_id and g.i = m.idx)), '[]') as comments
-       from art_articles a""",
+                 where m.article_id = a.article_id and m.idx // 256 = a.chunk
+                   and not exists (select 1 from gone g where g.article_id = m.article_id and g.i = m.idx)), '[]') as comments
+       from (select distinct article_id, idx // 256 as chunk from art_comments) a""",
 )
 def json_remove_element(spark, sf):
     gone = shape(spark, sf, "events").filter("event_type = 'error'").select(
@@ -419,18 +422,25 @@ def customer_children(spark, sf) -> dict[str, DataFrame]:
 
 
 CUSTOMER_SQL = """
-  pay as (select customer_id as cust_id, list(struct_pack(PaymentInformationId := card_id, Provider := card_type,
-            ExpiryDate := cast(cast(issued + interval 36 month as date) as varchar)) order by issued + interval 36 month desc, card_id) as v from oe_cards group by 1),
-  dev as (select cust_id, list(struct_pack(DeviceId := device_id, AccessCount := access_count) order by last_access desc, device_id) as v from devices group by 1),
-  fri as (select customer_id as cust_id, list(struct_pack(FriendFamilyId := order_id, CustomerTarget := sales_rep_id) order by order_id) as v
-          from oe_orders where order_mode = '5-LOW' group by 1)"""
-
-
-def _customer_query(name: str):
+  pay0 as (select customer_id as cust_id, card_id, card_type, cast(issued + interval 36 month as date) as expiry,
+                  row_number() over (partition by customer_id order by issued + interval 36 month desc, card_id) - 1 as i from oe_cards),
+  pay as (select cust_id, i // 256 as chunk, list(struct_pack(PaymentInformationId := card_id, Provider := card_type,
+            ExpiryDate := cast(expiry as varchar)) order by i) as v from pay0 group by all),
+  dev0 as (select *, row_number() over (partition by cust_id order by last_access desc, device_id) - 1 as i from devices),
+  dev as (select cust_id, i // 256 as chunk, list(struct_pack(DeviceId := device_id, AccessCount := access_count) order by i) as v from dev0 group by all),
+  fri0 as (select *, row_number() over (partition by customer_id order by order_id) - 1 as i from oe_orders where order_mode = '5-LOW'),
+  fri as (select customer_id as cust_id, i // 256 as chunk, list(struct_pack(FriendFamilyId := order_id, CustomerTarget := sales_rep_id) order by i) as v
+          from fri0 group by all),
+  spots as (select cust_id, 0 as chunk from customers union select cust_id, chunk from pay union select cust_id, chunk from dev
+            union select cust_id, chunk from fri)"""
+
+
+def _customer_query(extra: str):
     return f"""with {CUSTOMER_SQL}
-select c.cust_id, to_json(struct_pack(CustomerID := c.cust_id, Name := cust_first_name || ' ' || cust_last_name, {name}
+select c.cust_id, to_json(struct_pack(CustomerID := c.cust_id, Name := cust_first_name || ' ' || cust_last_name, {extra}
    PaymentInfo := coalesce(pay.v, []), DeviceInfo := coalesce(dev.v, []), FriendsAndFamily := coalesce(fri.v, [])))::varchar as doc
-from customers c left join pay using (cust_id) left join dev using (cust_id) left join fri using (cust_id)"""
+from customers c join spots using (cust_id) left join pay using (cust_id, chunk) left join dev using (cust_id, chunk)
+     left join fri using (cust_id, chunk)"""
 
 
 @query("assemble_document", _customer_query(""))

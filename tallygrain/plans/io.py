@@ -197,10 +197,11 @@ def document_scan(spark, sf):
 
 @query(
     "document_write",
-    """with h as (select customer_id, list(struct_pack(FlightDate := epoch(order_date)::bigint, Airport := order_mode) order by order_date, order_id) as f
-                  from oe_orders group by 1)
+    """with o as (select *, row_number() over (partition by customer_id order by order_date, order_id) - 1 as i from oe_orders),
+            h as (select customer_id, i // 256 as part, list(struct_pack(FlightDate := epoch(order_date)::bigint, Airport := order_mode) order by i) as f
+                  from o group by all)
        select to_json(struct_pack(PassengerId := c.customer_id, Name := struct_pack(First := cust_first_name, Last := cust_last_name),
-                Country := country_code, part := 0, FlightHistory := f))::varchar as value
+                Country := country_code, part := coalesce(part, 0), FlightHistory := f))::varchar as value
        from oe_customers c left join h using (customer_id)""",
 )
 def document_write(spark, sf):
