@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallygrain.operators.joins import new_only, semi, split_join
 from tallygrain.operators.ordered import position
 from tallygrain.operators.windows import earliest_per, first_per, latest_per
 from tallygrain.session import written
@@ -52,13 +53,13 @@ def apply_increment(df: DataFrame, deltas: DataFrame, on: Sequence[str], columns
 
 
 def apply_delete(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    return df.join(keys.select(*on), list(on), "left_anti")
+    return new_only(df, keys, on)
 
 
 def insert_if_absent(df: DataFrame, new: DataFrame, on: Sequence[str], seq: Sequence[str]) -> DataFrame:
     """Add rows whose natural key is not present; of a key's repeats in the batch the first in ``seq`` counts."""
     first = earliest_per(new, on, seq)
-    return append(df, first.join(df.select(*on), list(on), "left_anti"))
+    return append(df, new_only(first, df, on))
 
 
 def upsert(df: DataFrame, batch: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -136,7 +137,7 @@ def switch_default(
     last = latest_per(new.select(key, *seq), [key], seq).withColumn("_last", F.lit(True))
     added = new.join(last, [key, *seq], "left").withColumn(flag, F.when(F.col("_last"), "Y").otherwise("N"))
     changed = new.select(key).distinct().withColumn("_hit", F.lit(True))
-    kept = df.join(changed, key, "left").withColumn(flag, F.when(F.col("_hit"), "N").otherwise(F.col(flag)))
+    kept = split_join(df, changed, [key], "left").withColumn(flag, F.when(F.col("_hit"), "N").otherwise(F.col(flag)))
     return append(kept.drop("_hit"), added.drop("_last"))
 
 
@@ -168,11 +169,7 @@ def apply_orders(
     A line is in stock when its (product, warehouse) has any quantity on hand
     before the batch. Out-of-stock lines are not added and not counted.
     """
-    in_stock = new_lines.join(
-        inventory.filter("quantity_on_hand > 0").select("product_id", "warehouse_id"),
-        ["product_id", "warehouse_id"],
-        "left_semi",
-    )
+    in_stock = semi(new_lines, inventory.filter("quantity_on_hand > 0"), ["product_id", "warehouse_id"])
     totals = in_stock.groupBy("order_id").agg(F.sum("amount_cents").alias("total_cents"))
     headers = new_orders.join(totals, "order_id", "left").withColumn(
         "total_cents", F.coalesce("total_cents", F.lit(0).cast("long"))

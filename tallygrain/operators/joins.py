@@ -18,13 +18,28 @@ def star_join(fact: DataFrame, dims: Sequence[tuple[DataFrame, str | list[str]]]
     return fact
 
 
+def split_join(df: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a table that may have hot keys to one row per key (an aggregate, as a rule).
+
+    Spark splits a hot partition only where both sides come straight from a
+    shuffle made for the join. An aggregate on the same key is partitioned
+    already and would be joined in place, hot key and all. Joining on the key
+    and a hash of it asks for a shuffle of its own.
+    """
+    types = {f.name: f.dataType for f in df.schema}
+    aligned = other.withColumns({k: F.col(k).cast(types[k]) for k in on})
+    left, right = (side.withColumn("_h", F.xxhash64(*on)) for side in (df, aligned))
+    return left.join(right, [*on, "_h"], how).drop("_h")
+
+
 def semi(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
-    return df.join(other.select(*on), list(on), "left_semi")
+    """Rows of ``df`` with a match in ``other``; a key that ``other`` repeats meets them as one row."""
+    return split_join(df, other.select(*on).distinct(), on, "left_semi")
 
 
 def new_only(candidates: DataFrame, df: DataFrame, on: Sequence[str]) -> DataFrame:
     """Candidates whose key is not yet present."""
-    return candidates.join(df.select(*on), list(on), "left_anti")
+    return split_join(candidates, df.select(*on).distinct(), on, "left_anti")
 
 
 def with_related(df: DataFrame, other: DataFrame, on: Sequence[str], aggs: dict[str, Column], default=0) -> DataFrame:
@@ -33,7 +48,7 @@ def with_related(df: DataFrame, other: DataFrame, on: Sequence[str], aggs: dict[
     Aggregated before the join, so both sides meet on a unique key.
     """
     related = other.groupBy(*on).agg(*[a.alias(n) for n, a in aggs.items()])
-    out = df.join(related, list(on), "left")
+    out = split_join(df, related, on, "left")
     for name in aggs:
         out = out.withColumn(name, F.coalesce(name, F.lit(default)))
     return out
@@ -45,7 +60,7 @@ def left_join(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
     Spark can split a skewed right side of an inner join, not of an outer one:
     so the matches come from an inner join and the rest from an anti join.
     """
-    alone = df.join(other.select(*on).distinct(), list(on), "left_anti")
+    alone = new_only(df, other, on)
     return df.join(other, list(on)).unionByName(alone, allowMissingColumns=True)
 
 
@@ -87,7 +102,7 @@ def range_owner(points: DataFrame, at: str, ranges: DataFrame, low: str, high: s
     """Each id with the ``code`` of the range holding it, the greatest lower bound winning; null without one."""
     ids = points.select(at).distinct()
     owner = range_join(ids, at, ranges, low, high, cell).groupBy(at).agg(F.max_by(code, low).alias(code))
-    return points.join(owner, at, "left")
+    return split_join(points, owner, [at], "left")
 
 
 def hash_chunks(spark, n: int) -> DataFrame:

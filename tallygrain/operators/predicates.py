@@ -9,10 +9,12 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallygrain.operators import joins
+
 
 def lookup(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows of ``df`` whose key is in ``keys``."""
-    return df.join(keys.select(*on), list(on), "left_semi")
+    return joins.semi(df, keys, on)
 
 
 def lookup_count(df: DataFrame, keys: DataFrame, on: Sequence[str], out: str = "n") -> DataFrame:
@@ -55,7 +57,7 @@ def filter_by_example(df: DataFrame, example: dict) -> DataFrame:
 def exists_flag(candidates: DataFrame, df: DataFrame, on: Sequence[str], out: str = "found") -> DataFrame:
     """Mark the candidates whose key occurs in ``df``."""
     present = df.select(*on).distinct().withColumn(out, F.lit(True))
-    return candidates.join(present, list(on), "left").withColumn(out, F.coalesce(out, F.lit(False)))
+    return joins.split_join(candidates, present, on, "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
 
 def word_prefix(column: str, term: str) -> Column:

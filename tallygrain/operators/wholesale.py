@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallygrain.functions.scalars import stock_after
 from tallygrain.operators.changes import apply_delete, apply_increment, append
+from tallygrain.operators.joins import semi, split_join
 from tallygrain.operators.ordered import position
 from tallygrain.operators.windows import earliest_per, first_per, latest_per
 from tallygrain.session import written
@@ -36,15 +37,12 @@ def new_orders(
     1/100, total in millionths of a cent, exact). Stock follows the refill rule.
     """
     stocked = stock.select(F.col("s_w_id").alias("supply_w_id"), F.col("s_i_id").alias("i_id"), F.lit(True).alias("_stocked"))
-    priced = (
-        lines.join(items.select("i_id", "i_price_cents"), "i_id", "left")
-        .join(stocked, ["supply_w_id", "i_id"], "left")
-        .select(
-            "batch_id", "ol_number", "i_id", "supply_w_id", "quantity",
-            (F.col("quantity") * F.col("i_price_cents")).alias("ol_cents"),
-            (F.col("supply_w_id") != F.col("w_id")).cast("long").alias("remote"),
-            (F.col("i_price_cents").isNull() | F.col("_stocked").isNull()).alias("_bad"),
-        )
+    known = lines.join(items.select("i_id", "i_price_cents"), "i_id", "left")
+    priced = split_join(known, stocked, ["supply_w_id", "i_id"], "left").select(
+        "batch_id", "ol_number", "i_id", "supply_w_id", "quantity",
+        (F.col("quantity") * F.col("i_price_cents")).alias("ol_cents"),
+        (F.col("supply_w_id") != F.col("w_id")).cast("long").alias("remote"),
+        (F.col("i_price_cents").isNull() | F.col("_stocked").isNull()).alias("_bad"),
     )
     # used by every output below
     priced = written(priced, "priced")
@@ -124,7 +122,7 @@ def payments(customers: DataFrame, pays: DataFrame, seq: Sequence[str]) -> dict[
         "c_id", "c_d_id", "c_w_id", "d_id", "w_id",
         (F.col("cents").cast("decimal(18,0)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(18,2)").cast("string"),
     )
-    bad = pays.join(customers.filter("c_credit like 'BC%'").select(*key), key, "left_semi")
+    bad = semi(pays, customers.filter("c_credit like 'BC%'"), key)
     newest = first_per(
         bad, key, [F.col(c).desc() for c in seq], -(-NOTE_LENGTH // SHORTEST_NOTE), out="_k"
     ).withColumn("_note", note)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrain.functions.scalars import as_array
-from tallygrain.operators import documents, predicates, topk
+from tallygrain.operators import documents, joins, predicates, topk
 from tallygrain.operators.aggregates import collect_chunks, collect_ordered, count_by
 from tallygrain.operators.ordered import block_of
 from tallygrain.plans.relational import SHARE_SQL
@@ -530,7 +530,7 @@ def movie_add_review(spark, sf):
         "movie_id", "year", F.explode(F.array_distinct(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"))).alias("word")
     )
     # only searched words, then one movie per word before the reviews are joined
-    searched = words.join(reviews.select("word").distinct(), "word", "left_semi")
+    searched = joins.semi(words, written(reviews.select("word").distinct(), "terms"), ["word"])
     newest = searched.groupBy("word").agg(
         F.max(F.struct("year", (-F.col("movie_id")).alias("_m"))).alias("_top")
     ).select("word", (-F.col("_top._m")).alias("movie_id"))
