@@ -243,7 +243,7 @@ def add_customer_bundle(spark, sf):
             lines as (select i.order_id + 1000000000000 as order_id, i.product_id, o.warehouse_id, i.quantity, i.amount_cents
                       from oe_items i join oe_orders o using (order_id) where o.order_status = 4),
             ok as (select l.* from lines l join inv using (product_id, warehouse_id) where q > 0),
-            tot as (select order_id, sum(amount_cents) as cents from ok group by 1),
+            tot as (select order_id, sum(amount_cents)::bigint as cents from ok group by 1),
             taken as (select product_id, warehouse_id, sum(quantity) as q from ok group by all)
        select 'orders' as table_name, order_id as id, 0::bigint as part, total_cents as amount from oe_orders
        union all select 'orders', o.order_id + 1000000000000, 0, coalesce(cents, 0)
@@ -360,7 +360,7 @@ def _ws_batch(spark, sf):
         select 'stock', s_w_id, s_i_id, coalesce(m.remote, 0),
                cast(case when coalesce(m.q, 0) = 0 or s_quantity - m.q >= 10 then s_quantity - coalesce(m.q, 0)
                     else ((s_quantity - m.q - 10) % 91 + 91) % 91 + 10 end as bigint)
-        from ws_stock left join (select supply_w_id, i_id, sum(quantity) as q, sum(remote) as remote from priced group by all) m
+        from ws_stock left join (select supply_w_id, i_id, sum(quantity) as q, sum(remote)::bigint as remote from priced group by all) m
              on m.supply_w_id = s_w_id and m.i_id = s_i_id""",
 )
 def wholesale_new_order(spark, sf):
@@ -389,11 +389,11 @@ def wholesale_new_order(spark, sf):
             notes as (select c_id, string_agg('| ' || c_id || ' ' || c_d_id || ' ' || c_w_id || ' ' || d_id || ' ' || w_id || ' '
                              || cast(cents // 100 as varchar) || '.' || lpad(cast(cents % 100 as varchar), 2, '0') || ' |', '' order by seq desc) as t,
                              sum(cents) as paid, count(*) as n from pays group by c_id)
-       select 'customer' as kind, c.c_id as id, c_balance_cents - coalesce(paid, 0) as cents, coalesce(n, 0) as n,
+       select 'customer' as kind, c.c_id as id, (c_balance_cents - coalesce(paid, 0))::bigint as cents, coalesce(n, 0) as n,
               case when c_credit = 'BC' and t is not null then substr(t || c_data, 1, 500) else c_data end as data
        from ws_customer c left join notes using (c_id)
-       union all select 'district', w_id * 100 + d_id, sum(cents), 0, null from pays group by w_id, d_id
-       union all select 'warehouse', w_id, sum(cents), 0, null from pays group by w_id
+       union all select 'district', w_id * 100 + d_id, sum(cents)::bigint, 0, null from pays group by w_id, d_id
+       union all select 'warehouse', w_id, sum(cents)::bigint, 0, null from pays group by w_id
        union all select 'history', c_id, cents, 0, 'W' || w_id || ' D' || d_id from pays""",
 )
 def wholesale_payment(spark, sf):
@@ -432,7 +432,7 @@ def wholesale_payment(spark, sf):
        union all select 'order', o_id, case when o_id in (select o_id from old) then 6 else o_carrier_id end, null from ws_orders
        union all select 'line', ol_o_id, ol_i_id, case when ol_o_id in (select o_id from old) then '2002-01-01'
                         else cast(ol_delivery_d as varchar) end from ws_order_line
-       union all select 'customer', c.c_id, c.c_balance_cents + coalesce(x.cents, 0), cast(coalesce(x.n, 0) as varchar)
+       union all select 'customer', c.c_id, (c.c_balance_cents + coalesce(x.cents, 0))::bigint, cast(coalesce(x.n, 0) as varchar)
          from ws_customer c left join (select o_c_id, sum(coalesce(cents, 0)) as cents, count(*) as n
                                        from old join ws_orders using (o_id) left join amt using (o_id) group by 1) x on x.o_c_id = c.c_id""",
 )

@@ -330,7 +330,7 @@ def _newest():
           union all select 'en&src1', * from movies where lang = 'en' and source = 'src1'
           union all select 'de|src2', * from movies where lang = 'de' or source = 'src2'),
         top as (select *, row_number() over (partition by search order by year desc, movie_id) as place from hits)
-        select search, place, movie_id, {MOVIE_DOC} as doc from top where place <= 16""",
+        select search, place::int as place, movie_id, {MOVIE_DOC} as doc from top where place <= 16""",
 )
 def movie_by_genre(spark, sf):
     """The newest 16 movies of one genre, of two genres together, and of either, as documents."""

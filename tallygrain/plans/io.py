@@ -145,7 +145,8 @@ SCHEMA_SPEC = {
              from spec s left join present p using (table_name, column_name) group by 1)
        select table_name, case when not exists (select 1 from present p where p.table_name = r.table_name) then 'missing'
                                when valid_columns = expected then 'valid' else 'invalid' end as state,
-              valid_columns, expected - valid_columns - missing_columns as wrong_columns, missing_columns,
+              valid_columns::int as valid_columns, (expected - valid_columns - missing_columns)::int as wrong_columns,
+              missing_columns::int as missing_columns,
               case table_name when 'orders' then (select count(*) from orders) when 'customer' then (select count(*) from customer)
                    when 'lineitem' then (select count(*) from lineitem) else 0 end as row_count
        from r""",

@@ -315,7 +315,7 @@ REP_RANK_SQL = """
 @query(
     "rank_then_join",
     f"""with {REP_RANK_SQL}
-        select order_id, sales_rep_id, rank, cust_last_name from ranked join oe_customers using (customer_id)
+        select order_id, sales_rep_id, rank::int as rank, cust_last_name from ranked join oe_customers using (customer_id)
         where rank <= 10""",
 )
 def rank_then_join(spark, sf):
@@ -485,9 +485,9 @@ def percentile_summary(spark, sf):
 
 @query(
     "counter_totals",
-    """select order_mode, sum(order_status) as selects, count(*) as inserts, sum(warehouse_id) as updates,
-              sum(0)::bigint as deletes, count(*) as commits, sum(case when order_status = 2 then 1 else 0 end) as rollbacks,
-              sum(sales_rep_id) as sleep
+    """select order_mode, sum(order_status)::bigint as selects, count(*) as inserts, sum(warehouse_id)::bigint as updates,
+              sum(0)::bigint as deletes, count(*) as commits, sum(case when order_status = 2 then 1 else 0 end)::bigint as rollbacks,
+              sum(sales_rep_id)::bigint as sleep
        from oe_orders group by order_mode""",
 )
 def counter_totals(spark, sf):
@@ -504,7 +504,7 @@ def counter_totals(spark, sf):
     """with s as (select calendar_quarter_desc, prod_id, sum(amount_cents) as cents
                   from sales join times using (time_id) group by all),
             r as (select *, rank() over (partition by calendar_quarter_desc order by cents desc) as rank from s)
-       select calendar_quarter_desc, prod_id, cents::double / 100 as amount_sold, rank from r where rank < 16""",
+       select calendar_quarter_desc, prod_id, cents::double / 100 as amount_sold, rank::int as rank from r where rank < 16""",
 )
 def rank_in_partition(spark, sf):
     lines = shape(spark, sf, "sale_lines")
@@ -514,14 +514,14 @@ def rank_in_partition(spark, sf):
     )
 
 
-@query("rank_global", f"with {REP_RANK_SQL} select sales_rep_id, order_id, rank from ranked where rank <= 10")
+@query("rank_global", f"with {REP_RANK_SQL} select sales_rep_id, order_id, rank::int as rank from ranked where rank <= 10")
 def rank_global(spark, sf):
     orders = shape(spark, sf, "oe_orders").select("sales_rep_id", "order_id", "total_cents")
     return windows.top_ranked(orders, ["sales_rep_id"], "total_cents", 10).drop("total_cents")
 
 
 MONTHLY_SQL = """
-  m as (select warehouse_id, year(order_date) as y, month(order_date) as m, sum(total_cents) as cents
+  m as (select warehouse_id, year(order_date)::int as y, month(order_date)::int as m, sum(total_cents) as cents
         from oe_orders group by all)"""
 
 
@@ -569,7 +569,7 @@ def lag_default(spark, sf):
 
 @query(
     "moving_average",
-    """with d as (select warehouse_id, order_date, sum(total_cents) as cents from oe_orders group by all)
+    """with d as (select warehouse_id, order_date, sum(total_cents)::bigint as cents from oe_orders group by all)
        select warehouse_id, cast(order_date as varchar) as order_date, cents,
               round(avg(cents) over (partition by warehouse_id order by order_date
                     range between interval 2 day preceding and interval 2 day following) / 100, 4) as centered_5_day_avg
@@ -691,7 +691,7 @@ def multi_sort(spark, sf):
 
 @query(
     "bounded_browse",
-    """select customer_id, order_id, total_cents, n from (
+    """select customer_id, order_id, total_cents, n::int as n from (
          select *, row_number() over (partition by customer_id order by order_date desc, order_id) as n from oe_orders)
        where n < 5""",
 )

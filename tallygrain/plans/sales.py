@@ -301,7 +301,7 @@ def _top_sql(periods: str) -> str:
 with sums as (
   select {periods}, cust_id, sum(amount_cents) as cents from sales join times using (time_id) group by all),
 ranked as (select *, rank() over (partition by {periods} order by cents desc) as rank from sums)
-select {periods}, cust_first_name, cust_last_name, cust_id, cents::double / 100 as amount_sold, rank
+select {periods}, cust_first_name, cust_last_name, cust_id, cents::double / 100 as amount_sold, rank::int as rank
 from ranked join customers using (cust_id) where rank < 16"""
 
 

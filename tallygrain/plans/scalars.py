@@ -138,7 +138,7 @@ def null_functions(spark, sf):
 
 @query(
     "hash_bucket",
-    """select customer_id, cast('0x' || substr(md5(cust_email), 1, 8) as bigint) % 25 as bucket from oe_customers""",
+    """select customer_id, (cast('0x' || substr(md5(cust_email), 1, 8) as bigint)::bigint % 25)::int as bucket from oe_customers""",
 )
 def hash_bucket(spark, sf):
     return shape(spark, sf, "oe_customers").select(
@@ -153,7 +153,7 @@ def syllable_name(spark, sf):
 
 @query(
     "array_functions",
-    """select movie_id, len(string_split(title, ' ')) as words, lang || '|' || source || '|new' as tags,
+    """select movie_id, len(string_split(title, ' '))::int as words, lang || '|' || source || '|new' as tags,
               string_split(title, ' ')[1] as first_word, list_contains(string_split(title, ' '), 'the') as has_the
        from movies""",
 )

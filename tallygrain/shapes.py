@@ -27,8 +27,9 @@ SHAPES: dict[str, str] = {
         select prod_id, cust_id, time_id, channel_id, quantity_sold, amount_cents
         from {sale_lines} join {sale_orders} using (order_id)""",
     "times": """
-        select time_id, year(time_id) as calendar_year, quarter(time_id) as calendar_quarter_number,
-               month(time_id) as calendar_month_number, weekofyear(time_id) as calendar_week_number,
+        select time_id, cast(year(time_id) as int) as calendar_year,
+               cast(quarter(time_id) as int) as calendar_quarter_number, cast(month(time_id) as int) as calendar_month_number,
+               cast(weekofyear(time_id) as int) as calendar_week_number,
                cast(year(time_id) as varchar(4)) || '-Q' || cast(quarter(time_id) as varchar(1)) as calendar_quarter_desc,
                cast(year(time_id) as varchar(4)) || '-' || lpad(cast(month(time_id) as varchar(2)), 2, '0') as calendar_month_desc
         from (select distinct cast(l_shipdate as date) as time_id from {lineitem}) as days""",
