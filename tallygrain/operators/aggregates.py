@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrain.operators.ordered import block_of, position, running_total
+from tallygrain.session import written
 
 
 def group_sum(df: DataFrame, keys: Sequence[str], measure: str | Column, out: str) -> DataFrame:
@@ -88,6 +89,7 @@ def percentile_summary(
     size along the value axis.
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(*group, column).agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(counts, "counts")
     cumulated = running_total(counts, group, [column], F.col("_n"), "_upto", [block_of(column, width)], total="_size")
 
     def value_at(index: Column) -> Column:

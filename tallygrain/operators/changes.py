@@ -113,7 +113,7 @@ def replace_if_version(
     """
     targets = [c for c in changes.columns if c not in (key, version, *seq)]
     matching = changes.join(df.select(key, version), [key, version], "left_semi")
-    accepted = earliest_per(matching, [key], seq)
+    accepted = written(earliest_per(matching, [key], seq), "accepted")
     hits = accepted.select(key, *[F.col(c).alias(f"_new_{c}") for c in targets], F.lit(True).alias("_hit"))
     joined = df.join(hits, key, "left")
     table = joined.select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallygrain.functions.scalars import hash_key
 from tallygrain.operators.ordered import block_of
+from tallygrain.session import written
 
 
 def star_join(fact: DataFrame, dims: Sequence[tuple[DataFrame, str | list[str]]]) -> DataFrame:
@@ -74,9 +75,11 @@ def densify(df: DataFrame, groups: Sequence[str], periods: DataFrame, fill: dict
 
     ``periods`` is a calendar: its distinct rows are folded into one array
     literal (a scalar subquery) and exploded per group, so no pair join is
-    planned. ``df`` must hold one row per group and period.
+    planned. ``df`` must hold one row per group and period; it is used twice,
+    and written so that what it sums up is read once.
     """
     on = list(periods.columns)
+    df = written(df, "measured")
     calendar = periods.agg(F.array_sort(F.collect_set(F.struct(*on)))).scalar()
     frame = df.select(*groups).distinct().withColumn("_p", F.explode(calendar)).select(*groups, "_p.*")
     dense = frame.join(df, [*groups, *on], "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallygrain.operators.changes import append
 from tallygrain.operators.ordered import following
 from tallygrain.operators.windows import first_per, lag_by
+from tallygrain.session import written
 
 
 def scd2_current(df: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def scd2_apply(
     the rest rejected; ``seq`` tells an owner's changes apart and holds no nulls. A taken change closes the open version of its member and
     opens a new one at ``seq[0]``; of several to one member each closes the one before.
     """
-    taken = first_per(changes, [owner], seq, allowance)
+    taken = written(first_per(changes, [owner], seq, allowance), "taken")
     rejected = changes.join(taken.select(owner, *seq), [owner, *seq], "left_anti")
     # at most `allowance` rows per owner from here on
     since = seq[0]

@@ -11,6 +11,7 @@ from tallygrain.functions.scalars import syllable_name
 from tallygrain.operators import changes, versions, wholesale
 from tallygrain.operators.ordered import block_of
 from tallygrain.registry import query
+from tallygrain.session import written
 from tallygrain.shapes import shape
 
 ID_BLOCK = 1 << 16
@@ -566,7 +567,7 @@ def scd2_current(spark, sf):
 )
 def scd2_apply(spark, sf):
     """A circle's versions after a year of changes, three allowed per customer; the rest is rejected."""
-    events = _circle_events(spark, sf)
+    events = written(_circle_events(spark, sf).filter("d < date '1998-01-01' or d >= date '2001-01-01'"), "events")
     members = (
         events.filter("d < date '1998-01-01'")
         .groupBy("customer_id", "index_id")

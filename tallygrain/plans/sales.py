@@ -11,6 +11,8 @@ date itself, grouped as numbers and dates and written out as text at the end.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +71,11 @@ def year_over_year(
     keys = ["prod_name", "calendar_year", "calendar_week_number"]
     years = [target_year - 1, target_year]
     span = F.col("calendar_year").isin(years) & F.col("calendar_week_number").between(*weeks)
-    weekly = lines.select("prod_id", "amount_cents", *grouping(YEAR_WEEK)).filter(span)
+    # the dates of both years reach the scan, the week numbers cannot
+    dated = predicates.where_between(
+        lines, "time_id", dt.date(target_year - 1, 1, 1), dt.date(target_year, 12, 31)
+    )
+    weekly = dated.select("prod_id", "amount_cents", *grouping(YEAR_WEEK)).filter(span)
     by_name = joins.star_join(weekly, [(products.select("prod_id", "prod_name"), "prod_id")])
     periods = times.filter(span).select("calendar_year", "calendar_week_number")
     dense = joins.densify(summed(by_name, keys), ["prod_name"], periods, {"cents": 0})
