@@ -152,7 +152,9 @@ SCHEMA_SPEC = {
        from r""",
 )
 def validate_schema(spark, sf):
-    return tables.validate({t: shape(spark, sf, t) for t in ("orders", "customer", "lineitem")}, SCHEMA_SPEC)
+    # schemas as the files have them, not as declared
+    present = {t: spark.read.parquet(f"{sf}/{t}.parquet") for t in ("orders", "customer", "lineitem")}
+    return tables.validate(present, SCHEMA_SPEC)
 
 
 # --- documents --------------------------------------------------------------------------------

@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallygrain.sources.schemas import read_table
+
 # --- star schema -----------------------------------------------------------
 SHAPES: dict[str, str] = {
     # a sale is a line; its order names the customer and the channel
@@ -142,10 +144,22 @@ SHAPES: dict[str, str] = {
 }
 
 
+def needed_shapes(text: str) -> list[str]:
+    """The shapes a text names as ``{name}``, directly or through others, in dependency order."""
+    order: list[str] = []
+    for name in dict.fromkeys(re.findall(r"\{(\w+)\}", text)):
+        if name in SHAPES:
+            order += [n for n in [*needed_shapes(SHAPES[name]), name] if n not in order]
+    return order
+
+
 def shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view, or one of the given tables, as a DataFrame."""
     if name not in SHAPES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = SHAPES[name]
-    inputs = {n: shape(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", text))}
-    return spark.sql(text, **inputs)
+        return read_table(spark, sf_dir, name)
+    needed = needed_shapes(f"{{{name}}}")
+    tables = {t for n in needed for t in re.findall(r"\{(\w+)\}", SHAPES[n]) if t not in SHAPES}
+    # shapes become common table expressions of one statement; tables stay parameters
+    plain = re.compile(r"\{(" + "|".join(SHAPES) + r")\}")
+    views = ",\n".join(f"{n} as ({plain.sub(r'\1', SHAPES[n])})" for n in needed)
+    return spark.sql(f"with {views}\nselect * from {name}", **{t: read_table(spark, sf_dir, t) for t in tables})

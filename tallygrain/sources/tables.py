@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrain.operators.ordered import running_total
+from tallygrain.sources.schemas import read_table
 
 
 def read_tables(spark: SparkSession, sf_dir: str, columns: dict[str, Sequence[str]]) -> dict[str, DataFrame]:
     """The named tables, each pruned to the given columns at the scan."""
-    return {name: spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols) for name, cols in columns.items()}
+    return {name: read_table(spark, sf_dir, name).select(*cols) for name, cols in columns.items()}
 
 
 def jdbc_options(url: str, table: str, key: str, low: int, high: int, partitions: int, fetch: int = 10_000) -> dict:

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrain.session import work_folder
+from tallygrain.sources.schemas import SCHEMAS
 
-EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+EVENT_SCHEMA = SCHEMAS["events"]
 
 
 def read_events(
