@@ -7,7 +7,6 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tallygrain.functions.scalars import SYLLABLES  # noqa: F401 - part of the public surface
 from tallygrain.operators import changes, versions, wholesale
 from tallygrain.operators.ordered import block_of
 

@@ -38,7 +38,7 @@ def test_plan_scales(unbroadcast, key):
     assert key in SMALL_WINDOWS or not whole_in_one_task
 
 
-@pytest.mark.parametrize("key", ["rank_global", "bounded_browse", "rank_in_partition", "oe_browse_products", "scd2_apply"])
+@pytest.mark.parametrize("key", ["rank_global", "bounded_browse", "rank_in_partition", "oe_browse_products", "oe_browse_customer"])
 def test_rankings_are_limited_before_the_shuffle(spark, key):
     text = plan(QUERIES[key](spark, SF))
     assert re.search(r"WindowGroupLimit .*Partial", text)
