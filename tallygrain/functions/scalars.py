@@ -74,6 +74,10 @@ def clamp(column: str | Column, low, high) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), _col(column)))
 
 
+# fixed values: stock below the least is refilled by the refill
+LEAST_STOCK, REFILL = 10, 91
+
+
 def stock_after(stock: Column, ordered: Column) -> Column:
     """Stock after taking ``ordered`` pieces in any number of order lines.
 
@@ -83,8 +87,8 @@ def stock_after(stock: Column, ordered: Column) -> Column:
     need neither an order nor a common task.
     """
     left = stock - ordered
-    wrapped = F.pmod(left - 10, F.lit(91)) + 10
-    return F.when((ordered == 0) | (left >= 10), left).otherwise(wrapped)
+    wrapped = F.pmod(left - LEAST_STOCK, F.lit(REFILL)) + LEAST_STOCK
+    return F.when((ordered == 0) | (left >= LEAST_STOCK), left).otherwise(wrapped)
 
 
 def minute_of(ts: str | Column) -> Column:

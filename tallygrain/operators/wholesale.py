@@ -14,7 +14,7 @@ from tallygrain.operators.ordered import position
 from tallygrain.operators.windows import earliest_per, first_per, latest_per
 from tallygrain.session import written
 
-MAX_LINE = 81  # largest line quantity for which the stock rule is free of line order
+MAX_LINE = 81  # the largest line quantity for which the stock rule is free of line order
 
 
 def new_orders(
@@ -63,9 +63,10 @@ def new_orders(
         .withColumns(
             {
                 "o_id": F.col("d_next_o_id") + F.col("_n") - 1,
-                "total_millionths": F.coalesce("cents", F.lit(0).cast("long"))
-                * (10000 + F.col("w_tax_bp") + F.col("d_tax_bp"))
-                * (100 - F.col("c_discount_pct")),
+                # an order may hold a large share of all lines: a decimal, as a long could overflow
+                "total_millionths": F.coalesce("cents", F.lit(0).cast("long")).cast("decimal(20,0)")
+                * (10000 + F.col("w_tax_bp") + F.col("d_tax_bp")).cast("decimal(8,0)")
+                * (100 - F.col("c_discount_pct")).cast("decimal(4,0)"),
             }
         )
     )
@@ -103,6 +104,9 @@ def new_orders(
     }
 
 
+# fixed values: the note put on a payment (customer, their district and
+# warehouse, paying district and warehouse, amount) and the room for notes
+NOTE = "| %d %d %d %d %d %s |"
 NOTE_LENGTH = 500
 SHORTEST_NOTE = 18  # "| 0 0 0 0 0 0.00 |"
 
@@ -118,7 +122,7 @@ def payments(customers: DataFrame, pays: DataFrame, seq: Sequence[str]) -> dict[
     key = ["c_w_id", "c_d_id", "c_id"]
     sums = pays.groupBy(*key).agg(F.sum("cents").alias("_paid"), F.count(F.lit(1)).alias("_n"))
     note = F.format_string(
-        "| %d %d %d %d %d %s |",
+        NOTE,
         "c_id", "c_d_id", "c_w_id", "d_id", "w_id",
         (F.col("cents").cast("decimal(18,0)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(18,2)").cast("string"),
     )

@@ -348,19 +348,19 @@ def _ws_batch(spark, sf):
     "wholesale_new_order",
     f"""with {WS_BATCH_SQL}
         select 'order' as kind, batch_id as a, d_next_o_id + n - 1 as b, coalesce(ol_cnt, 0) as c,
-               cast(coalesce(cents, 0) * (10000 + w_tax_bp + d_tax_bp) * (100 - c_discount_pct) as bigint) as d
+               cast(coalesce(cents, 0)::hugeint * (10000 + w_tax_bp + d_tax_bp) * (100 - c_discount_pct) as varchar) as d
         from num join ws_district on d_w_id = w_id and ws_district.d_id = num.d_id
              join ws_customer on ws_customer.c_id = num.c_id left join sums using (batch_id)
         union all
-        select 'rejected', batch_id, 0, 0, 0 from bad
+        select 'rejected', batch_id, 0, 0, '0' from bad
         union all
-        select 'district', d_w_id, dd.d_id, d_next_o_id + coalesce(k, 0), 0
+        select 'district', d_w_id, dd.d_id, d_next_o_id + coalesce(k, 0), '0'
         from ws_district dd left join (select w_id, d_id, count(*) as k from good group by all) g
              on g.w_id = dd.d_w_id and g.d_id = dd.d_id
         union all
         select 'stock', s_w_id, s_i_id, coalesce(m.remote, 0),
                cast(case when coalesce(m.q, 0) = 0 or s_quantity - m.q >= 10 then s_quantity - coalesce(m.q, 0)
-                    else ((s_quantity - m.q - 10) % 91 + 91) % 91 + 10 end as bigint)
+                    else ((s_quantity - m.q - 10) % 91 + 91) % 91 + 10 end as varchar)
         from ws_stock left join (select supply_w_id, i_id, sum(quantity) as q, sum(remote)::bigint as remote from priced group by all) m
              on m.supply_w_id = s_w_id and m.i_id = s_i_id""",
 )
@@ -370,7 +370,8 @@ def wholesale_new_order(spark, sf):
     zero = F.lit(0).cast("long")
 
     def rows(kind, df, a, b, c, d):
-        return df.select(F.lit(kind).alias("kind"), *[x.cast("long").alias(n) for n, x in zip("abcd", (a, b, c, d))])
+        numbers = [x.cast("long").alias(n) for n, x in zip("abc", (a, b, c))]
+        return df.select(F.lit(kind).alias("kind"), *numbers, d.cast("string").alias("d"))
 
     col = F.col
     parts = [

@@ -29,6 +29,7 @@ def write_documents(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", "false").json(path)
 
 
+# fixed values: field names of a run-result document
 RUN_SCHEMA = """Results struct<Overview: struct<BenchmarkName: string, TimeOfRun: string,
     AverageTransactionsPerSecond: string, TotalCompletedTransactions: string, TotalFailedTransactions: string>>"""
 
@@ -53,6 +54,7 @@ def read_runs(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
 
 def interaction_events(events: DataFrame) -> DataFrame:
     """Event rows as interaction messages (one JSON text each); the time is cut to its UTC minute."""
+    # fixed values: field names of an interaction message
     message = F.struct(
         F.col("event_id").alias("EventId"),
         F.col("event_type").alias("EventType"),
