@@ -29,7 +29,7 @@ def apply_update(df: DataFrame, changes: DataFrame, on: Sequence[str], seq: Sequ
     last = latest_per(changes, on, seq).select(
         *on, *[F.col(c).alias(f"_new_{c}") for c in targets], F.lit(True).alias("_hit")
     )
-    joined = df.join(last, list(on), "left")
+    joined = split_join(df, last, on, "left")
     return joined.select(
         *[
             F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in targets else F.col(c)
@@ -41,7 +41,7 @@ def apply_update(df: DataFrame, changes: DataFrame, on: Sequence[str], seq: Sequ
 def apply_increment(df: DataFrame, deltas: DataFrame, on: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Add the sums of the deltas of each key to ``columns``."""
     sums = deltas.groupBy(*on).agg(*[F.sum(c).alias(f"_d_{c}") for c in columns])
-    joined = df.join(sums, list(on), "left")
+    joined = split_join(df, sums, on, "left")
     return joined.select(
         *[
             (F.col(c) + F.coalesce(f"_d_{c}", F.lit(0))).cast(df.schema[c].dataType).alias(c)
@@ -99,7 +99,7 @@ def assign_group_ids(
         group, F.greatest(F.col("low") - 1, F.coalesce("_used", F.col("low") - 1)).alias("_start")
     )
     numbered = position(new, [group], order, "_n", blocks)
-    return numbered.join(start, group).withColumn(id_column, F.col("_start") + F.col("_n")).drop("_start", "_n")
+    return split_join(numbered, start, [group]).withColumn(id_column, F.col("_start") + F.col("_n")).drop("_start", "_n")
 
 
 def replace_if_version(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrain.functions.scalars import stock_after
-from tallygrain.operators.changes import apply_delete, apply_increment, append
+from tallygrain.operators.changes import apply_delete, apply_increment
 from tallygrain.operators.joins import semi, split_join
 from tallygrain.operators.ordered import position
 from tallygrain.operators.windows import earliest_per, first_per, latest_per
@@ -57,8 +57,7 @@ def new_orders(
     rejected = checked.filter("_bad").select("batch_id")
     taxed = districts.select(F.col("d_w_id").alias("w_id"), "d_id", "d_next_o_id", "w_tax_bp", "d_tax_bp")
     headers = (
-        position(good, ["w_id", "d_id"], order, "_n", blocks)
-        .join(taxed, ["w_id", "d_id"])
+        split_join(position(good, ["w_id", "d_id"], order, "_n", blocks), taxed, ["w_id", "d_id"])
         .join(customers.select("c_id", "c_discount_pct"), "c_id")
         .withColumns(
             {
@@ -197,11 +196,9 @@ def stock_level(
     stock: DataFrame, lines: DataFrame, districts: DataFrame, threshold: int, last: int
 ) -> DataFrame:
     """Per district: distinct items of its last orders whose stock in the district's warehouse is low."""
+    upper = districts.select(F.col("d_w_id").alias("ol_w_id"), F.col("d_id").alias("ol_d_id"), "d_next_o_id")
     recent = (
-        lines.join(
-            districts.select(F.col("d_w_id").alias("ol_w_id"), F.col("d_id").alias("ol_d_id"), "d_next_o_id"),
-            ["ol_w_id", "ol_d_id"],
-        )
+        split_join(lines, upper, ["ol_w_id", "ol_d_id"])
         .filter((F.col("ol_o_id") >= F.greatest(F.lit(1), F.col("d_next_o_id") - last)) & (F.col("ol_o_id") < F.col("d_next_o_id")))
         .select("ol_w_id", "ol_d_id", "ol_i_id")
         .distinct()

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from tallygrain.operators.joins import split_join
 from tallygrain.session import written
 
 
@@ -77,7 +78,7 @@ def earliest_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 def last_n(df: DataFrame, keys: Sequence[str], number: str, upper: DataFrame, next_number: str, n: int) -> DataFrame:
     """Rows numbered in ``[max(1, next - n), next)`` of each key; ``upper`` holds the next number per key."""
     low = F.greatest(F.lit(1), F.col(next_number) - n)
-    return df.join(upper, list(keys)).filter((F.col(number) >= low) & (F.col(number) < F.col(next_number)))
+    return split_join(df, upper, keys).filter((F.col(number) >= low) & (F.col(number) < F.col(next_number)))
 
 
 def pct_change(df: DataFrame, order: str, column: str, out: str, part: Sequence[str] = ()) -> DataFrame:

@@ -7,12 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrain.functions.scalars import syllable_name
 from tallygrain.operators import changes, versions, wholesale
 from tallygrain.operators.ordered import block_of
 from tallygrain.registry import query
 from tallygrain.session import written
-from tallygrain.shapes import shape
+from tallygrain.shapes import shape, stored_shape
 
 ID_BLOCK = 1 << 16
 
@@ -338,7 +337,8 @@ def _ws_batch(spark, sf):
         F.col("ol_o_id").alias("batch_id"), F.col("ol_w_id").alias("w_id"), "ol_number", F.col("ol_i_id").alias("i_id"),
         F.col("ol_supply_w_id").alias("supply_w_id"), F.col("ol_quantity").alias("quantity"),
     )
-    districts, customers, items, stock = _load(spark, sf, "ws_district", "ws_customer", "ws_item", "ws_stock")
+    customers, items, stock = _load(spark, sf, "ws_customer", "ws_item", "ws_stock")
+    districts = stored_shape(spark, sf, "ws_district")
     return wholesale.new_orders(
         districts, customers, items, stock, batch, batch_lines, ["batch_id"], [block_of("batch_id", ID_BLOCK)]
     )

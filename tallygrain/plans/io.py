@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallygrain.functions.scalars import units
 from tallygrain.operators import runs
-from tallygrain.operators.aggregates import collect_chunks, collect_ordered
+from tallygrain.operators.aggregates import collect_ordered
 from tallygrain.operators.documents import json_value
 from tallygrain.operators.ordered import block_of
 from tallygrain.registry import query

@@ -10,7 +10,7 @@ from tallygrain.operators.ordered import nth_row
 from tallygrain.plans.relational import LAST_NAME_SQL, MINUTES_5
 from tallygrain.registry import query
 from tallygrain.session import written
-from tallygrain.shapes import shape
+from tallygrain.shapes import shape, stored_shape
 
 
 def _load(spark, sf, *names):
@@ -205,7 +205,8 @@ def ws_order_status(spark, sf):
 )
 def ws_stock_level(spark, sf):
     """Distinct low-stock items in the latest orders of every district."""
-    stock, lines, districts = _load(spark, sf, "ws_stock", "ws_order_line", "ws_district")
+    stock, lines = _load(spark, sf, "ws_stock", "ws_order_line")
+    districts = stored_shape(spark, sf, "ws_district")
     return wholesale.stock_level(stock, lines, districts, threshold=60, last=2000)
 
 

@@ -8,7 +8,7 @@ from tallygrain.functions.scalars import quarter_desc, units
 from tallygrain.operators import aggregates, joins, predicates, topk, windows
 from tallygrain.operators.ordered import nth_row
 from tallygrain.registry import query
-from tallygrain.shapes import shape
+from tallygrain.shapes import shape, stored_shape
 
 
 # --- filters ------------------------------------------------------------------
@@ -141,9 +141,8 @@ def distinct_values(spark, sf):
             join customers using (cust_id) join countries using (country_id)""",
 )
 def star_join(spark, sf):
-    sales, products, times, channels, customers, countries = (
-        shape(spark, sf, n) for n in ("sales", "products", "times", "channels", "customers", "countries")
-    )
+    sales, products, customers, countries = (shape(spark, sf, n) for n in ("sales", "products", "customers", "countries"))
+    times, channels = stored_shape(spark, sf, "times"), stored_shape(spark, sf, "channels")
     dims = [(products, "prod_id"), (times, "time_id"), (channels, "channel_id"), (customers, "cust_id"),
             (countries, "country_id")]
     return joins.star_join(sales, dims).select(
@@ -636,7 +635,7 @@ def earliest_per_key(spark, sf):
 )
 def last_n_per_key(spark, sf):
     orders = shape(spark, sf, "ws_orders").select("o_w_id", "o_d_id", "o_id")
-    upper = shape(spark, sf, "ws_district").select(
+    upper = stored_shape(spark, sf, "ws_district").select(
         F.col("d_w_id").alias("o_w_id"), F.col("d_id").alias("o_d_id"), "d_next_o_id"
     )
     return windows.last_n(orders, ["o_w_id", "o_d_id"], "o_id", upper, "d_next_o_id", 2000).drop("d_next_o_id")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tallygrain.functions.scalars import money_text, quarter_desc, units
 from tallygrain.operators import aggregates, joins, predicates, windows
 from tallygrain.registry import query
-from tallygrain.shapes import shape
+from tallygrain.shapes import shape, stored_shape
 
 # grouping expressions of the calendar periods
 WEEK = {"calendar_week_number": "weekofyear(time_id)"}
@@ -168,9 +168,8 @@ def sh_product_rollup(spark, sf):
 
 def _level_report(levels, spark, sf, period: dict[str, str], channels: list[str] | None = None) -> DataFrame:
     """Subtotals of channel, period and country over the leaf sums."""
-    lines, orders, customers, countries, channel = _load(
-        spark, sf, "sale_lines", "sale_orders", "customers", "countries", "channels"
-    )
+    lines, orders, customers, countries = _load(spark, sf, "sale_lines", "sale_orders", "customers", "countries")
+    channel = stored_shape(spark, sf, "channels")
     if channels:
         channel = predicates.where_in(channel, "channel_desc", channels)
     placed = order_places(joins.star_join(orders, [(channel, "channel_id")]), customers, countries)

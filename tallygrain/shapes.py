@@ -12,6 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallygrain.session import written
 from tallygrain.sources.schemas import read_table
 
 # --- star schema -----------------------------------------------------------
@@ -163,3 +164,12 @@ def shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     plain = re.compile(r"\{(" + "|".join(SHAPES) + r")\}")
     views = ",\n".join(f"{n} as ({plain.sub(r'\1', SHAPES[n])})" for n in needed)
     return spark.sql(f"with {views}\nselect * from {name}", **{t: read_table(spark, sf_dir, t) for t in tables})
+
+
+def stored_shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A shape that is a short table of its own in its schema (channels, days, districts).
+
+    Here it is summed up from facts; written out, its true size is known and a
+    fact need not be shuffled to meet it.
+    """
+    return written(shape(spark, sf_dir, name), name)
