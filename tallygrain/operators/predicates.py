@@ -64,7 +64,9 @@ def word_prefix(column: str, term: str) -> Column:
     """True where some word of the text starts with ``term`` (an optional trailing ``*`` is dropped)."""
     stem = term.rstrip("*").strip().lower()
     escaped = "".join(ch if ch.isalnum() else "\\" + ch for ch in stem)
-    return F.lower(F.col(column)).rlike(rf"(^|[^\p{{L}}\p{{N}}]){escaped}")
+    text = F.lower(F.col(column))
+    # the plain search turns most texts away before the pattern sees them
+    return text.contains(stem) & text.rlike(rf"(^|[^\p{{L}}\p{{N}}]){escaped}")
 
 
 def text_prefix_search(
