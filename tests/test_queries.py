@@ -3,10 +3,12 @@
 import pytest
 
 from check import frame
+from tallygrain.plans import load_all
+from tallygrain.registry import ORACLES, QUERIES
 from tests.conftest import SF
 from __spark_entry__ import entry, oracle_sql, queries
 
-QUERIES, ORACLES = queries(), oracle_sql()
+load_all()
 
 
 @pytest.mark.parametrize("key", sorted(QUERIES))
@@ -21,6 +23,7 @@ def test_query_matches_sql(spark, duck, key):
 
 def test_every_query_has_a_check():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql()) <= set(queries())
 
 
 def test_entry_is_lazy_and_has_rows(spark):
