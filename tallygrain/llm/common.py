@@ -44,3 +44,15 @@ def slices(
 def byte_texts(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; a null text is empty."""
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
+
+
+def int_lists(lists: pa.ListArray) -> list[list[int]]:
+    """Lists of integers as Python lists; a null list is empty."""
+    bounds, values = np.asarray(lists.offsets, np.int64), lists.values.to_numpy(zero_copy_only=False)
+    return [values[a:b].tolist() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+
+def expand(counts: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Places ``begin[i]`` to ``begin[i] + counts[i]`` of all ``i``, one after the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(begin - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
