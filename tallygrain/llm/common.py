@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tallygrain.session import work_folder
+
 # the bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return;
 # exactly what bytes.split() splits on
 SPACE = b" \t\n\x0b\x0c\r"
@@ -56,3 +58,27 @@ def expand(counts: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Places ``begin[i]`` to ``begin[i] + counts[i]`` of all ``i``, one after the other."""
     ends = np.cumsum(counts)
     return np.repeat(begin - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Scratch:
+    """Tables an operator writes to the shared folder on its way; ``clear`` deletes those its result does not read."""
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.base = spark, work_folder(spark, label)
+        self.paths: list[str] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df``, cut its lineage there, and go on from the files."""
+        path = f"{self.base}/{len(self.paths)}-{name}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self, *kept: str) -> None:
+        """Delete all tables but those named."""
+        jvm = self.spark.sparkContext._jvm
+        for path in self.paths:
+            if path.rsplit("-", 1)[-1] not in kept:
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = [p for p in self.paths if p.rsplit("-", 1)[-1] in kept]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["url_filter", "line_quality", "language_id", "piece_codec", "packed_ids", "mixing", "sharding"]
+MODULES = ["url_filter", "line_quality", "language_id", "piece_codec", "packed_ids", "mixing", "sharding", "near_dedup"]
 
 
 def query(key: str, sql: str | None = None):
