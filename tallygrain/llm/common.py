@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallygrain.session import work_folder
 
@@ -14,6 +15,9 @@ from tallygrain.session import work_folder
 # exactly what bytes.split() splits on
 SPACE = b" \t\n\x0b\x0c\r"
 
+# ids sent to every task at most (32 MB); more are joined by a shuffle
+BROADCAST_IDS = 1 << 22
+
 # text handled at once in a Python worker; only a single longer text exceeds it
 SLICE_BYTES = 4 << 20
 
@@ -82,3 +86,21 @@ class Scratch:
                 at = jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         self.paths = [p for p in self.paths if p.rsplit("-", 1)[-1] in kept]
+
+
+def among(df: DataFrame, ids: DataFrame, key: str, keep: bool = True, most: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is among ``ids`` (``keep``) or is not. ``ids`` is a written table.
+
+    The ids are counted: up to ``most`` are sent to every task and the rows
+    stay where they are, beyond that both sides are shuffled.
+    """
+    how = "left_semi" if keep else "left_anti"
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids, key, how)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrain.llm.common import Scratch, byte_texts, slices, table
+from tallygrain.llm.common import Scratch, among, byte_texts, fresh, slices, table
 from tallygrain.llm.registry import query
 
 WIDTH = 5
@@ -123,7 +123,7 @@ def full_sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(raw, pa.binary())], ["id", "set"])
 
     given = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    found = given.join(wanted.select(F.col("id").alias("_id")), "_id", "left_semi").mapInArrow(run, "id long, set binary")
+    found = among(given, wanted.select(F.col("id").alias("_id")), "_id").mapInArrow(run, "id long, set binary")
     return found.groupBy("id", F.xxhash64("set")).agg(F.any_value("set").alias("set")).select("id", "set")
 
 
@@ -296,8 +296,9 @@ def near_duplicates(
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, without those that are near-duplicates of a document with a smaller id."""
-    gone = near_duplicates(df, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    scratch, key = Scratch(df.sparkSession, "near-gone"), fresh(df, "_id")
+    gone = near_duplicates(df, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias(key)).distinct()
+    return among(df.withColumn(key, F.col(id_col).cast("long")), scratch(gone, "gone"), key, keep=False).drop(key)
 
 
 @query("op10_near_dedup")
