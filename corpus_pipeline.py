@@ -1,15 +1,59 @@
-"""The training-data pipeline: documents through stages, each written as Parquet and read again."""
+"""The training-data pipeline: documents through stages, each written as Parquet and read again.
+
+1. Language ID: texts without a letter, or mostly in no one language, go.
+2. MinHash near-dedup: of each group of near-duplicates the smallest id stays.
+3. Substring dedup: passages of 50 words and more that a smaller id has are cut out.
+4. Mixing: documents are repeated so that sources come to their target weights.
+5. SentencePiece: every copy is encoded, and decoded again for a checksum.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallygrain.llm import language_id, mixing, near_dedup, piece_codec, substring_dedup
 from tallygrain.llm.common import table
 from tallygrain.session import work_folder
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+# a text stays if one language has this share of its letters: mixed texts stay, unreadable ones go
+MIN_LANGUAGE_SHARE = 0.4
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.keep_known(docs, language_id.train(docs), MIN_LANGUAGE_SHARE)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.poisson_mix(docs).select(*docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    coded = piece_codec.encode_decode(docs)
+    return coded.withColumns(
+        {"n_tokens": F.size("ids").cast("long"), "decoded_sha256": F.sha2("decoded", 256)}
+    ).drop("decoded")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", keep_known_language),
+    ("MinHash near-dedup", drop_near_copies),
+    ("substring dedup", cut_repeated_passages),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode_pieces),
+]
+
+# language ID and encoding have no SQL form: tests/llm/test_pipeline.py holds the rows against a plain version
 ORACLE_SQL: str | None = None
 
 
@@ -17,7 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = work_folder(spark, name.replace(" ", "-"))
+        path = work_folder(spark, name.lower().replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
