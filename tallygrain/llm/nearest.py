@@ -192,7 +192,7 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 
 def nearest(
     df: DataFrame,
-    queries: Column,
+    queries: Column | str,
     k: int = K,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
@@ -261,4 +261,4 @@ def nearest(
 
 @query("op8_multiprobe_nearest")
 def op8_multiprobe_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0)
+    return nearest(table(spark, sf_dir, "embeddings"), "pmod(vec_id, 50) = 0")
