@@ -10,15 +10,17 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+MONEY_WIDTH = 14  # ten digits, three commas and a sign
+
+
 def money_text(cents: str | Column) -> Column:
-    """Whole currency units as right-aligned text with thousands commas.
+    """Whole currency units, half up, as text with thousands commas, right-aligned to ``MONEY_WIDTH`` characters.
 
-    Ten digits and a sign fill 14 characters; a larger amount shows as ``#``.
+    A larger amount takes as many characters as it needs.
     """
     exact = _col(cents).cast("decimal(38,0)") / F.lit(100).cast("decimal(3,0)")
-    units = F.round(exact, 0)
-    text = F.lpad(F.format_number(units.cast("decimal(38,0)"), 0), 14, " ")
-    return F.when(F.abs(units) > F.lit(9_999_999_999), F.repeat(F.lit("#"), 14)).otherwise(text)
+    text = F.format_number(F.round(exact, 0).cast("decimal(38,0)"), 0)
+    return F.concat(F.repeat(F.lit(" "), F.greatest(F.lit(0), F.lit(MONEY_WIDTH) - F.length(text))), text)
 
 
 def units(cents: str | Column) -> Column:

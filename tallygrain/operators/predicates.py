@@ -24,7 +24,8 @@ def lookup_count(df: DataFrame, keys: DataFrame, on: Sequence[str], out: str = "
 
 
 def where_in(df: DataFrame, column: str, values: Sequence) -> DataFrame:
-    return df.filter(F.col(column).isin(*values))
+    """Rows whose column, or SQL expression, is one of the values."""
+    return df.filter(F.expr(column).isin(*values))
 
 
 def where_between(df: DataFrame, column: str, low, high) -> DataFrame:

@@ -207,13 +207,15 @@ def partitioned_outer_join(spark, sf):
 MINUTES_5 = 300_000_000  # microseconds
 
 
-def _intervals(spark, start: str, days: int):
-    """Five-minute intervals, closed at both ends, over some days."""
-    first = F.unix_micros(F.lit(start).cast("timestamp"))
-    steps = F.col("id") * MINUTES_5
-    return spark.range(days * 288).select(
-        F.col("id").alias("interval_no"), (first + steps).alias("low"), (first + steps + MINUTES_5).alias("high")
-    )
+def _intervals(points, at: str):
+    """Five-minute intervals, closed at both ends, from the day of the first point to the last point."""
+    bounds = points.agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    day = F.lit(86_400_000_000)
+    start = F.col("first") - F.pmod("first", day)
+    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") - start) / MINUTES_5)))
+    numbered = bounds.select(start.alias("start"), steps.alias("interval_no"))
+    low = F.col("start") + F.col("interval_no") * MINUTES_5
+    return numbered.select("interval_no", low.alias("low"), (low + MINUTES_5).alias("high"))
 
 
 def _micros(column: str):
@@ -221,9 +223,9 @@ def _micros(column: str):
 
 
 INTERVAL_SQL = """
-  intervals as (select i as interval_no, epoch_us(timestamp '2024-01-01 00:00:00') + i * 300000000 as low,
-                       epoch_us(timestamp '2024-01-01 00:00:00') + (i + 1) * 300000000 as high
-                from range(31 * 288) r(i))"""
+  bounds as (select epoch_us(date_trunc('day', min(ts))) as first, epoch_us(max(ts)) as last from events),
+  intervals as (select i as interval_no, first + i * 300000000 as low, first + (i + 1) * 300000000 as high
+                from (select first, unnest(range((last - first) // 300000000 + 1)) as i from bounds))"""
 
 
 @query(
@@ -233,7 +235,7 @@ INTERVAL_SQL = """
 )
 def interval_range_join(spark, sf):
     events = shape(spark, sf, "events").select("event_id", _micros("ts").alias("at"))
-    paired = joins.range_join(events, "at", _intervals(spark, "2024-01-01", 31), "low", "high", MINUTES_5)
+    paired = joins.range_join(events, "at", _intervals(events, "at"), "low", "high", MINUTES_5)
     return paired.select("event_id", "interval_no")
 
 
@@ -462,7 +464,7 @@ def ordered_collect(spark, sf):
 )
 def interval_sum_count(spark, sf):
     activity = shape(spark, sf, "oe_activity").withColumn("at", _micros("order_date"))
-    paired = joins.range_join(activity, "at", _intervals(spark, "2024-01-01", 31), "low", "high", MINUTES_5)
+    paired = joins.range_join(activity, "at", _intervals(activity, "at"), "low", "high", MINUTES_5)
     return paired.groupBy("warehouse_id", "interval_no").agg(
         units(F.sum("total_cents")).alias("order_value"), F.count(F.lit(1)).alias("orders")
     )

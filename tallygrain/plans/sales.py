@@ -12,14 +12,18 @@ date itself, grouped as numbers and dates and written out as text at the end.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import or_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrain.functions.scalars import money_text, quarter_desc, units
 from tallygrain.operators import aggregates, joins, predicates, windows
+from tallygrain.plans.scalars import money_check
 from tallygrain.registry import query
-from tallygrain.shapes import shape, stored_shape
+from tallygrain.shapes import shape
 
 # grouping expressions of the calendar periods
 WEEK = {"calendar_week_number": "weekofyear(time_id)"}
@@ -54,6 +58,52 @@ def order_places(orders: DataFrame, customers: DataFrame, countries: DataFrame)
     return joins.star_join(orders, [(people, "cust_id"), (countries, "country_id")]).drop("country_id", "cust_id")
 
 
+class Slice(NamedTuple):
+    """What a report is about: value lists, all values where a list is empty.
+
+    ``months`` are texts like ``1999-03``; ``weeks`` are numbers, of every year
+    unless ``years`` are given.
+    """
+
+    channels: tuple[str, ...] = ()
+    countries: tuple[str, ...] = ()
+    products: tuple[str, ...] = ()
+    years: tuple[int, ...] = ()
+    months: tuple[str, ...] = ()
+    weeks: tuple[int, ...] = ()
+
+    def spans(self) -> list[tuple[dt.date, dt.date]]:
+        """First and last days of the chosen months, or else of the years; adjoining ones as one span."""
+        if self.months:
+            firsts = [dt.date.fromisoformat(f"{m}-01") for m in self.months]
+            lasts = [(f + dt.timedelta(days=31)).replace(day=1) - dt.timedelta(days=1) for f in firsts]
+            days = [(a, b) for a, b in zip(firsts, lasts) if not self.years or a.year in self.years]
+        else:
+            days = [(dt.date(y, 1, 1), dt.date(y, 12, 31)) for y in self.years]
+        joined: list[tuple[dt.date, dt.date]] = []
+        for a, b in sorted(days):
+            if joined and a <= joined[-1][1] + dt.timedelta(days=1):
+                a, b = joined.pop()[0], b
+            joined.append((a, b))
+        return joined
+
+    def dated(self, df: DataFrame) -> DataFrame:
+        """Rows of the chosen time. Date ranges reach the scan, week numbers cannot."""
+        if self.months or self.years:
+            within = [F.col("time_id").between(F.lit(a), F.lit(b)) for a, b in self.spans()]
+            df = df.filter(reduce(or_, within, F.lit(False)))
+        return predicates.where_in(df, "weekofyear(time_id)", self.weeks) if self.weeks else df
+
+    def where(self) -> str:
+        """The same as a condition in SQL."""
+        lists = {
+            "channel_desc": self.channels, "country_iso_code": self.countries, "prod_name": self.products,
+            "calendar_year": self.years, "calendar_month_desc": self.months, "calendar_week_number": self.weeks,
+        }
+        given = [f"{c} in ({', '.join(map(repr, v))})" for c, v in lists.items() if v]
+        return "where " + " and ".join(given) if given else ""
+
+
 def _load(spark, sf, *names):
     return [shape(spark, sf, n) for n in names]
 
@@ -72,12 +122,11 @@ def year_over_year(
     years = [target_year - 1, target_year]
     span = F.col("calendar_year").isin(years) & F.col("calendar_week_number").between(*weeks)
     # the dates of both years reach the scan, the week numbers cannot
-    dated = predicates.where_between(
-        lines, "time_id", dt.date(target_year - 1, 1, 1), dt.date(target_year, 12, 31)
-    )
+    both = Slice(years=(target_year - 1, target_year))
+    dated = both.dated(lines)
     weekly = dated.select("prod_id", "amount_cents", *grouping(YEAR_WEEK)).filter(span)
     by_name = joins.star_join(weekly, [(products.select("prod_id", "prod_name"), "prod_id")])
-    periods = times.filter(span).select("calendar_year", "calendar_week_number")
+    periods = both.dated(times).filter(span).select("calendar_year", "calendar_week_number")
     dense = joins.densify(summed(by_name, keys), ["prod_name"], periods, {"cents": 0})
     ytd = windows.running_sum(dense, ["prod_name", "calendar_year"], "calendar_week_number", "cents", "ytd")
     prior = windows.lag_by(ytd, ["prod_name", "calendar_week_number"], "calendar_year", "ytd", 1, "ytd_prior")
@@ -126,94 +175,112 @@ def sh_week_to_week(spark, sf):
 
 
 # --- rollups and cubes ---------------------------------------------------------
-@query(
-    "sh_product_monthly_rollup",
-    """
-select calendar_year, calendar_week_number, prod_name, sum(amount_cents)::double / 100 as amount_sold,
-       grouping_id(calendar_year, calendar_week_number, prod_name) as level
-from sales join times using (time_id) join products using (prod_id) join customers using (cust_id)
-     join countries using (country_id)
-group by rollup(calendar_year, calendar_week_number, prod_name)""",
-)
-def sh_product_monthly_rollup(spark, sf):
-    """Rollup of year, week and product name."""
+def _product_rollup(spark, sf, keys: dict[str, str], pick: Slice, by_name: bool) -> DataFrame:
+    """Rollup of periods and, by name, products; countries are joined only if some are chosen."""
     lines, products = _load(spark, sf, "sale_lines", "products")
-    weekly = lines.select("prod_id", "amount_cents", *grouping(YEAR_WEEK))
-    by_name = joins.star_join(weekly, [(products.select("prod_id", "prod_name"), "prod_id")])
-    keys = [*YEAR_WEEK, "prod_name"]
-    return aggregates.rollup_sum(by_name, keys, "amount_cents", "cents").select(
-        *keys, units("cents").alias("amount_sold"), "level"
-    )
+    sold = pick.dated(lines)
+    if pick.countries:
+        orders, customers, countries = _load(spark, sf, "sale_orders", "customers", "countries")
+        chosen = predicates.where_in(countries, "country_iso_code", pick.countries)
+        sold = sold.join(order_places(orders, customers, chosen).select("order_id"), "order_id")
+    if pick.products:
+        products = predicates.where_in(products, "prod_name", pick.products)
+    names = ["prod_name"] if by_name else []
+    if by_name:
+        sold = joins.star_join(sold, [(products.select("prod_id", "prod_name"), "prod_id")])
+    elif pick.products:
+        sold = predicates.lookup(sold, products, ["prod_id"])
+    columns = [*keys, *names]
+    summed_up = aggregates.rollup_sum(sold.select("amount_cents", *names, *grouping(keys)), columns, "amount_cents", "cents")
+    return summed_up.select(*columns, units("cents").alias("amount_sold"), "level")
+
+
+def _product_sql(keys: dict[str, str], pick: Slice, by_name: bool) -> str:
+    columns = ", ".join([*keys, *(["prod_name"] if by_name else [])])
+    return f"""
+select {columns}, sum(amount_cents)::double / 100 as amount_sold, grouping_id({columns}) as level
+from sales join times using (time_id) join products using (prod_id) join customers using (cust_id)
+     join countries using (country_id) {pick.where()}
+group by rollup({columns})"""
+
+
+SOME_PRODUCTS = ("red widget", "blue bolt", "small ring")
+SOME_COUNTRIES = ("NATION_3", "NATION_7", "NATION_19")
+SOME_CHANNELS = ("1-URGENT", "5-LOW")
+
+PRODUCT_REPORTS = {
+    "sh_product_monthly_rollup": (YEAR_WEEK, Slice(), True),
+    "sh_product_monthly_rollup_chosen": (
+        YEAR_WEEK, Slice(products=SOME_PRODUCTS, countries=SOME_COUNTRIES, months=("1998-11", "1998-12", "1999-02")), True,
+    ),
+    "sh_product_rollup": (QUARTER_MONTH, Slice(products=SOME_PRODUCTS), False),
+    "sh_product_rollup_chosen": (
+        QUARTER_MONTH, Slice(products=SOME_PRODUCTS, countries=SOME_COUNTRIES, years=(1997, 1999)), False,
+    ),
+}
 
 
-@query(
-    "sh_product_rollup",
-    """
-select calendar_year, calendar_quarter_number, calendar_month_number, sum(amount_cents)::double / 100 as amount_sold,
-       grouping_id(calendar_year, calendar_quarter_number, calendar_month_number) as level
-from sales join times using (time_id) join products using (prod_id)
-where prod_name in ('red widget', 'blue bolt', 'small ring')
-group by rollup(calendar_year, calendar_quarter_number, calendar_month_number)""",
-)
-def sh_product_rollup(spark, sf):
-    """Rollup of year, quarter and month for some products."""
-    lines, products = _load(spark, sf, "sale_lines", "products")
-    chosen = predicates.where_in(products, "prod_name", ["red widget", "blue bolt", "small ring"])
-    sold = predicates.lookup(lines, chosen, ["prod_id"]).select("amount_cents", *grouping(QUARTER_MONTH))
-    keys = list(QUARTER_MONTH)
-    return aggregates.rollup_sum(sold, keys, "amount_cents", "cents").select(
-        *keys, units("cents").alias("amount_sold"), "level"
-    )
+def _product_report(key: str, args: tuple) -> None:
+    @query(key, _product_sql(*args))
+    def report(spark, sf):
+        return _product_rollup(spark, sf, *args)
+
 
+for _key, _args in PRODUCT_REPORTS.items():
+    _product_report(_key, _args)
 
-def _level_report(levels, spark, sf, period: dict[str, str], channels: list[str] | None = None) -> DataFrame:
-    """Subtotals of channel, period and country over the leaf sums."""
+
+def level_report(levels, spark, sf, period: dict[str, str], pick: Slice = Slice()) -> DataFrame:
+    """Subtotals of channel, period and country over the leaf sums: as text and in cents."""
     lines, orders, customers, countries = _load(spark, sf, "sale_lines", "sale_orders", "customers", "countries")
-    channel = stored_shape(spark, sf, "channels")
-    if channels:
-        channel = predicates.where_in(channel, "channel_desc", channels)
-    placed = order_places(joins.star_join(orders, [(channel, "channel_id")]), customers, countries)
-    sold = lines.select("order_id", "amount_cents", *grouping(period)).join(placed, "order_id")
+    if pick.channels:
+        orders = predicates.where_in(orders, "channel_desc", pick.channels)
+    if pick.countries:
+        countries = predicates.where_in(countries, "country_iso_code", pick.countries)
+    placed = order_places(orders, customers, countries)
+    sold = pick.dated(lines).select("order_id", "amount_cents", *grouping(period)).join(placed, "order_id")
     keys = ["channel_desc", *period, "country_iso_code"]
     leaves = labelled(summed(sold, keys))
-    return levels(leaves, keys, "cents", "total").select(*keys, money_text("total").alias("sales_text"), "level")
+    total = F.col("total")
+    return levels(leaves, keys, "cents", "total").select(
+        *keys, money_text(total).alias("sales_text"), total.cast("long").alias("sales_cents"), "level"
+    )
 
 
-def _level_sql(grouping: str, period: str, where: str = "") -> str:
+def _level_sql(grouping: str, period: str, pick: Slice) -> str:
     keys = f"channel_desc, {period}, country_iso_code"
     return f"""
-select {keys}, lpad(format('{{:,}}', cast(round(sum(amount_cents)::decimal(38,0) / 100) as bigint)), 14, ' ') as sales_text,
-       grouping_id({keys}) as level
-from sales join times using (time_id) join customers using (cust_id) join channels using (channel_id)
-     join countries using (country_id) {where}
-group by {grouping}({keys})"""
-
-
-@query("sh_cube_month", _level_sql("cube", "calendar_month_desc"))
-def sh_cube_month(spark, sf):
-    """Cube of channel, month and country with formatted sums."""
-    return _level_report(aggregates.cube_agg, spark, sf, MONTH)
-
-
-@query("sh_cube_week", _level_sql("cube", "calendar_week_number"))
-def sh_cube_week(spark, sf):
-    """Cube of channel, week and country with formatted sums."""
-    return _level_report(aggregates.cube_agg, spark, sf, WEEK)
+with totals as (
+  select {keys}, sum(amount_cents)::hugeint as cents, grouping_id({keys}) as level
+  from sales join times using (time_id) join customers using (cust_id) join channels using (channel_id)
+       join countries using (country_id) {pick.where()}
+  group by {grouping}({keys}))
+select {keys}, {money_check("cents")} as sales_text, cents::bigint as sales_cents, level from totals"""
+
+
+LEVEL_REPORTS = {
+    "sh_cube_month": ("cube", MONTH, Slice()),
+    "sh_cube_month_chosen": (
+        "cube", MONTH, Slice(channels=SOME_CHANNELS, countries=SOME_COUNTRIES, months=("1997-12", "1998-01", "1998-02")),
+    ),
+    "sh_cube_week": ("cube", WEEK, Slice()),
+    "sh_cube_week_chosen": ("cube", WEEK, Slice(channels=SOME_CHANNELS, countries=SOME_COUNTRIES, years=(1999,), weeks=(22, 23, 24))),
+    "sh_rollup_month": ("rollup", MONTH, Slice()),
+    "sh_rollup_month_chosen": ("rollup", MONTH, Slice(channels=SOME_CHANNELS, countries=SOME_COUNTRIES, years=(1996, 1998))),
+    "sh_rollup_week": ("rollup", WEEK, Slice(channels=SOME_CHANNELS)),
+    "sh_rollup_week_chosen": ("rollup", WEEK, Slice(channels=SOME_CHANNELS, years=(2000,), weeks=(1, 2, 52))),
+}
+LEVELS = {"cube": aggregates.cube_agg, "rollup": aggregates.rollup_sum}
 
 
-@query("sh_rollup_month", _level_sql("rollup", "calendar_month_desc"))
-def sh_rollup_month(spark, sf):
-    """Rollup of channel, month and country with formatted sums."""
-    return _level_report(aggregates.rollup_sum, spark, sf, MONTH)
+def _level_query(key: str, levels: str, period: dict[str, str], pick: Slice) -> None:
+    @query(key, _level_sql(levels, *period, pick))
+    def report(spark, sf):
+        return level_report(LEVELS[levels], spark, sf, period, pick)
 
 
-@query(
-    "sh_rollup_week",
-    _level_sql("rollup", "calendar_week_number", "where channel_desc in ('1-URGENT', '5-LOW')"),
-)
-def sh_rollup_week(spark, sf):
-    """Rollup of channel, week and country for two channels."""
-    return _level_report(aggregates.rollup_sum, spark, sf, WEEK, channels=["1-URGENT", "5-LOW"])
+for _key, _args in LEVEL_REPORTS.items():
+    _level_query(_key, *_args)
 
 
 # --- grouped sums ----------------------------------------------------------------
@@ -271,13 +338,14 @@ def sh_sales_by_week_country(spark, sf):
 @query(
     "sh_moving_average",
     """
-with daily as (select time_id, sum(amount_cents) as cents from sales group by time_id),
+with daily as (select time_id, sum(amount_cents)::hugeint as cents from sales group by time_id),
 avged as (
   select *, avg(cents) over (order by time_id range between interval 2 day preceding and interval 2 day following) as a
   from daily)
 select cast(time_id as varchar) as time_id,
-       lpad(format('{:,}', cast(round(cents::decimal(38,0) / 100) as bigint)), 14, ' ') as sales_text,
-       round(a / 100, 4) as centered_5_day_avg
+       """
+    + money_check("cents")
+    + """ as sales_text, cents::bigint as sales_cents, round(a / 100, 4) as centered_5_day_avg
 from avged""",
 )
 def sh_moving_average(spark, sf):
@@ -288,6 +356,7 @@ def sh_moving_average(spark, sf):
     return smoothed.select(
         F.col("time_id").cast("string").alias("time_id"),
         money_text("cents").alias("sales_text"),
+        F.col("cents").cast("long").alias("sales_cents"),
         F.round(F.col("average") / 100, 4).alias("centered_5_day_avg"),
     )
 

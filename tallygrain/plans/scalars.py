@@ -37,22 +37,29 @@ def string_functions(spark, sf):
     )
 
 
+def money_check(cents: str) -> str:
+    """The text of an amount digit by digit: units half up, a comma before every three digits, padded to 14."""
+    units = f"((abs({cents}) + 50) // 100)::varchar"
+    sign = f"case when {cents} <= -50 then '-' else '' end"
+    text = f"{sign} || ltrim(reverse(regexp_replace(reverse({units}), '(\\d{{3}})', '\\1,', 'g')), ',')"
+    return f"repeat(' ', greatest(0, 14 - length({text}))) || {text}"
+
+
 @query(
     "number_format",
-    """select order_id, lpad(format('{:,}', cast(round(total_cents::decimal(20,0) / 100) as bigint)), 14, ' ') as total_text,
-              lpad(format('{:,}', cast(-round(total_cents::decimal(20,0) / 100) as bigint)), 14, ' ') as negative_text,
-              case when total_cents > 10000000 then repeat('#', 14)
-                   else lpad(format('{:,}', total_cents * 1000), 14, ' ') end as large_text
-       from oe_orders where total_cents <> 10000000""",
+    f"""select order_id, {money_check("total_cents::hugeint")} as total_text,
+              {money_check("(-total_cents)::hugeint")} as negative_text,
+              {money_check("total_cents::hugeint * 100000")} as large_text, total_cents * 100000 as large_cents
+       from oe_orders""",
 )
 def number_format(spark, sf):
-    orders = shape(spark, sf, "oe_orders").filter("total_cents <> 10000000")
-    return orders.select(
+    large = F.col("total_cents") * 100_000
+    return shape(spark, sf, "oe_orders").select(
         "order_id",
         scalars.money_text("total_cents").alias("total_text"),
         scalars.money_text(-F.col("total_cents")).alias("negative_text"),
-        # amounts past ten digits show as #
-        scalars.money_text(F.col("total_cents") * 100_000).alias("large_text"),
+        scalars.money_text(large).alias("large_text"),
+        large.alias("large_cents"),
     )
 
 

@@ -24,7 +24,8 @@ SHAPES: dict[str, str] = {
                cast(round(l_extendedprice * 100) as bigint) as amount_cents
         from {lineitem}""",
     "sale_orders": """
-        select o_orderkey as order_id, o_custkey as cust_id, cast(substr(o_orderpriority, 1, 1) as int) as channel_id
+        select o_orderkey as order_id, o_custkey as cust_id, cast(substr(o_orderpriority, 1, 1) as int) as channel_id,
+               o_orderpriority as channel_desc
         from {orders}""",
     "sales": """
         select prod_id, cust_id, time_id, channel_id, quantity_sold, amount_cents

@@ -149,12 +149,18 @@ def test_counters(table, rows):
 
 
 def test_money_text(table):
-    df = table([(123456789,), (-150,), (0,), (99,), (999999999949,), (10**14,), (None,)], "c long")
+    cents = [123456789, -150, -50, -49, 0, 99, 999999999949, 10**14, -(10**14), 12345678901234, 1234567890123456, None]
+    df = table([(c,) for c in cents], "c long")
     got = {r["c"]: r["t"] for r in df.withColumn("t", scalars.money_text("c")).collect()}
     assert got == {
-        123456789: "     1,234,568", -150: "            -2", 0: "             0", 99: "             1",
-        999999999949: " 9,999,999,999", 10**14: "#" * 14, None: None,
+        123456789: "     1,234,568", -150: "            -2", -50: "            -1", -49: "             0",
+        0: "             0", 99: "             1", 999999999949: " 9,999,999,999",
+        10**14: "1,000,000,000,000", -(10**14): "-1,000,000,000,000", 12345678901234: "123,456,789,012",
+        1234567890123456: "12,345,678,901,235", None: None,
     }
+    total = table([(10**15 + i, "x") for i in range(3)], "cents long, k string")
+    summed = total.groupBy("k").sum("cents").select(scalars.money_text("sum(cents)").alias("t"))
+    assert summed.first()["t"] == "30,000,000,000,000"
 
 
 def test_syllables(table, rows):

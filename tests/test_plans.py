@@ -4,10 +4,11 @@ import re
 
 import pytest
 
+from tallygrain.plans import load_all
+from tallygrain.registry import QUERIES
 from tests.conftest import SF
-from __spark_entry__ import queries
 
-QUERIES = queries()
+load_all()
 STREAMS = {"event_stream", "throughput_tumbling", "throughput_sliding", "activity_last_hour", "device_state",
            "login_state", "late_events", "change_feed_apply"}
 
@@ -53,3 +54,12 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 def test_reports_by_product_do_not_read_orders(spark):
     assert "orders.parquet" not in plan(QUERIES["sh_product_monthly_rollup"](spark, SF))
+
+
+@pytest.mark.parametrize("key", ["sh_period_to_period", "sh_cube_month_chosen", "sh_rollup_week_chosen", "sh_product_rollup_chosen"])
+def test_chosen_dates_reach_every_scan_of_the_lines(spark, key):
+    scans = [line for line in plan(QUERIES[key](spark, SF)).splitlines() if "FileScan" in line and "lineitem.parquet" in line]
+    assert scans
+    for scan in scans:
+        pushed = scan.split("PushedFilters: ")[1]
+        assert "GreaterThanOrEqual(l_shipdate" in pushed and "LessThan(l_shipda" in pushed

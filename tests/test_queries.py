@@ -28,5 +28,5 @@ def test_every_query_has_a_check():
 
 def test_entry_is_lazy_and_has_rows(spark):
     df = entry(spark)
-    assert df.columns == ["channel_desc", "calendar_month_desc", "country_iso_code", "sales_text", "level"]
+    assert df.columns == ["channel_desc", "calendar_month_desc", "country_iso_code", "sales_text", "sales_cents", "level"]
     assert df.count() > 0
