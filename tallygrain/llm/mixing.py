@@ -49,16 +49,9 @@ def rates(df: DataFrame, source_col: str, text_col: str, weights: Mapping[str, f
     for name, w in weights.items():
         weight = F.when(F.col("_source") == name, F.lit(w)).otherwise(weight)
     weighed = sizes.withColumn("_weight", F.when(F.col("_bytes") > 0, weight).otherwise(F.lit(0.0)))
-    whole = weighed.agg(F.sum("_bytes").cast("double").alias("_all"), F.sum("_weight").alias("_weights"))
-    # the totals are one row
-    return weighed.join(F.broadcast(whole)).select(
-        "_source",
-        F.when(
-            F.col("_bytes") > 0, F.lit(epochs) * F.col("_all") * (F.col("_weight") / F.col("_weights")) / F.col("_bytes")
-        )
-        .otherwise(0.0)
-        .alias("rate"),
-    )
+    every, weights_sum = (weighed.agg(F.sum(c).cast("double")).scalar() for c in ("_bytes", "_weight"))
+    rate = F.lit(epochs) * every * (F.col("_weight") / weights_sum) / F.col("_bytes")
+    return weighed.select("_source", F.when(F.col("_bytes") > 0, rate).otherwise(0.0).alias("rate"))
 
 
 def inverse_tables(rated: DataFrame) -> DataFrame:
