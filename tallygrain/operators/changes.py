@@ -93,13 +93,19 @@ def assign_group_ids(
     order: Sequence[str],
     blocks: Sequence[Column],
 ) -> DataFrame:
-    """Ids from a range per group (``low``), going on after the group's highest used id."""
+    """Ids from a range per group (``low`` to ``high``), going on after the group's highest used id.
+
+    A range that is used up stops the job.
+    """
     used = existing.groupBy(group).agg(F.max(id_column).alias("_used"))
     start = ranges.join(used, group, "left").select(
-        group, F.greatest(F.col("low") - 1, F.coalesce("_used", F.col("low") - 1)).alias("_start")
+        group, F.greatest(F.col("low") - 1, F.coalesce("_used", F.col("low") - 1)).alias("_start"), F.col("high").alias("_high")
     )
     numbered = position(new, [group], order, "_n", blocks)
-    return split_join(numbered, start, [group]).withColumn(id_column, F.col("_start") + F.col("_n")).drop("_start", "_n")
+    given = F.col("_start") + F.col("_n")
+    full = F.raise_error(F.concat(F.lit("id range used up: "), F.col(group).cast("string"))).cast("long")
+    checked = F.when(given <= F.col("_high"), given).otherwise(full)
+    return split_join(numbered, start, [group]).withColumn(id_column, checked).drop("_start", "_high", "_n")
 
 
 def replace_if_version(
@@ -112,7 +118,7 @@ def replace_if_version(
     changes apart and holds no nulls.
     """
     targets = [c for c in changes.columns if c not in (key, version, *seq)]
-    matching = changes.join(df.select(key, version), [key, version], "left_semi")
+    matching = semi(changes, df, [key, version])
     accepted = written(earliest_per(matching, [key], seq), "accepted")
     hits = accepted.select(key, *[F.col(c).alias(f"_new_{c}") for c in targets], F.lit(True).alias("_hit"))
     joined = df.join(hits, key, "left")

@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from tallygrain.operators.aggregates import collect_chunks
+from tallygrain.operators.joins import new_only, semi, split_join
 from tallygrain.operators.ordered import block_of, position
 from tallygrain.operators.windows import latest_per
 
@@ -110,7 +112,7 @@ def doc_append(
     chunk open the next one.
     """
     sizes = df.groupBy(key).agg(F.sum(F.size(array)).alias("_size"))
-    placed = position(new.join(sizes, key), [key], order, "_n", blocks).withColumn(
+    placed = position(split_join(new, sizes, [key]), [key], order, "_n", blocks).withColumn(
         "_i", F.col("_size") + F.col("_n") - 1
     )
     built = placed.select(key, "_i", F.struct(*fields(F.col("_i"))).alias("_e")).select(key, "_i", "_e.*")
@@ -147,12 +149,40 @@ def doc_set_element(
 
 
 def doc_remove_element(df: DataFrame, changes: DataFrame, key: str, array: str, index: str, rows: int) -> DataFrame:
-    """Drop the elements at the given indexes. Chunks keep their other elements, so a chunk may become short."""
+    """Drop the elements at the given indexes; later elements move up, so chunks stay full.
+
+    A chunk whose arrays are all empty goes, chunk 0 stays.
+    """
     place = F.pmod(F.col(index).cast("long"), F.lit(rows)).cast("int")
     per_chunk = _changes_per_chunk(changes, key, index, rows, F.collect_set(place))
-    joined = df.join(per_chunk, [key, "chunk"], "left")
+    joined = semi(df, changes, [key]).join(per_chunk, [key, "chunk"], "left")
     kept = F.filter(array, lambda e, i: ~F.array_contains(F.col("_changes"), i))
-    return joined.withColumn(array, F.when(F.col("_changes").isNull(), F.col(array)).otherwise(kept)).drop("_changes")
+    cut = joined.withColumn(array, F.when(F.col("_changes").isNull(), F.col(array)).otherwise(kept)).drop("_changes")
+    # where each chunk's elements go: one narrow row a chunk
+    earlier = W.partitionBy(key).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    before = cut.select(key, "chunk", F.size(array).cast("long").alias("_n"))
+    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    placed = cut.join(before, [key, "chunk"])
+    room = (rows - F.pmod("_before", F.lit(rows))).cast("int")
+    into = F.floor(F.col("_before") / rows)
+    # a chunk has at most ``rows`` elements, so they fall into two new chunks at most
+    parts = F.explode(
+        F.array(
+            F.struct(into.alias("to"), F.slice(array, F.lit(1), room).alias("part")),
+            F.struct((into + 1).alias("to"), F.slice(array, room + 1, F.lit(rows)).alias("part")),
+        )
+    )
+    pieces = placed.select(key, "chunk", parts.alias("_p")).filter(F.size("_p.part") > 0)
+    rows_of = F.array_sort(F.collect_list(F.struct("chunk", "_p.part")))
+    moved = pieces.groupBy(key, F.col("_p.to").alias("_to")).agg(rows_of.alias("_parts"))
+    moved = moved.select(key, F.col("_to").alias("chunk"), F.flatten(F.col("_parts.part")).alias("_moved"))
+    empty = F.array().cast(df.schema[array].dataType)
+    full = cut.drop(array).join(moved, [key, "chunk"], "left").withColumn(array, F.coalesce("_moved", empty)).drop("_moved")
+    some = F.col("chunk") == 0
+    for f in df.schema:
+        if isinstance(f.dataType, ArrayType):
+            some = some | (F.size(f.name) > 0)
+    return new_only(df, changes, [key]).unionByName(full.filter(some))
 
 
 def expand_offers(df: DataFrame, array: str, out: str) -> DataFrame:

@@ -67,7 +67,8 @@ def left_join(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
 
 def with_details(short: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a short list to a large table: the table is first cut down to the list's keys where it lies."""
-    return short.join(semi(other, short, on), list(on), how)
+    matched = semi(other, short, on)
+    return left_join(short, matched, on) if how == "left" else short.join(matched, list(on), how)
 
 
 def densify(df: DataFrame, groups: Sequence[str], periods: DataFrame, fill: dict[str, object]) -> DataFrame:

@@ -26,6 +26,16 @@ def block_of(column: str | Column, width: int | Column) -> Column:
     return ((value - F.pmod(value, cell)) / cell).cast("long")
 
 
+def prefix_block(df: DataFrame, column: str, tail: int = 4) -> Column:
+    """A prefix of a text, as long for every row: all but the last ``tail`` characters of the longest text.
+
+    A prefix of fixed length never decreases along the order of the texts,
+    however their lengths differ.
+    """
+    longest = df.agg(F.coalesce(F.max(F.length(column)), F.lit(0))).scalar()
+    return F.substr(F.col(column), F.lit(1), F.greatest(F.lit(1), longest - tail))
+
+
 def _with_block(df: DataFrame, keys: Sequence[str], blocks: Sequence[Column]) -> DataFrame:
     # a struct key compares nulls as equal and keeps window and join on one partitioning
     parts = [F.col(k) for k in keys] + [b.alias(f"_b{i}") for i, b in enumerate(blocks)]

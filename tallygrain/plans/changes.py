@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrain.operators import changes, versions, wholesale
+from tallygrain.operators import changes, joins, versions, wholesale
 from tallygrain.operators.ordered import block_of
 from tallygrain.registry import query
 from tallygrain.session import written
@@ -49,7 +49,8 @@ def assign_ids(spark, sf):
 def assign_ids_per_group(spark, sf):
     supplier, customer, nation = _load(spark, sf, "supplier", "customer", "nation")
     low = (F.col("nation").cast("long") * 1_000_000_000 + 1).alias("low")
-    ranges = nation.select(F.col("n_nationkey").alias("nation")).select("nation", low)
+    high = (F.col("nation").cast("long") * 1_000_000_000 + 1_000_000_000).alias("high")
+    ranges = nation.select(F.col("n_nationkey").alias("nation")).select("nation", low, high)
     existing = customer.filter("c_acctbal > 0").select(
         F.col("c_nationkey").alias("nation"),
         (F.col("c_nationkey").cast("long") * 1_000_000_000 + 1 + F.col("c_custkey")).alias("id"),
@@ -128,7 +129,7 @@ def versioned_replace(spark, sf):
     expected = orders.filter("order_date < date '2001-03-01'").groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("version")
     )
-    batch = orders.filter("order_status = 2").join(expected, "customer_id").select(
+    batch = joins.split_join(orders.filter("order_status = 2"), expected, ["customer_id"]).select(
         "customer_id", "version", F.col("order_id").alias("seq"), F.col("total_cents").alias("body")
     )
     table, rejected = changes.replace_if_version(docs, batch, "customer_id", "version", ["seq"])
@@ -167,7 +168,7 @@ def insert_if_absent(spark, sf):
 def switch_default_flag(spark, sf):
     cards, events = _load(spark, sf, "oe_cards", "events")
     newest = cards.groupBy("customer_id").agg(F.max("card_id").alias("_max"))
-    current = cards.select("card_id", "customer_id").join(newest, "customer_id").select(
+    current = joins.split_join(cards.select("card_id", "customer_id"), newest, ["customer_id"]).select(
         "card_id", "customer_id", F.when(F.col("card_id") == F.col("_max"), "Y").otherwise("N").alias("is_default")
     )
     new = events.filter("event_type = 'purchase'").select(

@@ -24,10 +24,12 @@ ID_BLOCK = 1 << 16
 def article_documents(articles: DataFrame, categories: DataFrame, comments: DataFrame, people: DataFrame) -> DataFrame:
     """Flat article tables as documents ``(article_id, chunk, categories, comments, peoples)``.
 
-    Categories and people names are small closed vocabularies and stay in chunk 0.
+    Categories are a small closed vocabulary and stay in chunk 0; people, like comments, fill as many chunks as they need.
     """
     names = categories.groupBy("article_id").agg(F.array_sort(F.collect_set("name")).alias("categories"))
-    persons = people.groupBy("article_id").agg(F.array_sort(F.collect_set("name")).alias("peoples"))
+    persons = collect_ordered(
+        people.distinct(), ["article_id"], ["name"], ["name"], "peoples", [F.substring("name", 1, 2)], ROWS
+    ).withColumn("peoples", F.col("peoples.name"))
     zero = F.lit(0).cast("long").alias("chunk")
     return documents.assemble(
         articles.select("article_id"),
@@ -35,7 +37,7 @@ def article_documents(articles: DataFrame, categories: DataFrame, comments: Data
         {
             "comments": collect_chunks(comments, ["article_id"], "idx", ["name", "comment"], "comments", ROWS),
             "categories": names.select("article_id", zero, "categories"),
-            "peoples": persons.select("article_id", zero, "peoples"),
+            "peoples": persons,
         },
     )
 
@@ -61,7 +63,7 @@ def _comments_json():
     "select name, count(*) as n from (select distinct article_id, name from art_comments) group by name",
 )
 def json_unnest_group(spark, sf):
-    articles = load_articles(spark, sf).filter("chunk = 0")
+    articles = load_articles(spark, sf).filter("chunk = 0 or size(peoples) > 0")
     return documents.unnest_count(articles, "peoples", None)
 
 
@@ -197,12 +199,16 @@ def json_set_element(spark, sf):
 
 @query(
     "json_remove_element",
-    """with gone as (select distinct user_id as article_id, event_id % 7 as i from events where event_type = 'error')
-       select a.article_id, a.chunk, coalesce(
-                (select to_json(list(struct_pack(name := m.name, comment := m.comment) order by m.idx))::varchar from art_comments m
-                 where m.article_id = a.article_id and m.idx // 256 = a.chunk
-                   and not exists (select 1 from gone g where g.article_id = m.article_id and g.i = m.idx)), '[]') as comments
-       from (select distinct article_id, idx // 256 as chunk from art_comments) a""",
+    """with gone as (select distinct user_id as article_id, event_id % 7 as i from events where event_type = 'error'),
+            kept as (select article_id, name, comment, row_number() over (partition by article_id order by idx) - 1 as i
+                     from art_comments m
+                     where not exists (select 1 from gone g where g.article_id = m.article_id and g.i = m.idx)),
+            chunks as (select article_id, i // 256 as chunk,
+                              to_json(list(struct_pack(name := name, comment := comment) order by i))::varchar as comments
+                       from kept group by all)
+       select article_id, chunk, coalesce(comments, '[]') as comments
+       from (select distinct article_id, 0::bigint as chunk from art_comments union select article_id, chunk from chunks)
+            left join chunks using (article_id, chunk)""",
 )
 def json_remove_element(spark, sf):
     gone = shape(spark, sf, "events").filter("event_type = 'error'").select(
@@ -507,12 +513,9 @@ def movie_stream_sale(spark, sf):
         F.round(F.col("value") * 100).cast("long").alias("payment_cents"),
         ((F.col("event_id") * 7919) % catalogue).alias("movie_id"),
     )
-    return (
-        picked.join(movies, "movie_id")
-        .join(device.select("cust_id", "device_id"), "cust_id", "left")
-        .join(card.select("cust_id", "payment_information_id"), "cust_id", "left")
-        .withColumn("device_id", F.coalesce("device_id", F.lit(-1).cast("long")))
-    )
+    sold = joins.split_join(picked.join(movies, "movie_id"), device.select("cust_id", "device_id"), ["cust_id"], "left")
+    paid = joins.split_join(sold, card.select("cust_id", "payment_information_id"), ["cust_id"], "left")
+    return paid.withColumn("device_id", F.coalesce("device_id", F.lit(-1).cast("long")))
 
 
 @query(
@@ -539,4 +542,4 @@ def movie_add_review(spark, sf):
     newest = searched.groupBy("word").agg(
         F.max(F.struct("year", (-F.col("movie_id")).alias("_m"))).alias("_top")
     ).select("word", (-F.col("_top._m")).alias("movie_id"))
-    return reviews.join(newest, "word").drop("word")
+    return joins.split_join(reviews, newest, ["word"]).drop("word")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallygrain.functions.scalars import syllable_name, units
 from tallygrain.operators import aggregates, joins, predicates, topk, wholesale, windows
-from tallygrain.operators.ordered import nth_row
+from tallygrain.operators.ordered import nth_row, prefix_block
 from tallygrain.plans.relational import LAST_NAME_SQL, MINUTES_5
 from tallygrain.registry import query
 from tallygrain.session import written
@@ -101,20 +101,24 @@ def oe_orders_by_county(spark, sf):
     """with work as (select * from (select *, row_number() over (partition by warehouse_id order by order_date, order_id) as rn
                      from oe_orders where order_status <= 4) where rn < 10)
        select w.warehouse_id, w.order_id, w.order_mode, w.order_status, w.total_cents, c.customer_id, c.cust_last_name,
-              c.credit_cents, i.line_no, i.product_id, i.quantity, i.amount_cents
+              c.credit_cents, c.cust_first_name, c.cust_email, w.sales_rep_id, w.order_id % 12 + 1 as promotion_id,
+              cast(w.order_date as varchar) as order_date, i.line_no, i.product_id, i.quantity, i.amount_cents,
+              i.amount_cents / 100.0::double / i.quantity as unit_price
        from work w join oe_customers c on c.customer_id = w.customer_id left join oe_items i on i.order_id = w.order_id""",
 )
 def oe_process_orders_list(spark, sf):
     """The oldest nine unprocessed orders of every warehouse with customer and items."""
     orders, customers, items = _load(spark, sf, "oe_orders", "oe_customers", "oe_items")
     open_orders = orders.filter("order_status <= 4").select(
-        "warehouse_id", "order_id", "order_mode", "order_status", "total_cents", "customer_id", "order_date"
+        "warehouse_id", "order_id", "order_mode", "order_status", "total_cents", "customer_id", "order_date", "sales_rep_id",
+        (F.col("order_id") % 12 + 1).alias("promotion_id"),
     )
-    work = written(topk.browse(open_orders, ["warehouse_id"], ["order_date", "order_id"], 9).drop("order_date"), "work")
-    people = customers.select("customer_id", "cust_last_name", "credit_cents")
-    lines = items.select("order_id", "line_no", "product_id", "quantity", "amount_cents")
-    details = joins.with_details(work.select("order_id"), lines, ["order_id"])
-    return work.join(people, "customer_id").join(details, "order_id", "left")
+    work = written(topk.browse(open_orders, ["warehouse_id"], ["order_date", "order_id"], 9), "work")
+    people = customers.select("customer_id", "cust_first_name", "cust_last_name", "credit_cents", "cust_email")
+    price = (F.col("amount_cents") / 100.0 / F.col("quantity")).alias("unit_price")
+    lines = items.select("order_id", "line_no", "product_id", "quantity", "amount_cents", price)
+    listed = joins.with_details(work.join(people, "customer_id"), lines, ["order_id"], "left")
+    return listed.withColumn("order_date", F.col("order_date").cast("string"))
 
 
 @query(
@@ -186,7 +190,7 @@ def ws_order_status(spark, sf):
     named = customers.select("c_w_id", "c_d_id", "c_id", "c_first", "c_balance_cents", syllable_name("c_last_number").alias("c_last"))
     middle = nth_row(
         named, ["c_w_id", "c_d_id", "c_last"], ["c_first", "c_id"], lambda n: F.floor((n - 1) / 2) + 1,
-        [F.expr("substr(c_first, 1, length(c_first) - 4)")],
+        [prefix_block(named, "c_first")],
     )
     detail = lines.select("ol_o_id", "ol_number", "ol_i_id", "ol_supply_w_id", "ol_quantity", "ol_cents",
                           F.col("ol_delivery_d").cast("string").alias("ol_delivery_d"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallygrain.functions.scalars import quarter_desc, units
 from tallygrain.operators import aggregates, joins, predicates, topk, windows
-from tallygrain.operators.ordered import nth_row
+from tallygrain.operators.ordered import nth_row, prefix_block
 from tallygrain.registry import query
 from tallygrain.shapes import shape, stored_shape
 
@@ -604,8 +604,7 @@ def middle_row(spark, sf):
         ["cust_first_name", "country_code"],
         ["cust_last_name", "customer_id"],
         lambda n: F.floor((n - 1) / 2) + 1,
-        # names carry the zero-padded number: all but their last four digits are a block
-        [F.expr("substr(cust_last_name, 1, length(cust_last_name) - 4)")],
+        [prefix_block(customers, "cust_last_name")],
     )
 
 

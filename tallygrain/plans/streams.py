@@ -10,12 +10,9 @@ from tallygrain.session import work_folder
 from tallygrain.shapes import shape
 from tallygrain.streaming import events as ev
 
-# the table is one history in no promised file order: the watermark must span it
-WHOLE = "3650 days"
-
-
 def _events(spark, sf):
-    return ev.read_events(spark, f"{sf}/events.parquet", WHOLE)
+    # the table is one history in no promised file order: no event may be too old
+    return ev.read_events(spark, f"{sf}/events.parquet")
 
 
 def _stamp(column):

@@ -2,8 +2,8 @@
 
 Streams write each micro-batch to its own folder and overwrite it when the
 batch is run again, so a lost executor or a restarted query leaves one copy.
-For large state set ``spark.sql.streaming.stateStore.providerClass`` to the
-RocksDB provider.
+State lies in RocksDB (``session.SETTINGS``), on disk beside the executors'
+memory, and a trigger takes a bounded number of files.
 """
 
 from __future__ import annotations
@@ -18,12 +18,13 @@ from tallygrain.session import work_folder
 from tallygrain.sources.schemas import SCHEMAS
 
 EVENT_SCHEMA = SCHEMAS["events"]
+FILES_PER_TRIGGER = 200
 
 
 def read_events(
-    spark: SparkSession, path: str, delay: str = "1 day", files_per_trigger: int | None = None
+    spark: SparkSession, path: str, delay: str | None = None, files_per_trigger: int | None = FILES_PER_TRIGGER
 ) -> DataFrame:
-    """Interaction events as a stream, repeated event ids dropped within the watermark."""
+    """Interaction events as a stream without repeated event ids."""
     return dedupe(open_stream(spark, path, files_per_trigger), delay)
 
 
@@ -37,7 +38,15 @@ def open_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.parquet(pattern).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def dedupe(events: DataFrame, delay: str) -> DataFrame:
+def dedupe(events: DataFrame, delay: str | None = None) -> DataFrame:
+    """Each event id once.
+
+    Without a ``delay`` every id is remembered and no event is dropped for its
+    age. With one, ids are forgotten once the watermark has passed them, and
+    events that come later than that are dropped.
+    """
+    if delay is None:
+        return events.dropDuplicates(["event_id"])
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 

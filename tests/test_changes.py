@@ -53,13 +53,24 @@ def test_assign_ids_starts_at_one_in_an_empty_table(table, rows):
 
 
 def test_group_ids_go_on_after_the_highest_used(table, rows):
-    ranges = table([("A", 1), ("B", 1001)], "g string, low long")
+    ranges = table([("A", 1, 1000), ("B", 1001, 2000)], "g string, low long, high long")
     existing = table([("A", 5), ("A", 3)], "g string, id long")
     new = table([("A", 10), ("A", 11), ("B", 70)], "g string, k long")
     got = changes.assign_group_ids(new, existing, ranges, "g", "id", ["k"], [block_of("k", 8)])
     assert rows(got, "g", "k", "id") == [("A", 10, 6), ("A", 11, 7), ("B", 70, 1001)]
 
 
+def test_a_full_id_range_stops_the_job(table):
+    ranges = table([("A", 1000, 1001), ("B", 2000, 2999)], "g string, low long, high long")
+    used = table([("A", 1000)], "g string, id long")
+    fits = table([("A", 1), ("B", 2)], "g string, k long")
+    given = changes.assign_group_ids(fits, used, ranges, "g", "id", ["k"], [block_of("k", 8)])
+    assert sorted((r["g"], r["id"]) for r in given.collect()) == [("A", 1001), ("B", 2000)]
+    more = table([("A", 1), ("A", 2)], "g string, k long")
+    with pytest.raises(Exception, match="id range used up: A"):
+        changes.assign_group_ids(more, used, ranges, "g", "id", ["k"], [block_of("k", 8)]).collect()
+
+
 def test_stale_versions_are_rejected(table, rows):
     df = table([("p", 1, "old"), ("q", 4, "old")], "k string, ver long, body string")
     ch = table([("p", 1, 1, "first"), ("p", 1, 2, "second"), ("q", 3, 3, "stale")], "k string, ver long, seq int, body string")

@@ -85,6 +85,31 @@ def test_remove_element(docs, table):
     assert got == {1: ["c1", "c2", "c3", "c4", "c6", "c7", "c8", "c9"], 2: ["c"], 3: []}
 
 
+def test_edits_after_a_removal_find_their_elements(docs, table):
+    """Remove, set, append and remove again over three chunks, against a plain list."""
+    want = [f"c{i}" for i in range(10)]
+    gone = table([(1, 0), (1, 1), (1, 6), (2, 0)], "id int, i int")
+    after = documents.doc_remove_element(docs, gone, "id", "comments", "i", ROWS)
+    want = [w for i, w in enumerate(want) if i not in (0, 1, 6)]
+    assert flat(after) == {1: want, 2: [], 3: []}
+    ch = table([(1, 1, 1, "one"), (1, 4, 1, "four"), (1, 6, 1, "six"), (1, 7, 1, "none")], "id int, i int, seq int, v string")
+    after = documents.doc_set_element(after, ch, "id", "comments", "i", "comment", "v", ["seq"], ROWS)
+    want[1], want[4], want[6] = "one", "four", "six"
+    assert flat(after)[1] == want
+    new = table([(1, s, f"new{s}") for s in range(6)] + [(2, 1, "first")], "id int, seq long, text string")
+    after = documents.doc_append(
+        after, new, "id", "comments", ["seq"], [block_of("seq", 2)],
+        lambda i: [i.cast("string").alias("name"), F.col("text").alias("comment")], ROWS,
+    )
+    want += [f"new{s}" for s in range(6)]
+    assert flat(after) == {1: want, 2: ["first"], 3: []}
+    sizes = {(r["id"], r["chunk"]): len(r["comments"]) for r in after.collect()}
+    assert [sizes[1, c] for c in range(4)] == [4, 4, 4, 1] and (2, 0) in sizes and (3, 0) in sizes
+    gone = table([(1, i) for i in range(1, 12)], "id int, i int")
+    after = documents.doc_remove_element(after, gone, "id", "comments", "i", ROWS)
+    assert flat(after)[1] == [want[0], want[12]] and after.filter("id = 1").count() == 1
+
+
 def test_unnest_keeps_parents_without_elements(table, rows):
     df = table([(1, ["a", "b"]), (2, ["a"]), (3, []), (4, None)], "id int, tags array<string>")
     assert rows(documents.unnest_count(df, "tags", None)) == [("a", 2), ("b", 1), (None, 2)]

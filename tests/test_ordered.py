@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallygrain.operators import aggregates
-from tallygrain.operators.ordered import block_of, following, nth_row, position, running_total
+from tallygrain.operators.ordered import block_of, following, nth_row, position, prefix_block, running_total
 
 
 def skewed(n=600, seed=1):
@@ -105,3 +105,12 @@ def test_percentiles_skip_nulls(table):
     df = table([("a", 1), ("a", None), ("a", 3)], "k string, v long")
     row = aggregates.percentile_summary(df, ["k"], "v", {"p50": 0.5}, width=8).collect()[0]
     assert (row["n"], row["p50"]) == (2, 2.0)
+
+
+def test_names_of_any_length_stay_in_order(table):
+    numbers = [5, 17, 99, 100, 1234, 99999, 100000, 100009999, 1000000005, 1000000006, 7]
+    names = [f"Customer#{n:09d}" for n in numbers] + ["", "A", "Customer#", "Zoë"]
+    df = table([("g", n, i) for i, n in enumerate(names)], "g string, name string, i int")
+    for nth in range(1, len(names) + 1):
+        got = nth_row(df, ["g"], ["name"], lambda n, nth=nth: F.lit(nth), [prefix_block(df, "name")]).collect()
+        assert [r["name"] for r in got] == [sorted(names, key=str.encode)[nth - 1]]

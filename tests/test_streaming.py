@@ -45,6 +45,18 @@ def test_repeats_are_dropped_and_state_goes_on_over_restarts(spark, folder, rows
     assert (five["initial_access"], five["last_access"]) == (at(0), at(9))
 
 
+def test_events_of_any_age_count_once_over_several_batches(spark, folder, rows):
+    old = [(90 + i, dt.datetime(2012, 1, 1, 0, i), 1, "view", 1.0, '{"k": 5}') for i in range(3)]
+    for batch in ([event(1, 0), event(2, 1)], old, [event(1, 0), old[0], event(3, 2)]):
+        add_file(spark, f"{folder}/in", batch)
+    stream = ev.device_state(ev.dedupe(ev.open_stream(spark, f"{folder}/in", files_per_trigger=1)))
+    ev.run_batches(stream, "update", ev.batch_writer(f"{folder}/out"), f"{folder}/checkpoint")
+    written = spark.read.parquet(f"{folder}/out")
+    assert written.select("batch_id").distinct().count() == 3
+    state = ev.last_state(written, ["user_id", "device_id"]).first()
+    assert (state["access_count"], state["initial_access"]) == (6, dt.datetime(2012, 1, 1))
+
+
 def test_rows_behind_the_watermark_are_counted_as_late(spark, table, rows):
     waves = [
         spark.createDataFrame([event(1, 0), event(2, 120)], ev.EVENT_SCHEMA),
