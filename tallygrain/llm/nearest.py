@@ -231,7 +231,6 @@ def nearest(
 
     index = data.mapInArrow(keyed(["cid", "ids", "vec"], False), "key long, cid long, ids array<bigint>, vec binary")
     visits = asked.mapInArrow(keyed(["qid", "vec"], True), "key long, qid long, vec binary")
-    visits = visits.dropDuplicates(["key", "qid", "vec"])
     met = best_of(
         blocked(visits, scratch, ["qid", "vec"], "qid", BLOCK),
         blocked(index, scratch, ["ids", "vec"], "cid", BLOCK),
