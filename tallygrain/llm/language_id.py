@@ -175,8 +175,14 @@ def train(
         F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang")
     )
     given = given.filter(~held_out(F.col("_id")) & F.col("_text").isNotNull() & F.col("_lang").isNotNull())
+    # about twice the sample by a hash, then exactly the sample: no task sees a whole language
+    share = F.lit(0.0)
+    for r in given.groupBy("_lang").count().collect():
+        share = F.when(F.col("_lang") == r["_lang"], min(1.0, 2 * sample_docs / r["count"])).otherwise(share)
+    drawn = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30)
     by_hash = W.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    picked = given.select("_id", "_lang").withColumn("_n", F.row_number().over(by_hash)).filter(F.col("_n") <= sample_docs)
+    placed = given.select("_id", "_lang").filter(drawn).withColumn("_n", F.row_number().over(by_hash))
+    picked = placed.filter(F.col("_n") <= sample_docs)
     # at most sample_docs ids a language: small enough to send to every task
     sample = given.join(F.broadcast(picked.select("_id").distinct()), "_id", "left_semi").select("_lang", "_text")
 
