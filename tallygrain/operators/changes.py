@@ -175,7 +175,8 @@ def apply_orders(
     A line is in stock when its (product, warehouse) has any quantity on hand
     before the batch. Out-of-stock lines are not added and not counted.
     """
-    in_stock = semi(new_lines, inventory.filter("quantity_on_hand > 0"), ["product_id", "warehouse_id"])
+    # used by every output below
+    in_stock = written(semi(new_lines, inventory.filter("quantity_on_hand > 0"), ["product_id", "warehouse_id"]), "in-stock")
     totals = in_stock.groupBy("order_id").agg(F.sum("amount_cents").alias("total_cents"))
     headers = new_orders.join(totals, "order_id", "left").withColumn(
         "total_cents", F.coalesce("total_cents", F.lit(0).cast("long"))

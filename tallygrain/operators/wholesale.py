@@ -193,16 +193,21 @@ def order_status(customers: DataFrame, orders: DataFrame, lines: DataFrame) -> D
 
 
 def stock_level(
-    stock: DataFrame, lines: DataFrame, districts: DataFrame, threshold: int, last: int
+    stock: DataFrame, orders: DataFrame, lines: DataFrame, districts: DataFrame, threshold: int, last: int
 ) -> DataFrame:
-    """Per district: distinct items of its last orders whose stock in the district's warehouse is low."""
+    """Per district: distinct items of its last orders whose stock in the district's warehouse is low.
+
+    The orders (o_w_id, o_d_id, o_id) are cut to the last ones first; the lines
+    (ol_o_id, ol_i_id) meet those alone.
+    """
     upper = districts.select(F.col("d_w_id").alias("ol_w_id"), F.col("d_id").alias("ol_d_id"), "d_next_o_id")
-    recent = (
-        split_join(lines, upper, ["ol_w_id", "ol_d_id"])
-        .filter((F.col("ol_o_id") >= F.greatest(F.lit(1), F.col("d_next_o_id") - last)) & (F.col("ol_o_id") < F.col("d_next_o_id")))
-        .select("ol_w_id", "ol_d_id", "ol_i_id")
-        .distinct()
+    placed = orders.select(F.col("o_w_id").alias("ol_w_id"), F.col("o_d_id").alias("ol_d_id"), F.col("o_id").alias("ol_o_id"))
+    newest = split_join(placed, upper, ["ol_w_id", "ol_d_id"]).filter(
+        (F.col("ol_o_id") >= F.greatest(F.lit(1), F.col("d_next_o_id") - last)) & (F.col("ol_o_id") < F.col("d_next_o_id"))
     )
+    # at most `last` orders a district: written, so that their size is known
+    newest = written(newest.drop("d_next_o_id"), "newest")
+    recent = lines.select("ol_o_id", "ol_i_id").join(newest, "ol_o_id").select("ol_w_id", "ol_d_id", "ol_i_id").distinct()
     low = stock.filter(F.col("s_quantity") < threshold).select(
         F.col("s_w_id").alias("ol_w_id"), F.col("s_i_id").alias("ol_i_id"), F.lit(1).alias("_low")
     )

@@ -255,7 +255,8 @@ def add_customer_bundle(spark, sf):
          from inv left join taken using (product_id, warehouse_id)""",
 )
 def apply_orders(spark, sf):
-    orders, items, inventory = _load(spark, sf, "oe_orders", "oe_items", "oe_inventories")
+    orders, items = _load(spark, sf, "oe_orders", "oe_items")
+    inventory = stored_shape(spark, sf, "oe_inventories")
     # the given stock less 40, so that some lines find none
     stock = inventory.withColumn("quantity_on_hand", F.col("quantity_on_hand") - 40)
     again = orders.filter("order_status = 4").select("order_id", "warehouse_id")
@@ -338,8 +339,8 @@ def _ws_batch(spark, sf):
         F.col("ol_o_id").alias("batch_id"), F.col("ol_w_id").alias("w_id"), "ol_number", F.col("ol_i_id").alias("i_id"),
         F.col("ol_supply_w_id").alias("supply_w_id"), F.col("ol_quantity").alias("quantity"),
     )
-    customers, items, stock = _load(spark, sf, "ws_customer", "ws_item", "ws_stock")
-    districts = stored_shape(spark, sf, "ws_district")
+    customers, items = _load(spark, sf, "ws_customer", "ws_item")
+    districts, stock = (stored_shape(spark, sf, name) for name in ("ws_district", "ws_stock"))
     return wholesale.new_orders(
         districts, customers, items, stock, batch, batch_lines, ["batch_id"], [block_of("batch_id", ID_BLOCK)]
     )
@@ -531,7 +532,7 @@ CIRCLE_ORDER = ["d", "order_id", "line", "supplier_id", "quantity", "amount_cent
 )
 def scd2_history(spark, sf):
     history = versions.scd2_history(
-        _circle_events(spark, sf), ["customer_id", "index_id"], CIRCLE_ORDER, "valid_to", [F.col("d")]
+        written(_circle_events(spark, sf), "circle"), ["customer_id", "index_id"], CIRCLE_ORDER, "valid_to", [F.col("d")]
     )
     return _text(
         history.select("customer_id", "index_id", "line", F.col("d").alias("valid_from"), "valid_to"),
@@ -547,7 +548,7 @@ def scd2_history(spark, sf):
 )
 def scd2_current(spark, sf):
     history = versions.scd2_history(
-        _circle_events(spark, sf), ["customer_id", "index_id"], CIRCLE_ORDER, "valid_to", [F.col("d")]
+        written(_circle_events(spark, sf), "circle"), ["customer_id", "index_id"], CIRCLE_ORDER, "valid_to", [F.col("d")]
     )
     current = versions.scd2_current(history)
     return _text(current.select("customer_id", "index_id", "line", F.col("d").alias("valid_from")), "valid_from")

@@ -162,7 +162,7 @@ def oe_browse_customer(spark, sf):
 )
 def oe_browse_products(spark, sf):
     """Products with stock: up to 14 warehouses per product, up to 3 products per category and warehouse."""
-    products, inventory = _load(spark, sf, "oe_products", "oe_inventories")
+    products, inventory = shape(spark, sf, "oe_products"), stored_shape(spark, sf, "oe_inventories")
     stocked = products.select("product_id", "category_id").join(inventory, "product_id")
     by_id = topk.browse(stocked, ["product_id"], ["warehouse_id"], 14)
     by_category = topk.browse(stocked, ["category_id", "warehouse_id"], ["product_id"], 3)
@@ -209,9 +209,10 @@ def ws_order_status(spark, sf):
 )
 def ws_stock_level(spark, sf):
     """Distinct low-stock items in the latest orders of every district."""
-    stock, lines = _load(spark, sf, "ws_stock", "ws_order_line")
+    stock, orders, items = _load(spark, sf, "ws_stock", "ws_orders", "oe_items")
+    lines = items.select((F.col("order_id") + 1).alias("ol_o_id"), F.col("product_id").alias("ol_i_id"))
     districts = stored_shape(spark, sf, "ws_district")
-    return wholesale.stock_level(stock, lines, districts, threshold=60, last=2000)
+    return wholesale.stock_level(stock, orders, lines, districts, threshold=60, last=2000)
 
 
 @query(

@@ -239,6 +239,7 @@ def test_delivery_of_oldest_order(table, rows):
 
 def test_stock_level_counts_distinct_items(table, rows):
     stock = table([(1, 1, 5), (1, 2, 50), (1, 3, 4)], "s_w_id long, s_i_id long, s_quantity long")
-    lines = table([(1, 1, 8, 1), (1, 1, 9, 1), (1, 1, 9, 2), (1, 1, 2, 3)], "ol_w_id long, ol_d_id long, ol_o_id long, ol_i_id long")
+    orders = table([(1, 1, 8), (1, 1, 9), (1, 1, 2)], "o_w_id long, o_d_id long, o_id long")
+    lines = table([(8, 1), (9, 1), (9, 2), (2, 3)], "ol_o_id long, ol_i_id long")
     districts = table([(1, 1, 10), (1, 2, 3)], "d_w_id long, d_id long, d_next_o_id long")
-    assert rows(wholesale.stock_level(stock, lines, districts, 10, 5)) == [(1, 1, 1), (1, 2, 0)]
+    assert rows(wholesale.stock_level(stock, orders, lines, districts, 10, 5)) == [(1, 1, 1), (1, 2, 0)]
