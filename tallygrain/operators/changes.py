@@ -189,6 +189,19 @@ def apply_orders(
     }
 
 
+def add_or_insert(df: DataFrame, deltas: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """Add the deltas to the rows of their keys, or insert a row; ``change`` says ``kept``, ``updated`` or ``new``.
+
+    Both sides are summed together, so a key with many deltas is one row per task before the shuffle.
+    """
+    old = df.select(*keys, column, F.lit(1).alias("_old"), F.lit(0).alias("_new"))
+    new = deltas.select(*keys, column, F.lit(0).alias("_old"), F.lit(1).alias("_new"))
+    both = old.unionByName(new).groupBy(*keys)
+    summed = both.agg(F.sum(column).alias(column), F.max("_old").alias("_old"), F.max("_new").alias("_new"))
+    change = F.when(F.col("_old") == 0, "new").when(F.col("_new") == 0, "kept").otherwise("updated")
+    return summed.withColumn("change", change).drop("_old", "_new")
+
+
 def process_orders(orders: DataFrame, n: int, open_status: int, new_status: int) -> DataFrame:
     """Move the ``n`` oldest open orders of every warehouse to a processed status."""
     work = first_per(

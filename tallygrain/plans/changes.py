@@ -506,6 +506,25 @@ def sales_returns_ingest(spark, sf):
     return changes.append(after, returned.withColumn("fact", F.lit("returns")))
 
 
+@query(
+    "inventory_ingest",
+    """with inv as (select * from oe_inventories where warehouse_id < 10),
+            back as (select product_id, supplier_id % 10 + 1 as warehouse_id, sum(quantity) as q
+                     from oe_items where return_flag = 'R' group by all)
+       select product_id, warehouse_id, cast(coalesce(quantity_on_hand, 0) + coalesce(q, 0) as bigint) as quantity_on_hand,
+              case when quantity_on_hand is null then 'new' when q is null then 'kept' else 'updated' end as change
+       from inv full join back using (product_id, warehouse_id)""",
+)
+def inventory_ingest(spark, sf):
+    """Returned pieces go back to stock: known stock is raised, a product new to a warehouse gets a row."""
+    inventory, items = _load(spark, sf, "oe_inventories", "oe_items")
+    back = items.filter("return_flag = 'R'").select(
+        "product_id", (F.col("supplier_id") % 10 + 1).alias("warehouse_id"), F.col("quantity").alias("quantity_on_hand")
+    )
+    known = inventory.filter("warehouse_id < 10")
+    return changes.add_or_insert(known, back, ["product_id", "warehouse_id"], "quantity_on_hand")
+
+
 # --- versioned rows ------------------------------------------------------------------------
 CIRCLE_SQL = """
   ev as (select customer_id, line_no as index_id, product_id as line, ship_date as d, order_id, supplier_id, quantity, amount_cents

@@ -12,6 +12,7 @@ from tallygrain.registry import query
 from tallygrain.session import work_folder
 from tallygrain.shapes import shape
 from tallygrain.sources import files, tables
+from tallygrain.streaming.events import FILES_PER_TRIGGER, open_stream
 
 ID_BLOCK = 1 << 16
 ROWS = 256
@@ -212,18 +213,26 @@ def document_write(spark, sf):
     return files.read_lines(spark, path)
 
 
-@query(
-    "event_publish",
-    """select to_json(struct_pack(EventId := event_id, EventType := event_type, TimeStamp := strftime(ts, '%Y-%m-%dT%H:%MZ'),
+PUBLISH_SQL = """select to_json(struct_pack(EventId := event_id, EventType := event_type, TimeStamp := strftime(ts, '%Y-%m-%dT%H:%MZ'),
               CustomerID := user_id, DeviceID := cast(props->>'$.k' as bigint), LocationLatitude := null, LocationLongtitude := null))::varchar as value
-       from events""",
-)
+       from events"""
+
+
+@query("event_publish", PUBLISH_SQL)
 def event_publish(spark, sf):
     path = work_folder(spark, "published")
     files.publish_events(shape(spark, sf, "events"), path)
     return files.read_lines(spark, path)
 
 
+@query("event_publish_stream", PUBLISH_SQL)
+def event_publish_stream(spark, sf):
+    """The same messages, published by a stream that follows the events."""
+    folder = work_folder(spark, "published")
+    files.publish_stream(open_stream(spark, f"{sf}/events.parquet", FILES_PER_TRIGGER), f"{folder}/out", f"{folder}/checkpoint")
+    return files.read_lines(spark, f"{folder}/out")
+
+
 # --- runs ------------------------------------------------------------------------------------------
 OVERVIEW_SQL = """
   pm as (select run_day, date_trunc('minute', ts) as m, count(*) as n from run_tx group by all),

@@ -70,3 +70,17 @@ def interaction_events(events: DataFrame) -> DataFrame:
 def publish_events(events: DataFrame, path: str) -> None:
     """Publish interaction messages to a folder that a stream can follow."""
     interaction_events(events).write.mode("append").text(path)
+
+
+def publish_stream(events: DataFrame, path: str, checkpoint: str) -> None:
+    """Publish the messages of an event stream as they come, each once; stops when nothing more is there."""
+    query = (
+        interaction_events(events)
+        .writeStream.format("text")
+        .outputMode("append")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()

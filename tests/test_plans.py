@@ -10,7 +10,7 @@ from tests.conftest import SF
 
 load_all()
 STREAMS = {"event_stream", "throughput_tumbling", "throughput_sliding", "activity_last_hour", "device_state",
-           "login_state", "late_events", "change_feed_apply"}
+           "login_state", "late_events", "change_feed_apply", "event_publish_stream"}
 
 
 @pytest.fixture()
