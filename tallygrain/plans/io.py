@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tallygrain.operators import runs
 from tallygrain.operators.aggregates import collect_ordered
 from tallygrain.operators.documents import json_value
-from tallygrain.operators.ordered import block_of
 from tallygrain.registry import query
 from tallygrain.session import work_folder
 from tallygrain.shapes import shape
@@ -71,9 +70,11 @@ def tagged_record_groups(spark, sf):
     heads.unionByName(lines).write.csv(path)
     schema = "file_no bigint, order_id bigint, tag string, line int, quantity bigint"
     records = files.read_delimited(spark, path, schema)
-    grouped = tables.group_by_marker(
-        records, ["file_no"], ["order_id", "line"], "tag", "New", [block_of("order_id", ID_BLOCK)], "group_no"
-    )
+    # order and line as one number: it never decreases along the records, and an order with many lines spans blocks
+    longest = records.agg(F.coalesce(F.max("line"), F.lit(0)).cast("decimal(12,0)")).scalar()
+    place = F.col("order_id").cast("decimal(20,0)") * (longest + 1).cast("decimal(12,0)") + F.col("line")
+    block = F.floor(place / F.lit(ID_BLOCK)).cast("decimal(30,0)")
+    grouped = tables.group_by_marker(records, ["file_no"], ["order_id", "line"], "tag", "New", [block], "group_no")
     return grouped.groupBy("file_no", "group_no").agg(
         F.min(F.when(F.col("tag") == "New", F.col("order_id"))).alias("owner"),
         F.count(F.when(F.col("tag") != "New", 1)).alias("records"),
