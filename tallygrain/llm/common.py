@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,14 @@ def text_sizes(column: pa.Array) -> np.ndarray:
     return np.diff(offsets) if len(column) else np.zeros(0, np.int32)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker lives on and serves other stages and queries."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], text_col: str, max_bytes: int = SLICE_BYTES, max_rows: int = 20_000
 ) -> Iterator[pa.RecordBatch]:
@@ -45,6 +54,7 @@ def slices(
             stop = min(max(stop, start + 1), start + max_rows)
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 def byte_texts(column: pa.Array) -> list[bytes]:

@@ -32,7 +32,7 @@ from tallygrain.llm.registry import query
 
 MODEL = "piece_bpe_32k.model"
 CHECK_EVERY = 64  # every 64th text of a batch goes through the library too
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
 SHORT = 24  # symbols of a unit that is merged in arrays
 SPACE = "▁"
 NEVER = np.int32(2**31 - 1)
