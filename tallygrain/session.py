@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from functools import cache
@@ -40,7 +41,7 @@ def work_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder for data that must outlive one job.
 
     It lies under the shared folder the cluster names in
-    ``spark.checkpoint.dir``. Only a local session may fall back to a
+    ``spark.checkpoint.dir`` and is deleted when the process ends. Only a local session may fall back to a
     temporary folder of this machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -48,7 +49,30 @@ def work_folder(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = _local_base(spark.sparkContext.applicationId)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    _FOLDERS.append(path)
+    return path
+
+
+# what this process has put into the work folder
+_FOLDERS: list[str] = []
+
+
+def delete_folders(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders in whatever store they are."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+@atexit.register
+def clear_work() -> None:
+    """At the end of the process its intermediate results go, if the session still lives."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _FOLDERS:
+        delete_folders(spark, _FOLDERS)
+        _FOLDERS.clear()
 
 
 @cache
