@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrain.session import work_folder
+from tallygrain.session import delete_folders, work_folder
 
 # the bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return;
 # exactly what bytes.split() splits on
@@ -81,20 +82,20 @@ class Scratch:
         self.spark, self.base = spark, work_folder(spark, label)
         self.paths: list[str] = []
 
-    def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df``, cut its lineage there, and go on from the files."""
+    def __call__(self, df: DataFrame, name: str, parts: float | None = None) -> DataFrame:
+        """Write ``df``, cut its lineage there, and go on from the files.
+
+        ``parts`` is how many files its rows can fill at most; it must follow
+        the data (a count over rows a file), or large tables would be written by few.
+        """
         path = f"{self.base}/{len(self.paths)}-{name}"
         self.paths.append(path)
-        df.write.parquet(path)
+        (df if parts is None else df.coalesce(max(1, math.ceil(parts)))).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self, *kept: str) -> None:
         """Delete all tables but those named."""
-        jvm = self.spark.sparkContext._jvm
-        for path in self.paths:
-            if path.rsplit("-", 1)[-1] not in kept:
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        delete_folders(self.spark, [p for p in self.paths if p.rsplit("-", 1)[-1] not in kept])
         self.paths = [p for p in self.paths if p.rsplit("-", 1)[-1] in kept]
 
 

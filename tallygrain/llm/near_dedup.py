@@ -38,6 +38,8 @@ WIDTH = 5
 PERCENT = 85
 BANDS, BAND_ROWS = 24, 5
 SMALL_BUCKET = 32
+# of written tables: narrow rows, and rows with a set or signature
+ROWS_A_FILE, SETS_A_FILE = 100_000, 10_000
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 18
 
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -220,23 +222,24 @@ def large_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """id and comp (smallest id reachable) of every id in links (a, b): least neighbours, then leaps, until nothing changes."""
     back = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    edges = scratch(links.select("a", "b").unionByName(back).filter("a != b").distinct(), "edges")
+    parts = 2 * links.count() / ROWS_A_FILE
+    edges = scratch(links.select("a", "b").unionByName(back).filter("a != b").distinct(), "edges", parts)
     first = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m"))
-    labels = scratch(first.select("id", F.least("id", "m").alias("comp")), "labels")
+    labels = scratch(first.select("id", F.least("id", "m").alias("comp")), "labels", parts)
     while True:
         of_b = labels.select(F.col("id").alias("b"), "comp")
         around = edges.join(of_b, "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
         near = labels.join(around, "id").select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("hop"))
         leap = labels.select(F.col("id").alias("hop"), F.col("comp").alias("far"))
         moved = near.join(leap, "hop").select("id", "old", F.least("hop", "far").alias("comp"))
-        moved = scratch(moved, "labels")
+        moved = scratch(moved, "labels", parts)
         labels = moved.select("id", "comp")
         if moved.filter("old != comp").isEmpty():
             return labels
 
 
 def near_links(
-    df: DataFrame, classes: DataFrame, scratch: Scratch, id_col: str, text_col: str, percent: int, small: int
+    df: DataFrame, classes: DataFrame, scratch: Scratch, id_col: str, text_col: str, percent: int, bands: int, small: int
 ) -> DataFrame:
     """id and comp of the linked classes."""
     keyed = classes.select("id", "n", F.posexplode("bands").alias("band", "key"))
@@ -244,19 +247,21 @@ def near_links(
     heads = keyed.groupBy("bucket").agg(
         F.min("id").alias("head"), F.max("id").alias("last"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")
     )
-    heads = scratch(heads.filter("head != last").drop("last"), "heads")
-    members = scratch(keyed.join(heads, "bucket"), "members")
-    wanted = scratch(members.select("id").distinct(), "wanted")
-    sets = scratch(full_sets(df, wanted, id_col, text_col), "sets")
+    most = classes.count()
+    heads = scratch(heads.filter("head != last").drop("last"), "heads", most * bands / 2 / ROWS_A_FILE)
+    members = scratch(keyed.join(heads, "bucket"), "members", most * bands / ROWS_A_FILE)
+    met = members.count()
+    wanted = scratch(members.select("id").distinct(), "wanted", met / ROWS_A_FILE)
+    sets = scratch(full_sets(df, wanted, id_col, text_col), "sets", wanted.count() / SETS_A_FILE)
 
     star = members.filter("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = scratch(confirmed(star, sets, percent), "links")
+    links = scratch(confirmed(star, sets, percent), "links", met / SETS_A_FILE)
     found = components(links, scratch)
 
     labelled = members.filter("m > 2").join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    labelled = scratch(labelled, "labelled")
+    labelled = scratch(labelled, "labelled", met / ROWS_A_FILE)
     still = labelled.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1")
-    still = labelled.join(scratch(still.select("bucket"), "open"), "bucket")
+    still = labelled.join(scratch(still.select("bucket"), "open", met / ROWS_A_FILE), "bucket")
     few = still.filter((F.col("m") <= small) & (F.col("id") != F.col("head")))
     right = few.select("bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
     pairs = few.join(right, "bucket").filter((F.col("id") < F.col("b")) & (F.col("comp") != F.col("comp_b")))
@@ -280,10 +285,11 @@ def near_duplicates(
     rows = scratch(signed(df, id_col, text_col, bands, band_rows), "rows")
     classes = rows.filter("n > 0 and id is not null").groupBy("hi", "lo")
     classes = classes.agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
-    classes = scratch(classes, "classes")
-    found = near_links(df, classes, scratch, id_col, text_col, percent, small)
+    size = rows.count()
+    classes = scratch(classes, "classes", size / SETS_A_FILE)
+    found = near_links(df, classes, scratch, id_col, text_col, percent, bands, small)
     named = classes.join(found, "id", "left").select("hi", "lo", F.coalesce("comp", "id").alias("comp"))
-    named = scratch(named, "named")
+    named = scratch(named, "named", size / ROWS_A_FILE)
     scratch.clear("rows", "named")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
     return rows.join(named, ["hi", "lo"], "left").select(

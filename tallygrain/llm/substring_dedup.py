@@ -179,28 +179,29 @@ def repeats(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     ``docs`` has the columns id and text.
     """
     base = scratch(_base(docs), "base")
+    narrow, wide = (base.count() / n for n in (100_000, 10_000))  # files that a row a document can fill
     long = base.filter((F.col("n") >= WINDOW) & F.col("id").isNotNull())
     first = long.groupBy("hi", "lo").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first != last")
-    first = scratch(first.drop("last"), "first")
-    copies = scratch(long.join(first, ["hi", "lo"]).filter("id != first").select("id", "hi", "lo").distinct(), "copies")
+    first = scratch(first.drop("last"), "first", narrow)
+    copies = scratch(long.join(first, ["hi", "lo"]).filter("id != first").select("id", "hi", "lo").distinct(), "copies", narrow)
     copy = copies.withColumn("copy", F.lit(True))
     base = base.join(copy, ["id", "hi", "lo"], "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
-    only = scratch(copies.select("id").distinct(), "gone")
+    only = scratch(copies.select("id").distinct(), "gone", narrow)
     rest = among(docs.filter("id is not null"), only, "id", keep=False)
 
     anchors = scratch(_anchors(rest), "anchors").select("id", F.explode("anchors").alias("anchor"))
     ends = anchors.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"))
     shared = scratch(ends.filter("a != b").select("anchor"), "shared")
     flags = anchors.join(shared, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("flags"))
-    flags = scratch(flags, "flags")
+    flags = scratch(flags, "flags", wide)
     flagged = among(rest, flags.select("id"), "id").join(flags, "id")
-    flagged = scratch(flagged, "flagged")
+    flagged = scratch(flagged, "flagged", wide)
 
     windows = _windows(flagged)
     owners = windows.groupBy("w1", "w2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first != last")
     owners = scratch(owners.drop("last"), "owners")
     hits = windows.join(owners, ["w1", "w2"]).filter("id > first").groupBy("id").agg(F.collect_list("w1").alias("hits"))
-    removed = scratch(_removed(flagged.join(scratch(hits, "hits"), "id")), "removed")
+    removed = scratch(_removed(flagged.join(scratch(hits, "hits", wide), "id")), "removed")
     return base, removed.dropDuplicates(["id", "hi", "lo"])
 
 
