@@ -2,7 +2,10 @@
 
 Vectors, scaled to length 1, are projected on random normal directions, shifted
 and cut into cells (``WIDTH``); the cells of ``functions`` directions name a
-bucket, in each of ``TABLES`` tables. A query visits its own bucket and those
+bucket, in each of ``TABLES`` tables. Directions are as many as the rows ask
+for, but no more than leave ``RECALL`` of the true neighbours of ``MEASURED``
+queries within the probes: buckets grow with the rows once that is reached.
+A query visits its own bucket and those
 with a few cells changed by one, in the order in which they are likely to hold
 near vectors: the sum of squared distances to the cell borders it crosses,
 ranked by its expected value. The candidates of all tables are ranked again by
@@ -11,7 +14,8 @@ their exact cosine.
 Equal vectors are one class with its smallest ids, as many as can be asked for;
 so copies cost nothing. Buckets are cut into blocks of bounded size, queries of
 a bucket as well, and block meets block: no row stands for a pair. A query that
-finds fewer than ``k`` is compared with all vectors, block by block.
+finds fewer than ``k`` is compared with all vectors, block by block; so are all
+queries if no number of directions leaves enough neighbours within the probes.
 
 Vectors that are null, zero, of another dimension than most, or hold null or
 non-finite components take no part, nor do rows without an id. Repeated rows
@@ -38,12 +42,14 @@ TABLES = 12
 PROBES = 32
 WIDTH = 1.75
 SEED = 7
+RECALL = 0.95  # of the measured queries' neighbours, above the 0.9 that all should find
+MEASURED = 256
 BLOCK = 256
 HEAVY_KEYS = 1 << 20  # buckets with several blocks that are sent to every task at most
 
 
 def functions_for(rows: int) -> int:
-    """Directions of a table: buckets grow in number with the rows."""
+    """Most directions of a table: buckets grow in number with the rows."""
     return max(2, round(0.45 * math.log2(max(rows, 2))))
 
 
@@ -155,6 +161,19 @@ def blocked(rows: DataFrame, scratch: Scratch, members: list[str], hashed: str,
     return joined.groupBy("key", number.alias("block")).agg(F.collect_list(F.struct(*members)).alias("rows"))
 
 
+def best_ids(q: np.ndarray, x: np.ndarray, qids: list[int], ids: list[list[int]], k: int) -> Iterator[list[tuple]]:
+    """(-score, id) of each query's best ``k`` among the classes ``x`` with their ``ids``."""
+    rough = units_of(q) @ units_of(x).T
+    most = min(k + 1, len(x))
+    edge = np.partition(rough, len(x) - most, axis=1)[:, len(x) - most] - 1e-9
+    at, col = np.nonzero(rough >= edge[:, None])
+    a, b = q[at], x[col]
+    exact = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+    for j, row in enumerate(qids):
+        own = np.flatnonzero(at == j)
+        yield sorted((-s, v) for s, c in zip(exact[own].tolist(), col[own].tolist()) for v in ids[c] if v != row)[:k]
+
+
 def best_of(queries: DataFrame, data: DataFrame, dtype: str, dimension: int, k: int) -> DataFrame:
     """qid, vec_id and exact score of the best of each block for each query of a block that meets it."""
 
@@ -165,16 +184,8 @@ def best_of(queries: DataFrame, data: DataFrame, dtype: str, dimension: int, k:
                 asked, held = batch.column("asked")[i].values, batch.column("held")[i].values
                 q, x = (vectors_of(part.field("vec"), dtype, dimension) for part in (asked, held))
                 qids, ids = asked.field("qid").to_pylist(), held.field("ids").to_pylist()
-                rough = units_of(q) @ units_of(x).T
-                most = min(k + 1, len(x))
-                edge = np.partition(rough, len(x) - most, axis=1)[:, len(x) - most] - 1e-9
-                at, col = np.nonzero(rough >= edge[:, None])
-                a, b = q[at], x[col]
-                exact = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-                for j, row in enumerate(qids):
-                    own = np.flatnonzero(at == j)
-                    rank = sorted((-s, v) for s, c in zip(exact[own].tolist(), col[own].tolist()) for v in ids[c] if v != row)
-                    for s, v in rank[:k]:
+                for row, hits in zip(qids, best_ids(q, x, qids, ids, k)):
+                    for s, v in hits:
                         out[0].append(row), out[1].append(v), out[2].append(-s)
             kinds = (pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds)], ["query_id", "vec_id", "score"])
@@ -190,6 +201,53 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def recalled(q: np.ndarray, near: np.ndarray, hashes: Tables, sets: list[tuple[int, ...]]) -> float:
+    """Share of the pairs (query, neighbour), row by row, that meet in a probed bucket."""
+    own, probed = hashes.own(near), hashes.probed(q, sets)
+    met = np.zeros(len(q), bool)
+    for t in range(len(hashes)):
+        met |= (probed[t * len(sets) : (t + 1) * len(sets)] == own[t]).any(axis=0)
+    return float(met.mean())
+
+
+def measured(asked: DataFrame, data: DataFrame, dtype: str, dimension: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Units of the pairs (query, true neighbour) of ``MEASURED`` queries drawn by a hash, found among all vectors."""
+    drawn = asked.orderBy(F.xxhash64("qid", "vec"), "qid").limit(MEASURED).collect()
+    if not drawn:
+        return np.zeros((0, dimension)), np.zeros((0, dimension))
+    qids = [r["qid"] for r in drawn]
+    raw = pa.array([bytes(r["vec"]) for r in drawn], pa.binary())
+    q = vectors_of(raw, dtype, dimension)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                x, ids = vectors_of(part.column("vec"), dtype, dimension), part.column("ids").to_pylist()
+                out = [(j, v, -s) for j, hits in enumerate(best_ids(q, x, qids, ids, k)) for s, v in hits]
+                kinds = (pa.int64(), pa.int64(), pa.float64())
+                columns = [pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
+
+    best = ranked(data.select("ids", "vec").mapInArrow(run, "query_id long, vec_id long, score double"), k)
+    pairs = [(r["query_id"], r["vec_id"]) for r in best.select("query_id", "vec_id").collect()]
+    wanted = sorted({v for _, v in pairs})
+    held = data.withColumn("id", F.explode("ids")).filter(F.col("id").isin(wanted)).select("id", "vec").collect()
+    # an id with several vectors stands for the first met: this is a measurement, results do not use it
+    vecs = {r["id"]: bytes(r["vec"]) for r in held}
+    near = vectors_of(pa.array([vecs[v] for _, v in pairs], pa.binary()), dtype, dimension)
+    return units_of(q[[j for j, _ in pairs]]), units_of(near)
+
+
+def directions(rows: int, q: np.ndarray, near: np.ndarray, tables: int, probes: int, width: float, seed: int) -> int:
+    """The most directions, up to those for ``rows``, that keep ``RECALL`` of the measured pairs; 0 if none do."""
+    for functions in range(functions_for(rows), 0, -1):
+        hashes = Tables(q.shape[1], functions, tables, width, seed)
+        if not len(q) or recalled(q, near, hashes, probe_sets(functions, probes)) >= RECALL:
+            return functions
+    return 0
+
+
 def nearest(
     df: DataFrame,
     queries: Column | str,
@@ -214,8 +272,10 @@ def nearest(
     asking = asking.filter(F.col("qid").isNotNull() & known.isNotNull() & (F.size("v") == dimension))
     asking = asking.filter(fine & F.exists(known, lambda x: x != 0))
     asked = scratch(packed(asking, dtype, "qid long", ["qid"]), "asked")
-    hashes = Tables(max(dimension, 1), functions_for(rows), tables, width, seed)
-    sets = probe_sets(functions_for(rows), probes)
+    pairs = measured(asked, data, dtype, dimension, k) if rows else (np.zeros((0, max(dimension, 1))),) * 2
+    functions = directions(rows, *pairs, tables, probes, width, seed)
+    hashes = Tables(max(dimension, 1), functions, tables, width, seed)
+    sets = probe_sets(functions, probes) if functions else []
 
     def keyed(names: list[str], visit: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,22 +289,25 @@ def nearest(
 
         return run
 
-    index = data.mapInArrow(keyed(["cid", "ids", "vec"], False), "key long, cid long, ids array<bigint>, vec binary")
-    visits = asked.mapInArrow(keyed(["qid", "vec"], True), "key long, qid long, vec binary")
-    met = best_of(
-        blocked(visits, scratch, ["qid", "vec"], "qid", BLOCK),
-        blocked(index, scratch, ["ids", "vec"], "cid", BLOCK),
-        dtype,
-        dimension,
-        k,
-    )
-    best = scratch(ranked(met, k), "best")
-    # queries that found fewer than k: against all vectors
-    full = best.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("qid"))
-    short = scratch(asked.join(full, "qid", "left_anti"), "short")
-    if short.isEmpty():
-        scratch.clear("best")
-        return best.select("query_id", "rank", "vec_id", "score")
+    if functions:
+        index = data.mapInArrow(keyed(["cid", "ids", "vec"], False), "key long, cid long, ids array<bigint>, vec binary")
+        visits = asked.mapInArrow(keyed(["qid", "vec"], True), "key long, qid long, vec binary")
+        met = best_of(
+            blocked(visits, scratch, ["qid", "vec"], "qid", BLOCK),
+            blocked(index, scratch, ["ids", "vec"], "cid", BLOCK),
+            dtype,
+            dimension,
+            k,
+        )
+        best = scratch(ranked(met, k), "best")
+        # queries that found fewer than k: against all vectors
+        full = best.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("qid"))
+        short = scratch(asked.join(full, "qid", "left_anti"), "short")
+        if short.isEmpty():
+            scratch.clear("best")
+            return best.select("query_id", "rank", "vec_id", "score")
+    else:
+        best, short = None, asked
     blocks = max(1, -(-rows // BLOCK))
     cells = data.withColumn("key", F.pmod(F.xxhash64("cid"), F.lit(blocks)))
     cells = cells.groupBy("key").agg(F.collect_list(F.struct("ids", "vec")).alias("rows"))
@@ -252,8 +315,9 @@ def nearest(
     group = group.groupBy("g").agg(F.collect_list(F.struct("qid", "vec")).alias("rows"))
     group = group.withColumn("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     rest = ranked(best_of(group, cells, dtype, dimension, k), k)
-    whole = best.join(short.select(F.col("qid").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(rest)
-    whole = scratch(whole, "whole")
+    if best is not None:
+        rest = best.join(short.select(F.col("qid").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(rest)
+    whole = scratch(rest, "whole")
     scratch.clear("whole")
     return whole.select("query_id", "rank", "vec_id", "score")
 

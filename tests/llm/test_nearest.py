@@ -108,3 +108,33 @@ def test_blocks_of_heavy_buckets_lose_nothing(spark, monkeypatch, kind):
     want = [w[:3] for w in exact([r[:2] for r in rows], 5, lambda i: i % 50 == 0)] if kind == "float" else None
     got = [g[:3] for g in result(df, tables=8, probes=8)]
     assert len(got) == 50 and (want is None or sum(a in want for a in got) >= 48)
+
+
+def planted(rows, queries, cosine, rng):
+    """``queries`` unit vectors, each with five neighbours of that cosine, amid ``rows`` random ones."""
+    q = nn.units_of(rng.normal(size=(queries, 48)))
+    side = rng.normal(size=(queries, 5, 48))
+    side -= (side * q[:, None]).sum(axis=2, keepdims=True) * q[:, None]
+    near = cosine * q[:, None] + math.sqrt(1 - cosine**2) * side / np.linalg.norm(side, axis=2, keepdims=True)
+    return q, near.reshape(-1, 48), rng.normal(size=(rows, 48))
+
+
+@pytest.mark.parametrize("rows", [51_282, 250_000, 3_000_000])
+def test_directions_hold_recall_at_any_number_of_rows(rows):
+    q, near, _ = planted(0, 400, 0.45, np.random.default_rng(11))
+    pairs = np.repeat(q, 5, axis=0), near
+    functions = nn.directions(rows, pairs[0][:1000], pairs[1][:1000], nn.TABLES, nn.PROBES, nn.WIDTH, nn.SEED)
+    hashes = nn.Tables(48, functions)
+    assert nn.recalled(pairs[0][1000:], pairs[1][1000:], hashes, nn.probe_sets(functions, nn.PROBES)) >= 0.9
+
+
+@pytest.mark.parametrize("most", [6, 10])
+def test_recall_does_not_fall_with_the_directions(spark, monkeypatch, most):
+    monkeypatch.setattr(nn, "functions_for", lambda rows: most)  # as for 10 thousand and 5 million rows
+    q, near, other = planted(4000, 40, 0.5, np.random.default_rng(12))
+    vectors = np.concatenate([near, other])
+    ids = [i for i in range(1, 10_000) if i % 50][: len(vectors)]
+    rows = [(50 * i, v.tolist(), 0) for i, v in enumerate(q)] + [(i, v.tolist(), 0) for i, v in zip(ids, vectors)]
+    want = {w[::2][:2] for w in exact([r[:2] for r in rows], 5, lambda i: i % 50 == 0)}
+    got = {g[::2][:2] for g in result(spark.createDataFrame(rows, SCHEMA))}
+    assert len(want & got) >= 0.9 * len(want)
