@@ -4,11 +4,13 @@ Every row gets a place from a hash of its id and text, and starts in the shard
 ``place mod shards``, so that shard counts differ by one at most. Linked rows
 then move in rounds. The neighbours of a row are the rows of its link group; a
 group too large for a shard is cut into pieces by a hash, each a unit of its
-own. In a round each unit chooses, among the shards that have room, the one
-that most of its rows are in, and asks to bring in the others. A shard grants
-requests, whole units at a time in the order of a hash, as far as its quota of
-free places goes. Rows without links, which are at home anywhere, fill up what
-is left, so the counts stay even (law ``rows``).
+own. In a round each unit chooses the shard that most of its rows are in (ties
+by a hash), and all its rows go there. A shard that is chosen by more rows than
+its quota passes the last units, in the order of a hash, on to shards with
+places to spare; so units need no free places to move into, they swap. Only a
+unit on the edge of such a run is cut, fewer than twice the shards in all.
+Rounds go on while fewer units are cut. Rows without links, which are at home
+anywhere, fill up what is left, so the counts stay even (law ``rows``).
 
 Only DataFrame operations are used. No task holds a group, a shard or the rows
 of one key: groups enter as counts, and numbering goes by blocks of rows.
@@ -78,37 +80,65 @@ def _room(spark: SparkSession, linked: DataFrame, n: int, shards: int) -> DataFr
     )
 
 
-def propagate(linked: DataFrame, n: int, shards: int) -> DataFrame:
-    """One round of moves under the shards' quotas."""
-    room = written(_room(linked.sparkSession, linked, n, shards), "shard-room")  # as many rows as shards
+def _passed_on(totals: dict[int, int], places: dict[int, int]) -> list[tuple[int, int, int, int]]:
+    """Which runs (goal, from, upto, shard) of the rows that chose a goal stay or go on: fewer runs than twice the shards."""
+    spare = sorted(((places[g] - totals.get(g, 0), g) for g in places if totals.get(g, 0) < places[g]), reverse=True)
+    runs = []
+    for goal in sorted(totals):
+        upto = min(totals[goal], places[goal])
+        runs.append((goal, 0, upto, goal))
+        while upto < totals[goal]:
+            left, shard = spare.pop(0)
+            taken = min(left, totals[goal] - upto)
+            runs.append((goal, upto, upto + taken, shard))
+            upto += taken
+            if taken < left:
+                spare.insert(0, (left - taken, shard))
+    return runs
+
+
+def propagate(linked: DataFrame, n: int, shards: int, turn: int) -> DataFrame:
+    """One round: every unit chooses the shard most of its rows are in; shards over their quota pass on their last units."""
+    spark = linked.sparkSession
     held = linked.groupBy("unit", "label").agg(F.count(F.lit(1)).alias("own"))
-    taste = F.xxhash64("unit", "label")
-    chance = F.struct((F.col("room") > 0).alias("open"), "own", taste.alias("taste"), "label")
-    wishes = (
-        held.join(F.broadcast(room), "label")
-        .groupBy("unit")
-        .agg(F.max(chance).alias("best"), F.sum("own").alias("rows"))
-        .select(
-            "unit",
-            F.col("best.label").alias("goal"),
-            (F.col("rows") - F.col("best.own")).alias("coming"),
-            F.pmod(F.xxhash64("unit", F.col("best.own")), F.lit(BUCKETS)).alias("bucket"),
-        )
-        .filter("coming > 0")
+    # ties go by the round, so that no shard is chosen by all
+    chance = F.struct("own", F.xxhash64("unit", "label", F.lit(turn)).alias("taste"), "label")
+    units = held.groupBy("unit").agg(F.max(chance).alias("best"), F.sum("own").alias("rows"))
+    order = hashed("unit").alias("_h")
+    units = written(units.select("unit", F.col("best.label").alias("goal"), "rows", order), "shard-units")
+    # a row a shard
+    totals = {r["goal"]: r["rows"] for r in units.groupBy("goal").agg(F.sum("rows").alias("rows")).collect()}
+    runs = _passed_on(totals, {g: n // shards + (g < n % shards) for g in range(shards)})
+    if not runs:
+        return linked
+    text = F.explode(F.split(F.lit(";".join(",".join(map(str, r)) for r in runs)), ";"))
+    fields = F.split("r", ",")
+    plan = spark.range(1).select(text.alias("r")).select(
+        *[fields[i].cast("long").alias(c) for i, c in enumerate(("goal", "first", "last", "shard"))]
     )
-    wishes = written(wishes, "shard-wishes")
-    queue = W.partitionBy("goal").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    # at most BUCKETS rows a shard
-    asked = wishes.groupBy("goal", "bucket").agg(F.sum("coming").alias("coming"))
-    granted = (
-        asked.withColumn("upto", F.sum("coming").over(queue))
-        .join(F.broadcast(room.withColumnRenamed("label", "goal")), "goal")
-        .filter("upto <= room")
-        .select("goal", "bucket")
+    block = F.floor(F.col("_h") / (HASHES // max(1, n // shards // BLOCK_ROWS) + 1))
+    queue = ordered.running_total(units, ["goal"], ["_h", "unit"], F.col("rows"), "upto", [block])
+    queue = queue.withColumn("begin", F.col("upto") - F.col("rows"))
+    met = queue.join(F.broadcast(plan), "goal").filter((F.col("begin") < F.col("last")) & (F.col("first") < F.col("upto")))
+    met = written(
+        met.select("unit", "rows", (F.col("first") - F.col("begin")).alias("first"), (F.col("last") - F.col("begin")).alias("last"), "shard"),
+        "shard-met",
     )
-    moves = written(wishes.join(granted, ["goal", "bucket"]).select("unit", "goal"), "shard-moves")
-    moved = linked.join(moves, "unit", "left").select("place", "unit", F.coalesce("goal", "label").alias("label"))
-    return written(moved, "shard-linked")
+    whole = met.filter("first <= 0 and rows <= last").select("unit", F.col("shard").alias("goal"))
+    # a unit on the edge of a run is dealt row by row: fewer such units than runs
+    edge = met.filter("first > 0 or last < rows").select("unit", "first", "last", "shard")
+    kept = linked.join(whole, "unit").select("place", "unit", F.col("goal").cast("int").alias("label"))
+    cut = linked.join(F.broadcast(edge.select("unit").distinct()), "unit").select("place", "unit")
+    cut = ordered.position(cut, ["unit"], ["place"], "turn", [F.floor(F.col("place") / BLOCK_ROWS)])
+    cut = cut.join(F.broadcast(edge), "unit").filter((F.col("first") < F.col("turn")) & (F.col("turn") <= F.col("last")))
+    cut = cut.select("place", "unit", F.col("shard").cast("int").alias("label"))
+    return written(kept.unionByName(cut), "shard-linked")
+
+
+def _cut(linked: DataFrame) -> int:
+    """How many units more than one shard holds, each counted once a further shard."""
+    held = linked.groupBy("unit").agg((F.countDistinct("label") - 1).alias("cut"))
+    return held.agg(F.coalesce(F.sum("cut"), F.lit(0))).first()[0]
 
 
 def balanced_shards(
@@ -117,8 +147,16 @@ def balanced_shards(
     """Per row: id, size, crc, link, shard and slot (0, 1, .. in the shard)."""
     rows, n = placed(df, id_col, text_col)
     linked = linked_rows(rows, n, shards)
-    for _ in range(rounds):
-        linked = propagate(linked, n, shards)
+    left = _cut(linked) if rounds else 0
+    for turn in range(rounds):
+        if not left:
+            break
+        before, kept = left, linked
+        linked = propagate(linked, n, shards, turn)
+        left = _cut(linked)
+        if left >= before:
+            linked = kept
+            break
     # a row a shard: the places left for rows without links, in a row of shards
     room = sorted((r["label"], r["room"]) for r in _room(df.sparkSession, linked, n, shards).collect())
     free = rows.select("place").join(linked.select("place"), "place", "left_anti")

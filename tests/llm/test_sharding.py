@@ -75,3 +75,13 @@ def test_plan_is_native(spark):
     df = sharding.op4_balanced_shards(spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas", "Cartesian", "NestedLoop"))
+
+
+@pytest.mark.parametrize("copies", [2, 3])
+def test_links_come_together_without_unlinked_rows(documents, copies):
+    rows = [(i, prose(i // copies, 8, 100_000)) for i in range(1200 * copies)]
+    found = sharding.balanced_shards(documents(rows), 10)
+    laws(found, 10)
+    held = found.groupBy("link").agg(F.countDistinct("shard").alias("k"))
+    # a shard's quota need not be a multiple of the copies, so a few are cut
+    assert held.filter("k > 1").count() <= 20
