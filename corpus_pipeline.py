@@ -20,6 +20,8 @@ from tallygrain.session import work_folder
 
 # a text stays if one language has this share of its letters: mixed texts stay, unreadable ones go
 MIN_LANGUAGE_SHARE = 0.4
+# texts of this similarity and more are near-duplicates: the limit of op10_near_dedup, which the stage's test holds it to
+NEAR_PERCENT = near_dedup.PERCENT
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.drop_near_duplicates(docs)
+    return near_dedup.drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -300,10 +300,12 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT
+) -> DataFrame:
     """The rows, with all their columns, without those that are near-duplicates of a document with a smaller id."""
     scratch, key = Scratch(df.sparkSession, "near-gone"), fresh(df, "_id")
-    gone = near_duplicates(df, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias(key)).distinct()
+    gone = near_duplicates(df, id_col, text_col, percent).filter(~F.col("kept")).select(F.col(id_col).alias(key)).distinct()
     return among(df.withColumn(key, F.col(id_col).cast("long")), scratch(gone, "gone"), key, keep=False).drop(key)
 
 

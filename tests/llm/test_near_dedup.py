@@ -140,3 +140,16 @@ def test_dropping_keeps_columns_and_one_of_each_group(documents, families):
     assert left.columns == df.columns
     want = {d for d, _, _, kept in wanted(families) if kept} | {None}
     assert {r["doc_id"] for r in left.collect()} == want and left.count() == len(want)
+
+
+def test_dropping_takes_a_limit(documents):
+    # 200 shingles; a changed word breaks five: four words apart leave 180 of 220 (0.82), five 175 of 225 (0.78)
+    rows = []
+    for t in range(12):
+        words = [f"t{t}w{i}" for i in range(204)]
+        changed = [f"x{i}" if i % 40 == 20 and i < 40 * (4 if t < 8 else 5) else w for i, w in enumerate(words)]
+        rows += [(2 * t, " ".join(words)), (2 * t + 1, " ".join(changed))]
+    df = documents(rows)
+    kept = {r["doc_id"] for r in nd.drop_near_duplicates(df, percent=80).collect()}
+    assert kept == {2 * t for t in range(12)} | {2 * t + 1 for t in range(8, 12)}
+    assert nd.drop_near_duplicates(df).count() == 24
