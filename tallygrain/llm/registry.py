@@ -10,7 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["url_filter", "line_quality", "language_id", "piece_codec", "packed_ids", "mixing", "sharding", "near_dedup", "substring_dedup", "nearest"]
+MODULES = [
+    "url_filter",
+    "line_quality",
+    "language_id",
+    "piece_codec",
+    "packed_ids",
+    "mixing",
+    "sharding",
+    "near_dedup",
+    "substring_dedup",
+    "nearest",
+    "fingerprints",
+]
 
 
 def query(key: str, sql: str | None = None):
