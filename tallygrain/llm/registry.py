@@ -22,6 +22,7 @@ MODULES = [
     "substring_dedup",
     "nearest",
     "fingerprints",
+    "variants",
 ]
 
 
