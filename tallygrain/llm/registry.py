@@ -23,6 +23,7 @@ MODULES = [
     "nearest",
     "fingerprints",
     "variants",
+    "alignment",
 ]
 
 
