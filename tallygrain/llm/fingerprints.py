@@ -133,7 +133,8 @@ def _classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     marked = repeats.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), "n")
     on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))
     merged = given.join(marked, on).groupBy("id", "tie").agg(F.any_value("text").alias("text"), F.any_value("n").alias("n"))
-    turns = F.array(F.struct(F.lit(0).alias("turn"), (F.col("n") - 1).alias("times")), F.struct(F.lit(1), F.lit(1).cast("long")))
+    turn = lambda i, times: F.struct(F.lit(i).alias("turn"), times.cast("long").alias("times"))
+    turns = F.array(turn(0, F.col("n") - 1), turn(1, F.lit(1)))
     merged = written(merged.select("id", "tie", "text", F.inline(turns)), "print-classes")
     return single.join(marked, on, "left_anti").unionByName(merged)
 
