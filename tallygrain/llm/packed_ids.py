@@ -42,7 +42,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 BLOCK_IDS = 1 << 16
 PIECE_BYTES = 8 << 20
-CACHE_WORDS = 250_000  # words remembered in a worker, twice at most
+CACHE_WORDS = 600_000  # words remembered in a worker, and those of one slice
+CHECK_EVERY = 64  # every 64th text of a slice goes through the library too
 JOINED_WORDS = 500
 HEAD = struct.Struct("<4sHHIQ")
 MAGIC, VERSION = b"TGPK", 1
@@ -61,66 +62,128 @@ def read_tokenizer(name_or_path: str = TOKENIZER) -> str:
         return f.read()
 
 
-def _raw(ids: list[int]) -> bytes:
-    return np.array(ids, np.uint32).tobytes()
-
-
 class WordEncoder:
     """The library's ids of whole texts, each different word encoded once.
 
-    For tokenizers that never join characters across white space, that put a
-    mark at the end of each word, and that lower-case: a text's ids are its
-    words' ids one after the other. A word of plain letters is looked up in
-    lower case and without a final stop or comma, which is a word of its own
-    there.
+    For tokenizers that never join characters across white space: a text's ids
+    are its words' ids one after the other. Words are remembered from slice to
+    slice, as Arrow strings with their ids in one flat array, and looked up as
+    they stand. Of the others, a word of plain letters takes the ids of its
+    lower-case form without a final stop or comma, which is a word of its own
+    there, if the tokenizer lower-cases and marks the ends of words.
+
+    Some texts of every call go through the library whole, and a difference
+    stops the job.
     """
 
-    def __init__(self, json_text: str) -> None:
+    def __init__(self, json_text: str, most_words: int = CACHE_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library = Tokenizer.from_str(json_text)
+        self.library, self.most_words = Tokenizer.from_str(json_text), most_words
         vocab = self.library.get_vocab()
         self.size = max(vocab.values()) + 1
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for p, i in vocab.items() if p.endswith("</w>")]] = True
-        # the ids of a word as 32-bit integers in bytes
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         got = self._plain([a + b for a in ("Ab", "çé") for b in ("", ".", ",")])
         tails = {t: self._plain([t])[0] for t in (".", ",")}
         words = all(got[3 * i + k] == got[3 * i] + tails[t] for i in (0, 1) for k, t in ((1, "."), (2, ",")))
-        self.tails = {t: _raw(ids) for t, ids in tails.items()}
         apart = self._plain(["one two\nthree"])[0] == sum(self._plain(["one", "two", "three"]), [])
         same = self._plain(["ABÇ"]) == self._plain(["abç"])
         self.simple = words and same and all(self.ends[x[-1]] for x in got)
         if not apart:
             raise ValueError("a tokenizer that joins characters across white space")
+        # the words known, and of each where its ids begin in ``flat`` and how many they are
+        self.words = pa.array([], pa.string())
+        self.begin, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _simple_ids(self, words: list[str]) -> list[bytes]:
-        """Ids of different words of lower-case letters."""
-        out = [self.known.get(w) for w in words]
-        missing = []
-        for i in [i for i, ids in enumerate(out) if ids is None]:
-            ids = self.older.get(words[i])
-            if ids is None:
-                missing.append(i)
-            else:
-                out[i] = self.known[words[i]] = ids
-        groups = [missing[i : i + JOINED_WORDS] for i in range(0, len(missing), JOINED_WORDS)]
-        for group, ids in zip(groups, self._plain([" ".join(words[i] for i in g) for g in groups])):
-            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-            if len(stops) == len(group):
-                raw = _raw(ids)
-                found = [raw[a:b] for a, b in zip([0, *stops], stops)]
-            else:
-                found = [_raw(x) for x in self._plain([words[i] for i in group])]
-            for i, own in zip(group, found):
-                out[i] = self.known[words[i]] = own
-        if len(self.known) > CACHE_WORDS:
-            self.known, self.older = {}, self.known
-        return out
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lower-case words of letters, and how many each has: the ends of words are seen by their marks."""
+        groups = [words[i : i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
+        ids, counts = [], []
+        for group, found in zip(groups, self._plain([" ".join(g) for g in groups])):
+            found = np.array(found, np.uint32)
+            stops = np.flatnonzero(self.ends[found]) + 1
+            if len(stops) != len(group) or stops[-1] != len(found):
+                found, own = self._any(group)
+                stops = np.cumsum(own)
+            ids.append(found)
+            counts.append(np.diff(stops, prepend=0))
+        nothing = np.zeros(0, np.uint32)
+        return np.concatenate([nothing, *ids]), np.concatenate([nothing.astype(np.int64), *counts])
+
+    def _any(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any words, and how many each has: an id belongs to the word in which its characters begin."""
+        ids, counts = [], []
+        for i in range(0, len(words), JOINED_WORDS):
+            group = words[i : i + JOINED_WORDS]
+            found = self.library.encode(" ".join(group), add_special_tokens=False)
+            starts = np.cumsum([0, *[len(w) + 1 for w in group]])
+            at = np.fromiter((x for x, _ in found.offsets), np.int64, len(found.ids))
+            ids.append(np.array(found.ids, np.uint32))
+            counts.append(np.bincount(np.searchsorted(starts, at, side="right") - 1, minlength=len(group)))
+        nothing = np.zeros(0, np.uint32)
+        return np.concatenate([nothing, *ids]), np.concatenate([nothing.astype(np.int64), *counts])
+
+    def _learn(self, words: pa.Array, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Remember words that were not known; their places."""
+        first = len(self.words)
+        begin = len(self.flat) + np.cumsum(counts) - counts
+        self.words = pa.concat_arrays([self.words, words])
+        self.begin, self.count = np.concatenate([self.begin, begin]), np.concatenate([self.count, counts])
+        self.flat = np.concatenate([self.flat, ids])
+        return np.arange(first, len(self.words))
+
+    def _known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Places of words, and the rows of those that are not known."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return at, np.flatnonzero(at < 0)
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Places of different words, which are all known then."""
+        at, new = self._known(words)
+        if not len(new):
+            return at
+        missing = words.take(pa.array(new))
+        plain = np.asarray(pc.match_substring_regex(missing, SIMPLE), bool) if self.simple else np.zeros(len(new), bool)
+        letters = missing.filter(pa.array(plain))
+        base = pc.utf8_rtrim(pc.ascii_lower(letters), ".,").dictionary_encode()
+        base_at, unknown = self._known(base.dictionary)
+        if len(unknown):
+            fresh_words = base.dictionary.take(pa.array(unknown))
+            base_at[unknown] = self._learn(fresh_words, *self._letters(fresh_words.to_pylist()))
+        other = missing.filter(pa.array(~plain))
+        if len(other):
+            at[new[~plain]] = self._learn(other, *self._any(other.to_pylist()))
+        if len(letters):
+            # a word has its base's ids and those of its tail; a base that stands as a word itself is known by now
+            of_base = base_at[np.asarray(base.indices, np.int64)]
+            tails = pc.utf8_slice_codeunits(letters, -1)
+            ids = [self._plain([t])[0] for t in ".,"]
+            begin, count, flat = self.begin[of_base], self.count[of_base], np.concatenate([self.flat, *ids]).astype(np.uint32)
+            pairs = np.stack([begin, np.full(len(letters), len(self.flat))], axis=1)
+            sizes = np.stack([count, np.zeros(len(letters), np.int64)], axis=1)
+            for t, start, own in ((".", 0, ids[0]), (",", len(ids[0]), ids[1])):
+                has = np.asarray(pc.equal(tails, t), bool)
+                pairs[has, 1] += start
+                sizes[has, 1] = len(own)
+            itself, left = self._known(letters)
+            where = itself
+            if len(left):
+                taken = flat[expand(sizes[left].ravel(), pairs[left].ravel())]
+                where[left] = self._learn(letters.take(pa.array(left)), taken, sizes[left].sum(axis=1))
+            at[new[plain]] = where
+        return at
+
+    def _trim(self, words: pa.Array, at: np.ndarray) -> np.ndarray:
+        """Forget all words but these, if there are too many."""
+        if len(self.words) <= self.most_words:
+            return at
+        count = self.count[at]
+        self.flat = self.flat[expand(count, self.begin[at])]
+        self.words, self.count, self.begin = words, count, np.cumsum(count) - count
+        return np.arange(len(words))
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's ids start (with the end of the last)."""
@@ -128,32 +191,24 @@ class WordEncoder:
         lists = pc.ascii_split_whitespace(texts)
         bounds = np.asarray(lists.offsets, np.int64)
         words = lists.flatten().dictionary_encode()
-        own = words.dictionary
-        if not self.simple:
-            plain = np.zeros(len(own), bool)
-        else:
-            plain = np.asarray(pc.match_substring_regex(own, SIMPLE), bool) if len(own) else np.zeros(0, bool)
-        ids = [b""] * len(own)
-        chosen = pa.array(np.flatnonzero(plain))
-        base = pc.utf8_rtrim(pc.ascii_lower(own.take(chosen)), ".,").dictionary_encode()
-        found = self._simple_ids(base.dictionary.to_pylist())
-        tails = [self.tails.get(t, b"") for t in pc.utf8_slice_codeunits(own.take(chosen), -1).to_pylist()]
-        for i, b, tail in zip(chosen.to_pylist(), base.indices.to_pylist(), tails):
-            ids[i] = found[b] + tail
-        other = np.flatnonzero(~plain).tolist()
-        for i, x in zip(other, self._plain(own.take(pa.array(other, pa.int64())).to_pylist())):
-            ids[i] = _raw(x)
-        if end_id is not None:  # one more word after each text
-            ids.append(_raw([end_id]))
-        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), np.uint32)
+        at = self._trim(words.dictionary, self._places(words.dictionary))
+        count, begin, flat = self.count[at], self.begin[at], self.flat
         which = np.asarray(words.indices, np.int64)
-        if end_id is not None:
-            which = np.insert(which, bounds[1:] - bounds[0], len(ids) - 1)
-            bounds = bounds - bounds[0] + np.arange(len(bounds))
-        begin = np.cumsum(counts) - counts
-        ends = np.concatenate([[0], np.cumsum(counts[which])])
-        return flat[expand(counts[which], begin[which])], ends[bounds - bounds[0]]
+        bounds = bounds - bounds[0]
+        if end_id is not None:  # one more word after each text
+            begin, count, flat = np.append(begin, len(flat)), np.append(count, 1), np.append(flat, np.uint32(end_id))
+            which = np.insert(which, bounds[1:], len(count) - 1)
+            bounds = bounds + np.arange(len(bounds))
+        sizes = count[which]
+        ids, ends = flat[expand(sizes, begin[which])], np.concatenate([[0], np.cumsum(sizes)])[bounds]
+        self._compare(texts, ids, ends, 0 if end_id is None else 1)
+        return ids, ends
+
+    def _compare(self, texts: pa.Array, ids: np.ndarray, ends: np.ndarray, tail: int) -> None:
+        some = list(range(0, len(texts), CHECK_EVERY))
+        for i, want in zip(some, self._plain([texts[i].as_py() for i in some])):
+            if ids[ends[i] : ends[i + 1] - tail].tolist() != want:
+                raise RuntimeError("ids of words differ from the library's ids of a whole text")
 
 
 @cache
