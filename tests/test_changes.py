@@ -243,3 +243,23 @@ def test_stock_level_counts_distinct_items(table, rows):
     lines = table([(8, 1), (9, 1), (9, 2), (2, 3)], "ol_o_id long, ol_i_id long")
     districts = table([(1, 1, 10), (1, 2, 3)], "d_w_id long, d_id long, d_next_o_id long")
     assert rows(wholesale.stock_level(stock, orders, lines, districts, 10, 5)) == [(1, 1, 1), (1, 2, 0)]
+
+
+def test_returns_raise_stock_or_open_it(table, rows):
+    stock = table([(1, 1, 10), (1, 10, 4), (2, 1, 0)], "product_id long, warehouse_id int, quantity_on_hand long")
+    back = table([(1, 10, 3), (1, 10, 2), (2, 10, 7), (2, 10, 1), (3, 1, 5)], stock.schema.simpleString()[7:-1].replace(":", " "))
+    got = changes.add_or_insert(stock, back, ["product_id", "warehouse_id"], "quantity_on_hand")
+    assert rows(got) == [
+        (1, 1, 10, "kept"),
+        (1, 10, 9, "updated"),
+        (2, 1, 0, "kept"),
+        (2, 10, 8, "new"),
+        (3, 1, 5, "new"),
+    ]
+
+
+def test_inventory_ingest_covers_every_warehouse(spark):
+    from tallygrain.plans.changes import inventory_ingest
+
+    got = inventory_ingest(spark, "/root/testdata/sf0.001")
+    assert sorted(r["warehouse_id"] for r in got.select("warehouse_id").distinct().collect()) == list(range(1, 11))
