@@ -10,8 +10,8 @@ language with most letters is the text's language, their share its score.
 A null text, or one without a letter, is ``und`` with score 0. If no script of
 a word is known to any language, all languages are candidates. Without labelled
 documents every text is ``und``. Ties go to the language first in the alphabet.
-Repeated rows are judged each by itself, an empty table gives an empty result,
-and columns besides id, text and (for learning) language are not read.
+Texts of any length are judged whole, repeated rows each by itself, an empty
+table gives an empty result, and columns besides id, text and (for learning) language are not read.
 """
 
 from __future__ import annotations
@@ -48,10 +48,10 @@ SCRIPTS = {
     "ethiopic": ((0x1200, 0x139F),),
     "kana": ((0x3040, 0x30FF), (0x31F0, 0x31FF)),
     "hangul": ((0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF)),
-    "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F)),
+    "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F), (0x30000, 0x323AF)),
 }
 OTHER_SCRIPT = 1 << len(SCRIPTS)
-TOP = 0x30000
+POINTS = 0x110000
 
 
 class Model(NamedTuple):
@@ -63,7 +63,7 @@ class Model(NamedTuple):
 @cache
 def script_bits() -> np.ndarray:
     """For each code point the bit of its script, 0 for what is no letter."""
-    bits = np.fromiter((OTHER_SCRIPT if chr(c).isalpha() else 0 for c in range(TOP + 1)), np.int32, TOP + 1)
+    bits = np.fromiter((OTHER_SCRIPT if chr(c).isalpha() else 0 for c in range(POINTS)), np.int32, POINTS)
     for i, ranges in enumerate(SCRIPTS.values()):
         for first, last in ranges:
             part = bits[first : last + 1]
@@ -84,7 +84,7 @@ def words_of(texts: list[str]) -> Words | None:
     """Words and hashed letter trigrams of some texts; None without a word."""
     lowered = [t.lower() for t in texts]
     points = np.frombuffer((" " + " ".join(lowered) + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)
-    bits = script_bits()[np.minimum(points, TOP)]
+    bits = script_bits()[points]
     gap = (points == 32) | ((points >= 9) & (points <= 13))
     edge = np.flatnonzero(np.diff(gap.view(np.int8)) == -1) + 1
     if not len(edge):
@@ -115,11 +115,12 @@ def decode(scores: np.ndarray, bounds: np.ndarray, penalty: float = SWITCH_PENAL
     sizes = np.diff(bounds)
     order = np.argsort(-sizes, kind="stable")
     begin, size = bounds[:-1][order], sizes[order]
-    back = np.zeros(scores.shape, np.int8)
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    number = np.int16 if scores.shape[1] < 1 << 15 else np.int32
+    back = np.zeros(scores.shape, number)
+    own = np.arange(scores.shape[1], dtype=number)
     alive = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), side="left")
     best = scores[begin[: alive[0]]].copy() if len(alive) else np.zeros((0, scores.shape[1]))
-    last = np.zeros(len(size), np.int8)
+    last = np.zeros(len(size), number)
     for t in range(1, len(alive)):
         live = alive[t]
         if live < len(best):
@@ -133,7 +134,7 @@ def decode(scores: np.ndarray, bounds: np.ndarray, penalty: float = SWITCH_PENAL
         best = np.where(stay, best, from_top) + scores[at]
     if len(best):
         last[: len(best)] = best.argmax(axis=1)
-    found = np.zeros(len(scores), np.int8)
+    found = np.zeros(len(scores), number)
     for t in range(len(alive) - 1, -1, -1):
         live = alive[t]
         at = begin[:live] + t

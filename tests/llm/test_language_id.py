@@ -71,3 +71,27 @@ def test_odd_rows(documents):
     nothing = li.train(df.limit(0))
     assert {r["lang_pred"] for r in li.identify(df, nothing).collect()} == {"und"}
     assert li.identify(df.limit(0), model).count() == 0 and li.identify(df.limit(0), nothing).count() == 0
+
+
+def test_characters_beyond_the_scripts(spark, documents):
+    model = li.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    # private use, variation selectors and tags are no letters; the rest of the ideographs are
+    texts = ["\U000f0000\U000f0001 \U0010fffd", "\U000e0100", "\U000e0041\U000e007f", "\U00030000", "\U000323af \U000f0000"]
+    got = li.identify(documents([(i, t) for i, t in enumerate(texts)]), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] == "und" for r in got] == [True, True, True, False, False]
+    assert [r["score"] for r in got[:3]] == [0.0] * 3
+    bits = li.script_bits()
+    assert len(bits) == 0x110000 and all((bits[c] > 0) == chr(c).isalpha() for c in range(0, 0x110000, 97))
+
+
+def test_more_languages_than_a_byte_counts(documents):
+    rng = np.random.default_rng(4)
+    scores, bounds = rng.normal(scale=3, size=(400, 300)), np.array([0, 150, 150, 400])
+    assert (li.decode(scores, bounds, penalty=0.0) == scores.argmax(axis=1)).all()
+    # every language has a letter of its own
+    letters = [chr(0x4E00 + i) for i in range(140)]
+    df = documents([(i * 7 + k, letters[i] * 3, f"l{i:03}", "a") for i in range(140) for k in range(4)])
+    model = li.train(df)
+    assert len(model.langs) > 128
+    got = li.identify(documents([(i, letters[int(lang[1:])] * 3) for i, lang in enumerate(model.langs)]), model)
+    assert [r["lang_pred"] for r in got.orderBy("doc_id").collect()] == model.langs
