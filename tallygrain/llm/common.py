@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,3 +115,17 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def set_aside(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """``df`` with the columns that are called like one of ``names``, in any case, called otherwise."""
+    names = {n.lower() for n in names}
+    taken = {c.lower() for c in df.columns} | names
+    out = []
+    for c in df.columns:
+        new = c
+        while new.lower() in names or (new != c and new.lower() in taken):
+            new += "_"
+        taken.add(new.lower())
+        out.append(new)
+    return df.toDF(*out)

@@ -9,8 +9,10 @@ of its own. Copies are then put in the order of another hash, globally.
 
 A null source is a source of its own with the default weight. A null text has
 no bytes; documents of a source without any byte get no copy. Rows with the
-same id are repeated alike; a null id counts as the empty text. An empty table
-gives an empty result. Columns named like a result are replaced.
+same id are repeated alike, and copies that tie in their order are equal in id
+and number; a null id counts as the empty text. Texts of any length are only
+measured. An empty table gives an empty result. Columns named like a result are
+replaced: rename them before (``common.set_aside``) to keep them.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ OTHER_WEIGHT = 1.0
 EPOCHS = 1.0
 SEED = 20240917
 SPLIT = 16.0
+# names the operator gives to columns of its own
+OWN_COLUMNS = ("rate", "n_copies", "copy", "order_key", "draws", "_source", "_cdf")
 # P(Poisson(16) > 96) is below 2**-53
 MOST = 96
 

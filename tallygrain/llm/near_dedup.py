@@ -17,8 +17,10 @@ fail to meet once in a million.
 
 A null or empty text has an empty set and is linked with nothing. Repeated
 rows are copies; rows of one id with different texts are linked each by its
-own. Rows without an id stand alone: no component, kept. An empty table gives an empty result; other columns
-are not read.
+own. Rows without an id stand alone: no component, kept. Texts of any length are
+taken whole, and a tie between ids cannot matter, as a component takes its
+smallest. An empty table gives an empty result; other columns are not read, and
+``drop_near_duplicates`` hands them on.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 
 from tallygrain.llm.common import Scratch, among, byte_texts, fresh, slices, table
 from tallygrain.llm.registry import query
+from tallygrain.operators import ordered, splitters
 
 WIDTH = 5
 PERCENT = 85
@@ -300,13 +303,40 @@ def near_duplicates(
     )
 
 
+def one_row_each(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, key: str) -> DataFrame:
+    """The rows with ``key``, their id, or, where ids are not unique, a number for each different (id, text).
+
+    Numbers are in the order of ids; of rows with equal id and text one stays.
+    Rows without an id are kept and have no number.
+    """
+    keyed = df.withColumn(key, F.col(id_col).cast("long"))
+    if keyed.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").isEmpty():
+        return keyed
+    a, b, n, row = (fresh(keyed, name) for name in ("_a", "_b", "_n", "_row"))
+    keyed = keyed.withColumns({a: F.xxhash64(text_col), b: F.xxhash64(F.lit(1), text_col)})
+    texts = scratch(keyed.filter(F.col(key).isNotNull()).groupBy(key, a, b).agg(F.count(F.lit(1)).alias("times")), "texts")
+    blocks = splitters.with_block(texts, [key, a, b], "_block_no")
+    places = ordered.position(blocks, [], [key, a, b], "place", [F.col("_block_no")]).select(key, a, b, "times", "place")
+    places = scratch(places.withColumnsRenamed({"times": n, "place": row}), "places")
+    joined = keyed.join(places, [key, a, b], "left").drop(key, a, b).withColumnRenamed(row, key)
+    single = joined.filter(F.coalesce(F.col(n), F.lit(1)) == 1).drop(n)
+    # copies of a row come down to one in every task, before they are shuffled
+    several = joined.filter(F.col(n) > 1).groupBy(key).agg(F.any_value(F.struct(*df.columns)).alias(row))
+    return single.unionByName(several.select(F.col(f"{row}.*"), key))
+
+
 def drop_near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT
 ) -> DataFrame:
-    """The rows, with all their columns, without those that are near-duplicates of a document with a smaller id."""
+    """The rows, with all their columns, without those that are near-duplicates of a document with a smaller id.
+
+    Texts under one id are judged each by itself, in the order of a hash; of
+    rows with equal id and text one stays.
+    """
     scratch, key = Scratch(df.sparkSession, "near-gone"), fresh(df, "_id")
-    gone = near_duplicates(df, id_col, text_col, percent).filter(~F.col("kept")).select(F.col(id_col).alias(key)).distinct()
-    return among(df.withColumn(key, F.col(id_col).cast("long")), scratch(gone, "gone"), key, keep=False).drop(key)
+    rows = one_row_each(df, scratch, id_col, text_col, key)
+    gone = near_duplicates(rows, key, text_col, percent).filter(~F.col("kept")).select(key).distinct()
+    return among(rows, scratch(gone, "gone"), key, keep=False).drop(key)
 
 
 @query("op10_near_dedup")

@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallygrain.llm import language_id, mixing, piece_codec
@@ -49,7 +50,7 @@ def test_stages_equal_plain_versions(spark, some, tmp_path):
         if letters.sum() and letters.max() / letters.sum() >= corpus_pipeline.MIN_LANGUAGE_SHARE:
             kept.append(r)
     assert 0 < len(rows) - len(kept) < 10
-    firsts = {d for d, _, _, first in wanted([(r["doc_id"], r["text"]) for r in kept]) if first}
+    firsts = {d for d, _, _, first in wanted([(r["doc_id"], r["text"]) for r in kept], 80) if first}
     kept = [r for r in kept if r["doc_id"] in firsts]
     texts = brute_passages([(r["doc_id"], r["text"]) for r in kept])[1]
     for r in kept:
@@ -82,3 +83,27 @@ def test_stages_keep_the_columns(spark, some):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "").columns == docs.columns
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").columns[: len(docs.columns)] == docs.columns
+
+
+def test_columns_of_any_name_and_repeated_rows(spark, some, tmp_path):
+    """Clashing names keep their values and types; repeated rows come down to one before they are mixed."""
+    names = [*mixing.OWN_COLUMNS, *corpus_pipeline.CODED, "_id", "hi", "lo", "kept", "key", "_A", "spans"]
+    docs = some.filter("doc_id < 60")
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{i}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    docs = docs.unionByName(docs.filter("doc_id < 20")).unionByName(docs.filter("doc_id < 5"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, "").dtypes == docs.dtypes
+    # the same rows without the other columns
+    docs.select(*COLUMNS).write.parquet(str(tmp_path / "plain" / "documents.parquet"))
+    plain = corpus_pipeline.run(spark, str(tmp_path / "plain"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    coded = ["ids", "n_tokens", "decoded_sha256"]
+    assert sorted(map(tuple, got.select(*COLUMNS, *coded).collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    for i, name in enumerate(names):
+        column = f"{name}_" if name in corpus_pipeline.CODED else name
+        assert got.filter(F.col(column) != F.concat(F.lit(f"{i}-"), F.col("doc_id").cast("string"))).isEmpty()
+    one = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert one.filter("text is not null and doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
