@@ -15,9 +15,10 @@ the documents' sums are taken. So what is shuffled is the pairs of a block, not
 of a document, and no table of counts is held whole by a task.
 
 A null or empty text, and one whose token bytes are not a space and the text,
-has no tokens: zeros and an empty checksum. Long texts are encoded in parts cut
-where neither tokenizer joins characters (a single space between ASCII letters
-or digits). Repeated rows are documents of their own, and count again; rows
+has no tokens: zeros and an empty checksum. Neither tokenizer joins characters over
+a single space between two words, so each different word goes through the
+libraries once, many in a call; some texts of every piece go through them whole,
+and a difference stops the job. Repeated rows are documents of their own, and count again; rows
 without an id are kept. An empty table gives an empty result; other columns are
 not read.
 """
@@ -25,6 +26,7 @@ not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -41,13 +43,21 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 from tokenizers import Tokenizer
 
-from tallygrain.llm.common import Scratch, slices, table
+from tallygrain.llm.common import Scratch, expand, slices, table
 from tallygrain.llm.registry import query
 
 BYTE_TOKENIZER, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 PIECE_BYTES = 2 << 20  # of a block
 PART_CHARS = 100_000  # of a text that is encoded at once
 CALL_CHARS = 200_000  # of the texts of one library call
+CACHE_WORDS = 400_000  # words remembered in a worker, and those of one piece
+CHECK_EVERY = 64  # every 64th text of a piece goes through the libraries whole
+# white space (fixed values of Unicode), the separators U+001C to U+001F to be on the safe side, and the mark that
+# sentencepiece takes for a space
+WHITE = "\\x{2581}\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+ODD_SPACE = f"^ | $|[{WHITE}] | [{WHITE}]"
+_WHITE = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), WHITE)
+WORD_CUT = re.compile(f"(?<=[^{_WHITE}]) (?=[^{_WHITE}])")
 CUT = re.compile(r"(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")
 SPACE = "▁"
 
@@ -70,15 +80,16 @@ def byte_letters() -> dict[str, int]:
 
 
 class Side(NamedTuple):
-    """A tokenizer: ids of texts, and the bytes of each id."""
+    """A tokenizer: ids of texts, the bytes of each id, and whether words behind single spaces are encoded by themselves."""
 
     encode: object
     raw: pa.BinaryArray
     width: np.ndarray
+    by_word: bool
 
 
-def _side(encode, raw: list[bytes]) -> Side:
-    return Side(encode, pa.array(raw, pa.binary()), np.fromiter(map(len, raw), np.int64, len(raw)))
+def _side(encode, raw: list[bytes], by_word: bool) -> Side:
+    return Side(encode, pa.array(raw, pa.binary()), np.fromiter(map(len, raw), np.int64, len(raw)), by_word)
 
 
 def byte_side(data: bytes) -> Side:
@@ -94,7 +105,10 @@ def byte_side(data: bytes) -> Side:
     def encode(texts: list[str]) -> list[list[int]]:
         return [e.ids for e in library.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
-    return _side(encode, raw)
+    rules = json.loads(data)
+    split = rules.get("pre_tokenizer") or {}
+    by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not rules.get("normalizer")
+    return _side(encode, raw, by_word)
 
 
 def piece_side(data: bytes) -> Side:
@@ -104,7 +118,11 @@ def piece_side(data: bytes) -> Side:
     proto.ParseFromString(data)
     byte = model_pb2.ModelProto.SentencePiece.BYTE
     raw = [bytes([int(p.piece[3:-1], 16)]) if p.type == byte else p.piece.replace(SPACE, " ").encode() for p in proto.pieces]
-    return _side(lambda texts: library.encode(texts, num_threads=1), raw)
+    # words are apart if the model neither normalises nor has a piece with a space behind a character
+    rules = proto.normalizer_spec
+    apart = not any(SPACE in p.piece.lstrip(SPACE) for p in proto.pieces)
+    by_word = apart and rules.add_dummy_prefix and not rules.precompiled_charsmap and not rules.remove_extra_whitespaces
+    return _side(lambda texts: library.encode(texts, num_threads=1), raw, by_word)
 
 
 @cache
@@ -124,27 +142,131 @@ def parts_of(text: str, most: int = PART_CHARS) -> list[str]:
     return [*out, text[start:]]
 
 
-def id_lists(texts: list[str], sides: tuple[Side, Side]) -> tuple[pa.ListArray, pa.ListArray]:
-    """Ids of each text on both sides."""
+def words_of(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+    """Words of all texts, and where each text's words start (with the end of the last).
+
+    A text is its words joined by single spaces. It is cut at a space between
+    two characters that are no white space; a byte-level vocabulary puts such a
+    space before what follows, and so does sentencepiece.
+    """
+    plain = pa.array(texts, pa.string())
+    odd = np.asarray(pc.match_substring_regex(plain, ODD_SPACE), bool) if len(texts) else np.zeros(0, bool)
+    lists = pc.split_pattern(pc.if_else(pa.array(odd), "", plain), " ")
+    if not odd.any():
+        return lists.values, np.asarray(lists.offsets, np.int64)
+    parts = lists.to_pylist()
+    for i in np.flatnonzero(odd).tolist():
+        parts[i] = WORD_CUT.split(texts[i])
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.array([w for own in parts for w in own], pa.string()), ends
+
+
+class Known:
+    """Ids of words on one side, remembered from piece to piece as flat arrays."""
+
+    def __init__(self, side: Side) -> None:
+        self.side = side
+        self.begin, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def learn(self, words: list[str]) -> None:
+        """Words joined by spaces go to the library; the widths of the tokens tell where each word ends."""
+        ids, counts = [self.flat], []
+        start = 0
+        while start < len(words):
+            stop, held = start, 0
+            while stop < len(words) and (stop == start or held + len(words[stop]) < CALL_CHARS):
+                held += len(words[stop]) + 1
+                stop += 1
+            own = words[start:stop]
+            found = np.array(self.side.encode([" ".join(own)])[0], np.int32)
+            ends = np.cumsum([len(w.encode()) + 1 for w in own])
+            upto = np.cumsum(self.side.width[found])
+            at = np.searchsorted(upto, ends)
+            if not len(upto) or upto[-1] != ends[-1] or not (upto[np.minimum(at, len(upto) - 1)] == ends).all():
+                # some word's tokens do not spell it: each by itself
+                lists = self.side.encode(own)
+                ids += [np.array(x, np.int32) for x in lists]
+                counts += [len(x) for x in lists]
+            else:
+                ids.append(found)
+                counts += np.diff(at + 1, prepend=0).tolist()
+            start = stop
+        count = np.array(counts, np.int64)
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(count) - count])
+        self.count, self.flat = np.concatenate([self.count, count]), np.concatenate(ids)
+
+    def keep(self, at: np.ndarray) -> None:
+        """Forget all words but these."""
+        count = self.count[at]
+        self.flat = self.flat[expand(count, self.begin[at])]
+        self.begin, self.count = np.cumsum(count) - count, count
+
+    def lists(self, at: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+        """The ids of texts, given the places of their words."""
+        sizes = self.count[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[bounds]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(self.flat[expand(sizes, self.begin[at])]))
+
+
+class Memory:
+    """Words that both sides know, in one order."""
+
+    def __init__(self, sides: tuple[Side, Side], most_words: int = CACHE_WORDS) -> None:
+        self.sides, self.most_words = sides, most_words
+        self.words, self.known = pa.array([], pa.string()), [Known(s) for s in sides]
+
+    def id_lists(self, texts: list[str]) -> list[pa.ListArray]:
+        if not all(s.by_word for s in self.sides):
+            return whole_lists(texts, self.sides)
+        words, bounds = words_of(texts)
+        coded = words.dictionary_encode()
+        own = coded.dictionary
+        at = pc.fill_null(pc.index_in(own, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        missing = own.take(pa.array(new))
+        at[new] = np.arange(len(self.words), len(self.words) + len(new))
+        self.words = pa.concat_arrays([self.words, missing])
+        for known in self.known:
+            known.learn(missing.to_pylist())
+        if len(self.words) > self.most_words:
+            self.words = own
+            for known in self.known:
+                known.keep(at)
+            at = np.arange(len(own))
+        places = at[np.asarray(coded.indices, np.int64)]
+        found = [known.lists(places, bounds) for known in self.known]
+        some = list(range(0, len(texts), CHECK_EVERY))
+        for lists, want in zip(found, whole_lists([texts[i] for i in some], self.sides)):
+            if lists.take(pa.array(some, pa.int64())).to_pylist() != want.to_pylist():
+                raise RuntimeError("ids of words differ from the library's ids of a whole text")
+        return found
+
+
+def whole_lists(texts: list[str], sides: tuple[Side, Side]) -> list[pa.ListArray]:
+    """Ids of each text on both sides, by the libraries."""
     parts = [parts_of(t) for t in texts]
     flat = [p for own in parts for p in own]
-    found: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
-    start = 0
-    while start < len(flat):
-        stop, held = start, 0
-        while stop < len(flat) and (stop == start or held + len(flat[stop]) <= CALL_CHARS):
-            held += len(flat[stop])
-            stop += 1
-        for side, ids in zip(sides, found):
-            ids += [np.array(x, np.int32) for x in side.encode(flat[start:stop])]
-        start = stop
     firsts = np.cumsum([0, *map(len, parts)])
     out = []
-    for ids in found:
-        ends = np.concatenate([[0], np.cumsum(list(map(len, ids)))])
-        offsets = pa.array(ends[firsts].astype(np.int32))
-        out.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))))
-    return out[0], out[1]
+    for side in sides:
+        ids: list[np.ndarray] = []
+        start = 0
+        while start < len(flat):
+            stop, held = start, 0
+            while stop < len(flat) and (stop == start or held + len(flat[stop]) <= CALL_CHARS):
+                held += len(flat[stop])
+                stop += 1
+            ids += [np.array(x, np.int32) for x in side.encode(flat[start:stop])]
+            start = stop
+        ends = np.concatenate([[0], np.cumsum(list(map(len, ids)))]).astype(np.int64)
+        values = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]))
+        out.append(pa.ListArray.from_arrays(pa.array(ends[firsts].astype(np.int32)), values))
+    return out
+
+
+@cache
+def memory_of(a: bytes, b: bytes) -> Memory:
+    return Memory(sides_of(a, b))
 
 
 def joined(raw: pa.BinaryArray, stops: np.ndarray, without: int = 0) -> list[bytes]:
@@ -219,11 +341,11 @@ class Aligned(NamedTuple):
     links: pa.Table
 
 
-def align(texts: list[str | None], sides: tuple[Side, Side]) -> Aligned:
+def align(texts: list[str | None], memory: Memory) -> Aligned:
     """Tokens, groups and links of some texts."""
     given = [t or "" for t in texts]
-    n = len(given)
-    lists = id_lists(given, sides)
+    n, sides = len(given), memory.sides
+    lists = memory.id_lists(given)
     want = [b" " + t.encode() for t in given]
     good = [bool(t) and x == w and y == w for t, w, x, y in zip(given, want, *[spell(i, s) for i, s in zip(lists, sides)])]
     keep = pa.array(good, pa.bool_())
@@ -250,10 +372,10 @@ def aligned_blocks(df: DataFrame, id_col: str, text_col: str, a: bytes, b: bytes
     """A row for each piece of texts; its number is the task's and the piece's, so write it before it is used twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = sides_of(a, b)
+        memory = memory_of(a, b)
         turn = TaskContext.get().partitionId() << 32
         for batch in slices(batches, "_text", piece_bytes):
-            found = align(batch.column("_text").to_pylist(), sides)
+            found = align(batch.column("_text").to_pylist(), memory)
             key = pc.add(pc.shift_left(found.links["a"].cast(pa.int64()), 32), found.links["b"].cast(pa.int64()))
             pairs = pa.table({"key": key}).group_by("key", use_threads=False).aggregate([([], "count_all")])
             keys = np.asarray(pairs["key"])

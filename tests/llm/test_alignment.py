@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -116,6 +117,18 @@ def test_parts_of_long_texts_encode_like_the_whole(sides):
 
 
 def test_a_text_of_other_bytes_has_no_tokens(sides):
-    found = alignment.align([None, "", "plain words", "▁ mark"], sides)
+    found = alignment.align([None, "", "plain words", "▁ mark"], alignment.Memory(sides))
     assert found.n_a.tolist()[:2] == [0, 0] and found.n_a[2] > 0
     assert found.n_a[3] == found.n_b[3] == 0 and found.groups[3] == b""
+
+
+def test_words_encode_like_whole_texts(sides):
+    rng = random.Random(6)
+    alphabet = [" ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x85", "\x1c", "A", "b", "the", "'s", "É", "日本", ".", "▁", "<s>", "<|endoftext|>", "7", "🙂", "\u0301"]
+    texts = ODD[1:] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    for most in (10, 10**6):
+        memory = alignment.Memory(sides, most)
+        for some in (texts[:700], texts[700:], texts[::-1]):
+            for got, want in zip(memory.id_lists(some), alignment.whole_lists(some, sides)):
+                assert got.to_pylist() == want.to_pylist()
+        assert " ".join(alignment.words_of([texts[5]])[0].to_pylist()) == texts[5]
