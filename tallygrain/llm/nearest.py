@@ -1,21 +1,23 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
 Vectors, scaled to length 1, are projected on random normal directions, shifted
-and cut into cells (``WIDTH``); the cells of ``functions`` directions name a
-bucket, in each of ``TABLES`` tables. Directions are as many as the rows ask
-for, but no more than leave ``RECALL`` of the true neighbours of ``MEASURED``
-queries within the probes: buckets grow with the rows once that is reached.
-A query visits its own bucket and those
-with a few cells changed by one, in the order in which they are likely to hold
-near vectors: the sum of squared distances to the cell borders it crosses,
-ranked by its expected value. The candidates of all tables are ranked again by
-their exact cosine.
+and cut into cells of some width; the cells of a few directions name a bucket,
+in each of some tables. A query visits its own bucket and those with a few cells
+changed by one, in the order in which they are likely to hold near vectors: the
+sum of squared distances to the cell borders it crosses, ranked by its expected
+value. The candidates of all tables are ranked again by their exact cosine.
+
+Which setting (directions, tables, probes, width) is used is measured: on the
+true neighbours of ``MEASURED`` queries, and on ``DRAWN`` vectors drawn by a
+hash, that show how many comparisons a query would make. Of the settings that
+find ``RECALL`` of the neighbours the cheapest is taken. A table holds every
+vector once, so with one table no pair is compared twice, and comparing all
+pairs is the yardstick: where no setting is cheaper, it is what is done.
 
 Equal vectors are one class with its smallest ids, as many as can be asked for;
 so copies cost nothing. Buckets are cut into blocks of bounded size, queries of
 a bucket as well, and block meets block: no row stands for a pair. A query that
-finds fewer than ``k`` is compared with all vectors, block by block; so are all
-queries if no number of directions leaves enough neighbours within the probes.
+finds fewer than ``k`` is compared with all vectors, block by block.
 
 Vectors that are null, zero, of another dimension than most, or hold null or
 non-finite components take no part, nor do rows without an id. Repeated rows
@@ -26,8 +28,10 @@ empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +46,10 @@ TABLES = 12
 PROBES = 32
 WIDTH = 1.75
 SEED = 7
+# what settings are tried: tables and probes in each, and cell widths
+TRIED_TABLES, TRIED_PROBES, TRIED_WIDTHS = (1, 2, 3, 4), (16, 64, 256), (1.75, 2.0, 2.5)
+DRAWN = 2048  # vectors that stand for all where comparisons are counted
+VISIT = 16  # what a visited block costs a query, in comparisons
 RECALL = 0.95  # of the measured queries' neighbours, above the 0.9 that all should find
 MEASURED = 256
 BLOCK = 256
@@ -169,9 +177,11 @@ def best_ids(q: np.ndarray, x: np.ndarray, qids: list[int], ids: list[list[int]]
     at, col = np.nonzero(rough >= edge[:, None])
     a, b = q[at], x[col]
     exact = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+    # rows come in order, so those of a query are a slice
+    ends = np.searchsorted(at, np.arange(len(qids) + 1)).tolist()
+    exact, col = exact.tolist(), col.tolist()
     for j, row in enumerate(qids):
-        own = np.flatnonzero(at == j)
-        yield sorted((-s, v) for s, c in zip(exact[own].tolist(), col[own].tolist()) for v in ids[c] if v != row)[:k]
+        yield sorted((-exact[i], v) for i in range(ends[j], ends[j + 1]) for v in ids[col[i]] if v != row)[:k]
 
 
 def best_of(queries: DataFrame, data: DataFrame, dtype: str, dimension: int, k: int) -> DataFrame:
@@ -248,18 +258,65 @@ def directions(rows: int, q: np.ndarray, near: np.ndarray, tables: int, probes:
     return 0
 
 
+class Setting(NamedTuple):
+    functions: int
+    tables: int
+    probes: int
+    width: float
+
+
+def visited(q: np.ndarray, drawn: np.ndarray, hashes: Tables, sets: list[tuple[int, ...]]) -> float:
+    """Comparisons a query makes for each vector there is, counted on the drawn ones."""
+    own, probed = hashes.own(drawn), hashes.probed(q, sets)
+    hits = 0
+    for t in range(len(hashes)):
+        keys, times = np.unique(own[t], return_counts=True)
+        asked = probed[t * len(sets) : (t + 1) * len(sets)].ravel()
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        hits += int(times[at][keys[at] == asked].sum())
+    return hits / max(1, len(q) * len(drawn))
+
+
+def cheapest(rows: int, q: np.ndarray, near: np.ndarray, drawn: np.ndarray, seed: int) -> Setting | None:
+    """The setting with the fewest comparisons that finds ``RECALL`` of the measured pairs; None if all pairs are cheaper.
+
+    A visit costs something too: as many comparisons as ``VISIT``, for every
+    bucket, or for every block where a query meets all vectors.
+    """
+    if not len(q):
+        return None
+    best, least = None, rows + VISIT * math.ceil(rows / BLOCK)
+    asked = np.unique(q, axis=0)
+    for functions in range(2, functions_for(rows) + 1):
+        for tables, probes, width in itertools.product(TRIED_TABLES, TRIED_PROBES, TRIED_WIDTHS):
+            sets = probe_sets(functions, probes)
+            # all changes by one of so few directions are fewer than these probes
+            if len(sets) < probes:
+                continue
+            hashes = Tables(q.shape[1], functions, tables, width, seed)
+            share = visited(asked, drawn, hashes, sets)
+            cost = share * rows + VISIT * tables * len(sets) * max(1, math.ceil(share * rows / (tables * len(sets) * BLOCK)))
+            if cost < least and recalled(q, near, hashes, sets) >= RECALL:
+                best, least = Setting(functions, tables, probes, width), cost
+    return best
+
+
 def nearest(
     df: DataFrame,
     queries: Column | str,
     k: int = K,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
-    tables: int = TABLES,
+    tables: int | None = None,
     probes: int = PROBES,
     width: float = WIDTH,
     seed: int = SEED,
 ) -> DataFrame:
-    """For the rows that ``queries`` picks, their ``k`` nearest others found: query_id, rank, vec_id, score (cosine)."""
+    """For the rows that ``queries`` picks, their ``k`` nearest others found: query_id, rank, vec_id, score (cosine).
+
+    ``tables``, ``probes`` and ``width`` hold if ``tables`` is given (then only
+    the directions are measured); else they are chosen.
+    """
     scratch = Scratch(df.sparkSession, "nearest")
     kind = df.schema[vec_col].dataType.elementType.simpleString()
     dtype = "<f4" if kind == "float" else "<f8"
@@ -273,7 +330,13 @@ def nearest(
     asking = asking.filter(fine & F.exists(known, lambda x: x != 0))
     asked = scratch(packed(asking, dtype, "qid long", ["qid"]), "asked")
     pairs = measured(asked, data, dtype, dimension, k) if rows else (np.zeros((0, max(dimension, 1))),) * 2
-    functions = directions(rows, *pairs, tables, probes, width, seed)
+    if tables is None:
+        drawn = data.orderBy(F.xxhash64("cid", "vec"), "cid").limit(DRAWN).select("vec").collect() if rows else []
+        drawn = vectors_of(pa.array([bytes(r["vec"]) for r in drawn], pa.binary()), dtype, max(dimension, 1))
+        chosen = cheapest(rows, *pairs, units_of(drawn), seed)
+        functions, tables, probes, width = chosen or Setting(0, 1, 0, width)
+    else:
+        functions = directions(rows, *pairs, tables, probes, width, seed)
     hashes = Tables(max(dimension, 1), functions, tables, width, seed)
     sets = probe_sets(functions, probes) if functions else []
 

@@ -138,3 +138,36 @@ def test_recall_does_not_fall_with_the_directions(spark, monkeypatch, most):
     want = {w[::2][:2] for w in exact([r[:2] for r in rows], 5, lambda i: i % 50 == 0)}
     got = {g[::2][:2] for g in result(spark.createDataFrame(rows, SCHEMA))}
     assert len(want & got) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("rows", [2_000, 51_282, 3_000_000])
+@pytest.mark.parametrize("cosine", [0.45, 0.6, 0.9])
+def test_the_chosen_setting_is_cheaper_than_all_pairs(rows, cosine):
+    rng = np.random.default_rng(13)
+    q, near, other = planted(4000, 300, cosine, rng)
+    q, other = np.repeat(q, 5, axis=0), nn.units_of(other)
+    chosen = nn.cheapest(rows, q[:1000], near[:1000], other[:2048], nn.SEED)
+    if chosen is None:
+        assert cosine < 0.5
+        return
+    hashes, sets = nn.Tables(48, chosen.functions, chosen.tables, chosen.width), nn.probe_sets(chosen.functions, chosen.probes)
+    share = nn.visited(q[1000:], other, hashes, sets)
+    assert share < 1 and (cosine < 0.9 or share < 0.3)
+    assert nn.recalled(q[1000:], near[1000:], hashes, sets) >= 0.9
+
+
+def test_one_table_compares_no_pair_twice():
+    rng = np.random.default_rng(14)
+    units = nn.units_of(rng.normal(size=(500, 16)))
+    hashes, sets = nn.Tables(16, 4, 1), nn.probe_sets(4, 64)
+    own, probed = hashes.own(units), hashes.probed(units[:50], sets)
+    times = (own[0][:, None, None] == probed[None]).sum(axis=1)
+    assert times.max() == 1
+    assert abs(nn.visited(units[:50], units, hashes, sets) - times.mean()) < 1e-12
+
+
+def test_neighbours_like_any_other_vector_mean_all_pairs():
+    rng = np.random.default_rng(15)
+    units = nn.units_of(rng.normal(size=(3000, 64)))
+    assert nn.cheapest(50_000, units[:500], units[500:1000], units[1000:], nn.SEED) is None
+    assert nn.cheapest(0, units[:0], units[:0], units[:0], nn.SEED) is None
