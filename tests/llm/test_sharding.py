@@ -85,3 +85,74 @@ def test_links_come_together_without_unlinked_rows(documents, copies):
     held = found.groupBy("link").agg(F.countDistinct("shard").alias("k"))
     # a shard's quota need not be a multiple of the copies, so a few are cut
     assert held.filter("k > 1").count() <= 20
+
+
+def edges(labels, groups):
+    """Pairs of one group in two shards."""
+    return sum(groups[i] == groups[j] and labels[i] != labels[j] for i in range(len(labels)) for j in range(i))
+
+
+def best_cut(groups, shards):
+    """The fewest cut edges of all ways to deal rows to shards with counts at most one apart, by trying group parts."""
+    sizes = sorted((groups.count(g) for g in set(groups)), reverse=True)
+    n = len(groups)
+    quota = [n // shards + (s < n % shards) for s in range(shards)]
+
+    def parts(m, room):
+        """All ways to deal ``m`` rows to shards with room."""
+        if not room:
+            return [()] if not m else []
+        return [(k, *rest) for k in range(min(m, room[0]) + 1) for rest in parts(m - k, room[1:])]
+
+    memo = {}
+
+    def least(i, room):
+        if i == len(sizes):
+            return 0
+        key = (i, tuple(sorted(room)))
+        if key not in memo:
+            m = sizes[i]
+            memo[key] = min(
+                m * (m - 1) // 2 - sum(k * (k - 1) // 2 for k in p) + least(i + 1, tuple(r - k for r, k in zip(room, p)))
+                for p in parts(m, room)
+            )
+        return memo[key]
+
+    return least(0, tuple(quota))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cut_equals_brute_force_on_small_tables(spark, documents, seed):
+    rng = random.Random(seed)
+    shards = rng.choice([2, 3, 4])
+    groups = [g for g in range(8) for _ in range(rng.choice([1, 1, 2, 3, 5, 9]))]
+    found = sharding.balanced_shards(documents([(i, f"text {g}") for i, g in enumerate(groups)]), shards)
+    got = sorted(laws(found, shards), key=lambda r: r["doc_id"])
+    cut = edges([r["shard"] for r in got], groups)
+    report = sharding.cut_edges(found).first()
+    every = sum(m * (m - 1) // 2 for m in map(groups.count, set(groups)))
+    assert (report["n_edges"], report["n_cut"]) == (every, cut)
+    # groups are placed one after the other, so a split that all would have to agree on can be missed
+    assert best_cut(groups, shards) <= cut <= best_cut(groups, shards) + 0.1 * every
+
+
+@pytest.mark.parametrize("hot,shards", [(2000, 40), (149, 40), (600, 8)])
+def test_a_large_group_lies_in_as_few_shards_as_it_can(spark, documents, hot, shards):
+    n = 6000
+    rows = [(i, "one text" if i < hot else f"pair {i // 2}" if i % 3 else prose(i, 4)) for i in range(n)]
+    found = sharding.balanced_shards(documents(rows), shards)
+    laws(found, shards)
+    held = found.groupBy("link", "shard").count().filter("count > 3").collect()
+    quota = n // shards
+    assert len(held) == -(-hot // quota)
+    assert sorted(r["count"] for r in held)[1:] == [quota] * (len(held) - 1)
+    others = found.filter("link is not null").groupBy("link").agg(F.count("*").alias("n"), F.countDistinct("shard").alias("k"))
+    assert others.filter("n < 10 and k > 1").count() <= 2 * shards
+
+
+def test_ties_of_repeated_rows(documents):
+    rows = [(1, "same")] * 90 + [(2, "same too")] * 90 + [(None, None)] * 20
+    got = laws(sharding.balanced_shards(documents(rows, clashing=True), 4), 4)
+    assert sorted((r["size"], r["slot"] >= 0) for r in got).count((16, True)) == 20
+    shards = {t: {r["shard"] for r in got if r["size"] == 16 + len(t)} for t in ("same", "same too")}
+    assert all(len(s) <= 3 for s in shards.values())
