@@ -71,10 +71,13 @@ def collect_ordered(
     order: Sequence[str],
     fields: Sequence[str],
     out: str,
-    blocks: Sequence[Column],
+    blocks: Sequence[Column] | None = None,
     rows: int = 1000,
 ) -> DataFrame:
-    """Child rows as ordered arrays, any number per parent: chunk 0, 1, .. of at most ``rows`` each."""
+    """Child rows as ordered arrays, any number per parent: chunk 0, 1, .. of at most ``rows`` each.
+
+    Without ``blocks``, which must follow the order, rows are cut at equi-depth splitters.
+    """
     placed = position(df, keys, order, "_place", blocks).withColumn("_place", F.col("_place") - 1)
     return collect_chunks(placed, keys, "_place", fields, out, rows)
 

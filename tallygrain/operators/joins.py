@@ -87,19 +87,63 @@ def densify(df: DataFrame, groups: Sequence[str], periods: DataFrame, fill: dict
     return dense.fillna(fill)
 
 
+SHORT_CELLS = 4  # a range that touches no more cells, or one more, is listed under each
+
+
+def dyadic_pieces(low: Column, high: Column) -> Column:
+    """The closed range of cells as an array of (level, place): aligned blocks of ``2 ** level`` cells, few for any range.
+
+    Counted from the ends: on each level at most one block at either side that
+    the next level cannot take, so a range over all cells has 126 blocks at
+    most. A short range is its cells; null or empty ranges have none. Cells lie
+    between -2**62 and 2**62.
+    """
+    piece = lambda level, place: F.struct(level.cast("int").alias("level"), place.cast("long").alias("place"))
+
+    def at(level: Column) -> Column:
+        # first and one past the last block of this level inside the range; ``first`` is rounded up
+        first = -F.call_function("shiftright", -low, level)
+        past = F.call_function("shiftright", high + 1, level)
+        left = F.when((first < past) & (F.pmod(first, F.lit(2)) == 1), piece(level, first))
+        right = F.when((first < past) & (F.pmod(past, F.lit(2)) == 1), piece(level, past - 1))
+        return F.array(left, right)
+
+    # half the width, which cannot overflow
+    half = F.call_function("shiftright", high, F.lit(1)) - F.call_function("shiftright", low, F.lit(1))
+    levels = F.sequence(F.lit(0), F.ceil(F.log2((half + 2).cast("double"))).cast("int") + 1)
+    wide = F.filter(F.flatten(F.transform(levels, at)), lambda p: p.isNotNull())
+    short = F.transform(F.sequence(low, high), lambda c: piece(F.lit(0), c))
+    return F.when(low <= high, F.when(half < SHORT_CELLS / 2, short).otherwise(wide))
+
+
 def range_join(
     points: DataFrame, at: str, ranges: DataFrame, low: str, high: str, cell: int | Column, how: str = "inner"
 ) -> DataFrame:
     """Pair each point with the closed ranges holding it (integer columns).
 
-    A range is listed under every ``cell``-wide cell it touches and a point
-    lies in one cell, so this is an equi-join on the cell; choose ``cell``
-    near the usual range width.
+    An equi-join on a dyadic index: a range stands under a few aligned blocks of
+    ``cell``-wide cells, however wide it is, and a point looks under the one
+    block of each level that any range uses. Choose ``cell`` near the usual
+    range width: such ranges use one level only.
     """
-    by_cell = ranges.withColumn("_cell", F.explode(F.sequence(block_of(low, cell), block_of(high, cell))))
-    left = points.withColumn("_cell", block_of(at, cell))
-    inside = (left["_cell"] == by_cell["_cell"]) & (left[at] >= by_cell[low]) & (left[at] <= by_cell[high])
-    return left.join(by_cell, inside, how).drop(left["_cell"]).drop(by_cell["_cell"])
+    if how not in ("inner", "left"):
+        raise ValueError("inner or left")
+    # cells first: a scalar subquery, which ``cell`` may be, cannot stand inside a lambda function
+    cells = ranges.withColumns({"_first": block_of(low, cell), "_last": block_of(high, cell)})
+    pieces = cells.select(*ranges.columns, F.inline(dyadic_pieces(F.col("_first"), F.col("_last"))).alias("_level", "_place"))
+    # 63 levels at most
+    levels = pieces.agg(F.array_sort(F.collect_set("_level"))).scalar()
+    probes = points.withColumn("_level", F.explode(levels)).withColumn(
+        "_place", F.call_function("shiftright", block_of(at, cell), F.col("_level"))
+    )
+    met = probes.join(pieces, ["_level", "_place"])
+    found = met.filter((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop("_level", "_place")
+    if how == "inner":
+        return found
+    # rows without a range, told by the point's value alone
+    hit = found.select(at).distinct()
+    alone = points.join(hit, points[at].eqNullSafe(hit[at]), "left_anti")
+    return found.unionByName(alone, allowMissingColumns=True)
 
 
 def range_owner(points: DataFrame, at: str, ranges: DataFrame, low: str, high: str, code: str, cell: int | Column) -> DataFrame:

@@ -8,7 +8,10 @@ inside their block, block totals are added up over the few blocks of a group,
 and the two meet in an equi-join on the block. Block values depend on the data
 alone, so a recomputed task finds the same answer.
 
-``blocks`` must not decrease along the ordering.
+``blocks`` must not decrease along the ordering. Where no column offers such
+values (names, texts, ids in clusters), ``blocks=None`` cuts the rows, groups
+one after the other, at equi-depth splitters (``operators/splitters.py``); the
+ordering then ends with a column that tells a group's rows apart.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from tallygrain.operators import splitters
+
 
 def block_of(column: str | Column, width: int | Column) -> Column:
     """Number of the ``width``-wide cell that holds an integer value."""
@@ -30,16 +35,22 @@ def prefix_block(df: DataFrame, column: str, tail: int = 4) -> Column:
     """A prefix of a text, as long for every row: all but the last ``tail`` characters of the longest text.
 
     A prefix of fixed length never decreases along the order of the texts,
-    however their lengths differ.
+    however their lengths differ. Block sizes follow the names; splitters
+    (``blocks=None``) keep them even.
     """
     longest = df.agg(F.coalesce(F.max(F.length(column)), F.lit(0))).scalar()
     return F.substr(F.col(column), F.lit(1), F.greatest(F.lit(1), longest - tail))
 
 
-def _with_block(df: DataFrame, keys: Sequence[str], blocks: Sequence[Column]) -> DataFrame:
+def _with_block(df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: Sequence[Column] | None) -> DataFrame:
+    drop = []
+    if blocks is None:
+        drop = ["_cut"]
+        df = splitters.with_block(df, [*keys, *order], "_cut")
+        blocks = [F.col("_cut")]
     # a struct key compares nulls as equal and keeps window and join on one partitioning
     parts = [F.col(k) for k in keys] + [b.alias(f"_b{i}") for i, b in enumerate(blocks)]
-    return df.withColumn("_block", F.struct(*parts))
+    return df.withColumn("_block", F.struct(*parts)).drop(*drop)
 
 
 def _group_of(keys: Sequence[str]) -> list[Column]:
@@ -64,14 +75,14 @@ def running_total(
     order: Sequence[str],
     value: Column,
     out: str,
-    blocks: Sequence[Column],
+    blocks: Sequence[Column] | None,
     total: str | None = None,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` from the group's first row to this one.
 
     ``total`` names an optional column with the sum over the whole group.
     """
-    blocked = _with_block(df, keys, blocks)
+    blocked = _with_block(df, keys, order, blocks)
     inside = W.partitionBy("_block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     sums = _block_sums(blocked, keys, value).drop("_sum")
     joined = blocked.withColumn(out, F.sum(value).over(inside)).join(sums, "_block")
@@ -86,7 +97,7 @@ def position(
     keys: Sequence[str],
     order: Sequence[str],
     out: str,
-    blocks: Sequence[Column],
+    blocks: Sequence[Column] | None,
     total: str | None = None,
 ) -> DataFrame:
     """Add ``out``: the 1-based place of each row in its group."""
@@ -98,14 +109,14 @@ def nth_row(
     keys: Sequence[str],
     order: Sequence[str],
     nth,
-    blocks: Sequence[Column],
+    blocks: Sequence[Column] | None,
 ) -> DataFrame:
     """The row at place ``nth(size)`` (1-based) of every group.
 
     Block counts name the one block that holds the place; only the rows of
     those blocks are sorted.
     """
-    blocked = _with_block(df, keys, blocks)
+    blocked = _with_block(df, keys, order, blocks)
     counts = _block_sums(blocked, keys, F.lit(1).cast("long"))
     wanted = nth(F.col("_all")).cast("long")
     chosen = counts.filter((F.col("_before") < wanted) & (wanted <= F.col("_before") + F.col("_sum"))).select(
@@ -126,10 +137,10 @@ def following(
     order: Sequence[str],
     column: str,
     out: str,
-    blocks: Sequence[Column],
+    blocks: Sequence[Column] | None,
 ) -> DataFrame:
     """Add ``out``: the value of ``column`` on the group's next row, null on its last."""
-    blocked = _with_block(df, keys, blocks)
+    blocked = _with_block(df, keys, order, blocks)
     # wrapped in a struct so that a null value differs from a missing row
     wrapped = F.struct(F.col(column).alias("v"))
     inside = W.partitionBy("_block").orderBy(*order)

@@ -27,8 +27,9 @@ def article_documents(articles: DataFrame, categories: DataFrame, comments: Data
     Categories are a small closed vocabulary and stay in chunk 0; people, like comments, fill as many chunks as they need.
     """
     names = categories.groupBy("article_id").agg(F.array_sort(F.collect_set("name")).alias("categories"))
+    # written, as it is read for the splitters and again for the arrays
     persons = collect_ordered(
-        people.distinct(), ["article_id"], ["name"], ["name"], "peoples", [F.substring("name", 1, 2)], ROWS
+        written(people.distinct(), "people"), ["article_id"], ["name"], ["name"], "peoples", rows=ROWS
     ).withColumn("peoples", F.col("peoples.name"))
     zero = F.lit(0).cast("long").alias("chunk")
     return documents.assemble(

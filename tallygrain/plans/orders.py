@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallygrain.functions.scalars import syllable_name, units
 from tallygrain.operators import aggregates, joins, predicates, topk, wholesale, windows
-from tallygrain.operators.ordered import nth_row, prefix_block
+from tallygrain.operators.ordered import nth_row
 from tallygrain.plans.relational import LAST_NAME_SQL, MINUTES_5
 from tallygrain.registry import query
 from tallygrain.session import written
@@ -190,7 +190,7 @@ def ws_order_status(spark, sf):
     named = customers.select("c_w_id", "c_d_id", "c_id", "c_first", "c_balance_cents", syllable_name("c_last_number").alias("c_last"))
     middle = nth_row(
         named, ["c_w_id", "c_d_id", "c_last"], ["c_first", "c_id"], lambda n: F.floor((n - 1) / 2) + 1,
-        [prefix_block(named, "c_first")],
+        None,
     )
     detail = lines.select("ol_o_id", "ol_number", "ol_i_id", "ol_supply_w_id", "ol_quantity", "ol_cents",
                           F.col("ol_delivery_d").cast("string").alias("ol_delivery_d"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallygrain.functions.scalars import quarter_desc, units
 from tallygrain.operators import aggregates, joins, predicates, topk, windows
-from tallygrain.operators.ordered import nth_row, prefix_block
+from tallygrain.operators.ordered import nth_row
 from tallygrain.registry import query
 from tallygrain.shapes import shape, stored_shape
 
@@ -212,8 +212,13 @@ def _intervals(points, at: str):
     bounds = points.agg(F.min(at).alias("first"), F.max(at).alias("last"))
     day = F.lit(86_400_000_000)
     start = F.col("first") - F.pmod("first", day)
-    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") - start) / MINUTES_5)))
-    numbered = bounds.select(start.alias("start"), steps.alias("interval_no"))
+    last = F.floor((F.col("last") - start) / MINUTES_5)
+    # in two steps, so that no row holds all of them
+    many = F.lit(1024).cast("long")
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last_no") / many)))
+    rows = bounds.select(start.alias("start"), last.alias("last_no")).select("start", "last_no", runs.alias("run"))
+    own = F.sequence(F.col("run") * many, F.least(F.col("last_no"), F.col("run") * many + many - 1))
+    numbered = rows.select("start", F.explode(own).alias("interval_no"))
     low = F.col("start") + F.col("interval_no") * MINUTES_5
     return numbered.select("interval_no", low.alias("low"), (low + MINUTES_5).alias("high"))
 
@@ -447,7 +452,7 @@ def ordered_collect(spark, sf):
     customers = shape(spark, sf, "oe_customers").select("customer_id")
     cards = aggregates.collect_ordered(
         shape(spark, sf, "oe_cards"), ["customer_id"], ["issued", "card_id"], ["card_id", "card_type"], "cards",
-        blocks=[F.col("issued")], rows=100,
+        rows=100,
     )
     return customers.join(cards, "customer_id", "left").select(
         "customer_id",
@@ -604,7 +609,7 @@ def middle_row(spark, sf):
         ["cust_first_name", "country_code"],
         ["cust_last_name", "customer_id"],
         lambda n: F.floor((n - 1) / 2) + 1,
-        [prefix_block(customers, "cust_last_name")],
+        None,
     )
 
 

@@ -189,3 +189,43 @@ def test_stock_rule_equals_line_by_line(table):
     got = {r["i"]: r["left"] for r in df.withColumn("left", scalars.stock_after(F.col("s"), F.col("q"))).collect()}
     assert got == {i: fold(s, q) for i, (s, q) in enumerate(cases)}
     assert fold(12, [5]) == 98
+
+
+def test_dyadic_pieces_cover_a_range_once(spark):
+    rng = random.Random(3)
+    spans = [(0, 0), (0, 3), (-5, 5), (1, 62), (-(2**50), 2**50 + 7), (-(2**61), 2**61), (7, 6), (3, None)]
+    spans += [(a, a + rng.randrange(1, 3000)) for a in (rng.randrange(-5000, 5000) for _ in range(60))]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(spans)], "i int, a long, b long")
+    got = df.select("i", joins.dyadic_pieces(F.col("a"), F.col("b")).alias("p")).collect()
+    for r in got:
+        a, b = spans[r["i"]]
+        if b is None or a > b:
+            assert not r["p"]
+            continue
+        blocks = sorted((p["place"] << p["level"], (p["place"] + 1) << p["level"]) for p in r["p"])
+        # one after the other, from the first cell to the last
+        assert blocks[0][0] == a and blocks[-1][1] == b + 1 and all(x[1] == y[0] for x, y in zip(blocks, blocks[1:]))
+        assert len(blocks) <= max(4, 2 * (b - a + 1).bit_length())
+    assert max(len(r["p"] or []) for r in got) <= 128
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_range_join_with_ranges_of_every_width(table, rows, how):
+    rng = random.Random(9)
+    pts = [(i, rng.randrange(-3000, 3000)) for i in range(400)] + [(900, None), (901, 2**60), (902, -(2**60)), (903, 5), (904, 5)]
+    rngs = [(i, a, a + rng.choice([0, 1, 5, 40, 300, 2000])) for i, a in enumerate(rng.randrange(-3000, 3000) for _ in range(60))]
+    rngs += [(100, -(2**61), 2**61), (101, 5, 4), (102, None, 7), (103, 0, None), (104, 2**59, 2**61)]
+    got = rows(joins.range_join(table(pts, "p long, at long"), "at", table(rngs, "no int, low long, high long"), "low", "high", 16, how), "p", "no")
+    want = []
+    for p, at in pts:
+        hits = [no for no, a, b in rngs if None not in (at, a, b) and a <= at <= b]
+        want += [(p, no) for no in hits] or ([(p, None)] if how == "left" else [])
+    assert got == sorted(want, key=repr)
+
+
+def test_a_range_over_all_keys_costs_few_rows(table):
+    ranges = table([(0, -(2**62), 2**62 - 1), (1, 10, 20)], "no int, low long, high long")
+    found = joins.range_join(table([(i,) for i in range(50)], "at long"), "at", ranges, "low", "high", 1)
+    assert found.count() == 50 + 11
+    pieces = ranges.select(F.explode(joins.dyadic_pieces(F.col("low"), F.col("high"))))
+    assert pieces.count() <= 128 + 8

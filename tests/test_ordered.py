@@ -114,3 +114,50 @@ def test_names_of_any_length_stay_in_order(table):
     for nth in range(1, len(names) + 1):
         got = nth_row(df, ["g"], ["name"], lambda n, nth=nth: F.lit(nth), [prefix_block(df, "name")]).collect()
         assert [r["name"] for r in got] == [sorted(names, key=str.encode)[nth - 1]]
+
+
+def spread(kind, n=9000):
+    """(key, name, id) with a third of the rows under one key, names of one length, of mixed lengths, or with one prefix."""
+    rnd = random.Random(4)
+    size = {"one": lambda: 6, "mixed": lambda: rnd.choice([1, 2, 4, 60]), "prefix": lambda: 4}[kind]
+    head = "common beginning of all the names " if kind == "prefix" else ""
+    names = [head + "".join(rnd.choice("abcd") for _ in range(size())) for _ in range(n)]
+    return [("hot" if i % 3 == 0 else None if i % 11 == 0 else f"k{rnd.randrange(40)}", x, i) for i, x in enumerate(names)]
+
+
+@pytest.mark.parametrize("kind", ["one", "mixed", "prefix"])
+def test_ordered_work_at_splitters(table, rows, kind, monkeypatch):
+    from tallygrain.operators import ordered, splitters
+
+    monkeypatch.setattr(splitters.with_block, "__defaults__", (300, None, None))
+    data = spread(kind)
+    df = table(data, "k string, name string, id long")
+    want = defaultdict(list)
+    for k, name, i in sorted(data, key=lambda r: (r[1].encode(), r[2])):
+        want[k].append((name, i))
+    order = ["name", "id"]
+    got = rows(position(df, ["k"], order, "n", None, total="all"), "k", "id", "n", "all")
+    assert got == sorted(((k, i, n, len(v)) for k, v in want.items() for n, (_, i) in enumerate(v, 1)), key=repr)
+    middle = nth_row(df, ["k"], order, lambda n: F.floor((n - 1) / 2) + 1, None)
+    assert rows(middle, "k", "id") == sorted(((k, v[(len(v) - 1) // 2][1]) for k, v in want.items()), key=repr)
+    after = following(df, ["k"], order, "id", "nxt", None)
+    assert rows(after, "id", "nxt") == sorted(((a[1], b and b[1]) for v in want.values() for a, b in zip(v, [*v[1:], None])), key=repr)
+    lists = aggregates.collect_ordered(df, ["k"], order, ["id"], "kids", rows=100).collect()
+    for k, v in want.items():
+        assert [e["id"] for r in sorted(lists, key=lambda r: r["chunk"]) if r["k"] == k for e in r["kids"]] == [i for _, i in v]
+    # blocks of the hot key are even
+    blocked = ordered._with_block(df, ["k"], order, None).filter("k = 'hot'").groupBy("_block").count().collect()
+    assert len(blocked) > 5 and max(r["count"] for r in blocked) <= 2 * 300
+
+
+@pytest.mark.parametrize("key", ["ordered_collect", "middle_row", "ws_order_status", "duality_assemble", "doc_articles_per_person"])
+def test_queries_cut_at_splitters(spark, monkeypatch, key):
+    """The registered queries place their rows by the splitters, whatever the names."""
+    from __spark_entry__ import queries
+    from tallygrain.operators import splitters
+
+    used = []
+    plain = splitters.with_block
+    monkeypatch.setattr(splitters, "with_block", lambda df, columns, *a, **k: used.append(columns) or plain(df, columns, *a, **k))
+    queries()[key](spark, "/root/testdata/sf0.001").count()
+    assert used
