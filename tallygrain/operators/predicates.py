@@ -86,5 +86,11 @@ def json_contains(column: str, terms: Sequence[str], mode: str = "&") -> Column:
     return F.size(F.array_except(wanted, values)) == 0
 
 
+def indexed_words(term: str) -> list[str] | None:
+    """The terms that find a word prefix in an index of letter tokens; None if the term is not a run of letters and digits."""
+    stem = term.rstrip("*").strip().lower()
+    return [f"{stem}*"] if stem and all(c.isalnum() for c in stem) else None
+
+
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct().orderBy(column)

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrain.functions.scalars import as_array
-from tallygrain.operators import documents, joins, predicates, topk
+from tallygrain.operators import documents, joins, postings, predicates, topk
 from tallygrain.operators.aggregates import collect_chunks, collect_ordered, count_by
 from tallygrain.operators.ordered import block_of
-from tallygrain.plans.relational import SHARE_SQL
+from tallygrain.plans.relational import SHARE_SQL, title_index
 from tallygrain.registry import query
 from tallygrain.session import written
 from tallygrain.shapes import shape
@@ -371,9 +371,14 @@ CAST_SQL = r"list_contains(regexp_split_to_array(lower(title), '[^\p{L}]+'), 'ai
 )
 def movie_by_actor(spark, sf):
     """The newest 16 movies with a name in their cast (here the words of the whole text)."""
-    movies = shape(spark, sf, "movies").select("movie_id", "year", "n_chars", "title")
-    in_cast = F.array_contains(F.split(F.lower("title"), r"[^\p{L}]+"), "aile")
-    return topk.top_n(movies.filter(in_cast).drop("title"), _newest(), 16)
+
+    def make():
+        return postings.build(shape(spark, sf, "movies"), "movie_id", postings.letter_tokens("title", digits=False), "casts")
+
+    found = postings.index_of(spark, sf, "casts", make).search({"aile": (["aile"], "&")})
+    movies = shape(spark, sf, "movies").select("movie_id", "year", "n_chars")
+    in_cast = joins.semi(movies, found.select(F.col("id").alias("movie_id")), ["movie_id"])
+    return topk.top_n(in_cast, _newest(), 16)
 
 
 @query(
@@ -383,8 +388,12 @@ def movie_by_actor(spark, sf):
 )
 def movie_by_name(spark, sf):
     """The newest 16 movies with a title word starting with the term."""
-    movies = shape(spark, sf, "movies").select("movie_id", "year", "title")
-    return predicates.text_prefix_search(movies, "title", "eauo*", _newest(), 16)
+    movies = shape(spark, sf, "movies")
+    found = title_index(spark, sf).search({"eauo*": (predicates.indexed_words("eauo*"), "&")})
+    light = joins.semi(movies.select("movie_id", "year"), found.select(F.col("id").alias("movie_id")), ["movie_id"])
+    # titles are read for the 16 kept only
+    kept = written(topk.top_n(light, _newest(), 16), "found")
+    return topk.top_n(joins.with_details(kept, movies.select("movie_id", "title"), ["movie_id"]), _newest(), 16)
 
 
 @query(

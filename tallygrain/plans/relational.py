@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallygrain.functions.scalars import quarter_desc, units
-from tallygrain.operators import aggregates, joins, predicates, topk, windows
+from tallygrain.operators import aggregates, joins, postings, predicates, topk, windows
 from tallygrain.operators.ordered import nth_row
 from tallygrain.registry import query
 from tallygrain.shapes import shape, stored_shape
@@ -92,9 +92,26 @@ def exists_check(spark, sf):
         order by year desc nulls last, movie_id limit 16""",
 )
 def prefix_text_search(spark, sf):
-    movies = shape(spark, sf, "movies").select("movie_id", "year", "n_chars", "title")
+    movies = shape(spark, sf, "movies").select("movie_id", "year", "n_chars")
     order = [F.col("year").desc_nulls_last(), "movie_id"]
-    return predicates.text_prefix_search(movies, "title", "aile*", order, 16).drop("title")
+    found = title_index(spark, sf).search({"aile*": (predicates.indexed_words("aile*"), "&")})
+    return joins.semi(movies, found.select(F.col("id").alias("movie_id")), ["movie_id"]).orderBy(*order).limit(16)
+
+
+def title_index(spark, sf) -> postings.Index:
+    """Words of the movies' titles."""
+
+    def make():
+        return postings.build(shape(spark, sf, "movies"), "movie_id", postings.letter_tokens("title"), "titles")
+
+    return postings.index_of(spark, sf, "titles", make)
+
+
+def genre_index(spark, sf) -> postings.Index:
+    def make():
+        return postings.build(shape(spark, sf, "movies"), "movie_id", postings.quoted_tokens("genres"), "genres")
+
+    return postings.index_of(spark, sf, "genres", make)
 
 
 @query(
@@ -103,11 +120,11 @@ def prefix_text_search(spark, sf):
        from movies""",
 )
 def json_text_search(spark, sf):
-    return shape(spark, sf, "movies").select(
-        "movie_id",
-        predicates.json_contains("genres", ["en", "src1"], "&").alias("both_terms"),
-        predicates.json_contains("genres", ["de", "src2"], "|").alias("any_term"),
-    )
+    searches = {"both_terms": (["en", "src1"], "&"), "any_term": (["de", "src2"], "|")}
+    found = genre_index(spark, sf).search(searches).groupBy(F.col("id").alias("movie_id"))
+    flags = found.agg(*[F.max(F.col("search") == name).alias(name) for name in searches])
+    movies = shape(spark, sf, "movies").select("movie_id").join(flags, "movie_id", "left")
+    return movies.withColumns({name: F.coalesce(name, F.lit(False)) for name in searches})
 
 
 @query(
