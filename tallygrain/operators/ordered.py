@@ -92,6 +92,24 @@ def running_total(
     return joined.drop("_block", "_before", "_all")
 
 
+def running_totals(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    values: dict[str, Column],
+    blocks: Sequence[Column] | None,
+) -> DataFrame:
+    """Add several columns, each the sum of a value from the group's first row to this one, in one pass."""
+    blocked = _with_block(df, keys, order, blocks)
+    inside = W.partitionBy("_block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    totals = blocked.groupBy("_block").agg(*[F.sum(v).alias(f"_s_{c}") for c, v in values.items()])
+    earlier = W.partitionBy(*_group_of(keys)).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select("_block", *[F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0)).alias(f"_s_{c}") for c in values])
+    joined = blocked.withColumns({c: F.sum(v).over(inside) for c, v in values.items()}).join(before, "_block")
+    joined = joined.withColumns({c: F.col(c) + F.col(f"_s_{c}") for c in values})
+    return joined.drop("_block", *[f"_s_{c}" for c in values])
+
+
 def position(
     df: DataFrame,
     keys: Sequence[str],

@@ -7,16 +7,68 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallygrain.functions.scalars import stock_after
+from tallygrain.functions.scalars import LEAST_STOCK, REFILL, stock_after
 from tallygrain.operators.changes import apply_delete, apply_increment
 from tallygrain.operators.joins import semi, split_join
-from tallygrain.operators.ordered import position
+from tallygrain.operators.ordered import position, running_totals
 from tallygrain.operators.windows import earliest_per, first_per, latest_per
 from tallygrain.session import written
 
 MAX_LINE = 81  # the largest line quantity for which the stock rule is free of line order
 
 
+def _settled(value: Column) -> Column:
+    """The number among 10 to 100 that is ``value`` give or take refills."""
+    return F.pmod(value - LEAST_STOCK, F.lit(REFILL)) + LEAST_STOCK
+
+
+def stock_walk(lines: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: Sequence[Column] | None) -> DataFrame:
+    """keys and ``left``: the stock after a product's lines, one after the other, for any stock and any quantities from 0 up.
+
+    ``lines`` have ``s_quantity``, the stock before the first of them, and
+    ``quantity``. A line takes its quantity ``q``, and 91 is added back where
+    less than 10 would remain. Adding refills never changes the stock modulo 91,
+    so after each line the stock is ``x - 91 i``, where ``x`` (10 to 100) is
+    known from the sum of the quantities. The depth ``i`` walks: a line adds
+    ``t``, the refills that ``x - q`` needs to be settled again, and its own
+    refill takes one off if that leaves 1 or more. So a stock above 100 (depth
+    below 0) only sinks until it is settled; from then on the depth is a walk
+    with steps ``t - 1`` held at 0, whose end is told by its total and its
+    lowest point. Totals and lowest points of blocks add up: no task walks over
+    the lines of a product.
+    """
+    q = F.col("quantity").cast("long")
+    rows = running_totals(lines, keys, order, {"_sum": q, "_place": F.lit(1).cast("long")}, blocks)
+    stock, first = F.col("s_quantity").cast("long"), _settled(F.col("s_quantity").cast("long"))
+    depth = ((first - stock) / REFILL).cast("long")
+
+    def refills(taken: Column) -> Column:
+        """All ``t`` up to where so many pieces are taken."""
+        return ((_settled(stock - taken) + taken - first) / REFILL).cast("long")
+
+    before, upto = depth + refills(F.col("_sum") - q), depth + refills(F.col("_sum"))
+    walking = before >= 0  # settled before this line
+    sinks = ~walking & (upto >= 0)  # settled by this line
+    level = refills(F.col("_sum")) - F.col("_place")
+    found = rows.groupBy(*keys).agg(
+        F.max(stock).alias("_stock"),
+        F.sum(q).alias("_all"),
+        F.count(F.lit(1)).alias("_n"),
+        F.max(F.when(sinks, level)).alias("_start"),
+        F.max(F.when(sinks, F.greatest(upto - 1, F.lit(0)))).alias("_depth"),
+        F.min(F.when(walking, level)).alias("_low"),
+    )
+    stock = F.col("_stock")
+    first = _settled(stock)
+    depth, left = ((first - stock) / REFILL).cast("long"), _settled(stock - F.col("_all"))
+    end = ((left + F.col("_all") - first) / REFILL).cast("long") - F.col("_n")
+    # settled from the beginning: the walk starts at level 0 with the stock's own depth
+    start = F.when(depth >= 0, F.lit(0)).otherwise(F.col("_start"))
+    at = F.when(depth >= 0, depth).otherwise(F.col("_depth"))
+    walked = end - start + F.greatest(at, start - F.coalesce("_low", start))
+    return found.select(*keys, F.when(start.isNull(), stock - F.col("_all")).otherwise(left - REFILL * walked).alias("left"))
+
+
 def new_orders(
     districts: DataFrame,
     customers: DataFrame,
@@ -31,7 +83,7 @@ def new_orders(
     ``(batch_id, w_id, ol_number, i_id, supply_w_id, quantity)``.
 
     An order naming an unknown item, or one its supplier does not stock, is
-    dropped whole. The others get the next numbers of their district in
+    dropped whole; so is one with a line of no quantity or one below 0. The others get the next numbers of their district in
     ``order``, their lines are priced, and the total is
     ``sum × (1 + taxes) × (1 - discount)`` (taxes in 1/10000, discount in
     1/100, total in millionths of a cent, exact). Stock follows the refill rule.
@@ -42,7 +94,9 @@ def new_orders(
         "batch_id", "ol_number", "i_id", "supply_w_id", "quantity",
         (F.col("quantity") * F.col("i_price_cents")).alias("ol_cents"),
         (F.col("supply_w_id") != F.col("w_id")).cast("long").alias("remote"),
-        (F.col("i_price_cents").isNull() | F.col("_stocked").isNull()).alias("_bad"),
+        (
+            F.col("i_price_cents").isNull() | F.col("_stocked").isNull() | ~F.coalesce(F.col("quantity") >= 0, F.lit(False))
+        ).alias("_bad"),
     )
     # used by every output below
     priced = written(priced, "priced")
@@ -78,14 +132,20 @@ def new_orders(
         F.sum("remote").alias("_remote"),
     )
     ordered = F.coalesce("_ordered", F.lit(0).cast("long"))
-    # outside its contract the rule would depend on line order: stop rather than guess
-    in_contract = F.col("_ordered").isNull() | (
+    # of lines of 1 to 81 pieces and stock from 0 up only the sum matters; the lines of other products are walked
+    simple = F.col("_ordered").isNull() | (
         (F.col("s_quantity") >= 0) & (F.col("_smallest") >= 1) & (F.col("_largest") <= MAX_LINE)
     )
-    left = F.when(in_contract, stock_after(F.col("s_quantity"), ordered)).otherwise(
-        F.raise_error(F.lit("stock below 0, or a line quantity outside 1..81")).cast("long")
-    )
-    restocked = stock.join(moved, ["s_w_id", "s_i_id"], "left").select(
+    product = ["s_w_id", "s_i_id"]
+    met = written(stock.join(moved, product, "left"), "met")
+    rest = met.filter(~simple).select(*product, "s_quantity")
+    named = sold.withColumnsRenamed({"supply_w_id": "s_w_id", "i_id": "s_i_id"})
+    extra = [c for c in order if c != "batch_id"]
+    if extra:
+        named = named.join(orders.select("batch_id", *extra), "batch_id")
+    walked = stock_walk(named.join(rest, product), product, [*order, "ol_number", "quantity"], blocks)
+    left = F.when(simple, stock_after(F.col("s_quantity"), ordered)).otherwise(F.col("left"))
+    restocked = met.join(walked, product, "left").select(
         "s_w_id",
         "s_i_id",
         left.alias("s_quantity"),

@@ -4,7 +4,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tallygrain.operators import changes, versions, wholesale
@@ -195,10 +194,43 @@ def test_new_orders_fold_hot_stock_like_line_by_line(shop, table, rows):
     assert got == {1: stock, 2: 50}
 
 
-def test_new_orders_stop_outside_the_stock_contract(shop, table):
-    orders, lines = batch(table, [(1, 1, 1, 1)], [(1, 1, 1, 1, 1, 200)])
-    with pytest.raises(PySparkException, match="1..81"):
-        place(shop, orders, lines)["stock"].collect()
+def by_hand(stock, quantities):
+    for q in quantities:
+        stock = stock - q if stock - q >= 10 else stock - q + 91
+    return stock
+
+
+@pytest.mark.parametrize("largest", [81, 100, 500])
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_stock_walk_equals_line_by_line(table, largest, block):
+    rnd = random.Random(largest + block)
+    data, want = [], {}
+    for k in range(120):
+        stock = rnd.choice([-1000, -5, 0, 9, 10, 50, 100, 101, 5000, rnd.randrange(-300, 3000)])
+        quantities = [rnd.choice([0, 1, 90, 91, 92, rnd.randint(0, largest)]) for _ in range(rnd.randint(1, 30))]
+        data += [(k, i, q, stock) for i, q in enumerate(quantities)]
+        want[k] = by_hand(stock, quantities)
+    rnd.shuffle(data)
+    df = table(data, "k long, n long, quantity long, s_quantity long")
+    for blocks in ([block_of("n", block)], None):
+        got = wholesale.stock_walk(df, ["k"], ["n", "quantity"], blocks).collect()
+        assert {r["k"]: r["left"] for r in got} == want
+
+
+def test_new_orders_with_lines_of_500_pieces_and_a_hot_product(shop, table, rows):
+    rnd = random.Random(3)
+    # a third of all lines are for one product; stock 12, and 9 for the product of warehouse 2
+    lines = [(i // 3, 1, i % 3, 1 if i % 3 == 0 else 2, 1, rnd.randint(1, 500)) for i in range(900)]
+    lines += [(400 + i, 2, 1, 1, 2, rnd.choice([0, 500, 40])) for i in range(50)] + [(500, 1, 1, 1, 1, -3), (500, 1, 2, 2, 1, 5), (501, 1, 1, 1, 1, None)]
+    rnd.shuffle(lines)
+    orders, df = batch(table, [(i, 1, 1, 1) for i in range(502)], lines)
+    want = {(1, 1): 12, (1, 2): 50, (2, 1): 9}
+    for batch_id, _, _, i, w, q in sorted(lines, key=lambda x: (x[0], x[2])):
+        if batch_id < 500:
+            want[w, i] = by_hand(want[w, i], [q])
+    after = place(shop, orders, df)
+    assert {(r["s_w_id"], r["s_i_id"]): r["s_quantity"] for r in after["stock"].collect()} == want
+    assert rows(after["rejected"]) == [(500,), (501,)]
 
 
 def test_payment_notes_keep_the_newest_500_characters(table):
