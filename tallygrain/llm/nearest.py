@@ -53,6 +53,7 @@ VISIT = 16  # what a visited block costs a query, in comparisons
 RECALL = 0.95  # of the measured queries' neighbours, above the 0.9 that all should find
 MEASURED = 256
 BLOCK = 256
+HELD_QUERIES = 100_000  # whose best a task holds before it hands them on
 HEAVY_KEYS = 1 << 20  # buckets with several blocks that are sent to every task at most
 
 
@@ -184,21 +185,42 @@ def best_ids(q: np.ndarray, x: np.ndarray, qids: list[int], ids: list[list[int]]
         yield sorted((-exact[i], v) for i in range(ends[j], ends[j + 1]) for v in ids[col[i]] if v != row)[:k]
 
 
+def first_of(hits: list[tuple], k: int) -> list[tuple]:
+    """The best ``k`` of (-score, id), each id once."""
+    out, seen = [], set()
+    for hit in sorted(hits):
+        if hit[1] not in seen:
+            seen.add(hit[1])
+            out.append(hit)
+            if len(out) == k:
+                break
+    return out
+
+
 def best_of(queries: DataFrame, data: DataFrame, dtype: str, dimension: int, k: int) -> DataFrame:
-    """qid, vec_id and exact score of the best of each block for each query of a block that meets it."""
+    """query_id, vec_id and exact score of the best that each task finds for each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # what a query has found in all blocks of this task so far
+        best: dict[int, list[tuple]] = {}
+
+        def rows() -> pa.RecordBatch:
+            out = [(row, v, -s) for row, hits in best.items() for s, v in hits]
+            best.clear()
+            kinds = (pa.int64(), pa.int64(), pa.float64())
+            columns = [pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
+
         for batch in batches:
-            out: list[list] = [[], [], []]
             for i in range(batch.num_rows):
                 asked, held = batch.column("asked")[i].values, batch.column("held")[i].values
                 q, x = (vectors_of(part.field("vec"), dtype, dimension) for part in (asked, held))
                 qids, ids = asked.field("qid").to_pylist(), held.field("ids").to_pylist()
                 for row, hits in zip(qids, best_ids(q, x, qids, ids, k)):
-                    for s, v in hits:
-                        out[0].append(row), out[1].append(v), out[2].append(-s)
-            kinds = (pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds)], ["query_id", "vec_id", "score"])
+                    best[row] = first_of(best[row] + hits, k) if row in best else first_of(hits, k)
+            if len(best) >= HELD_QUERIES:
+                yield rows()
+        yield rows()
 
     asked = queries.select("key", F.col("rows").alias("asked"))
     met = asked.join(data.select("key", F.col("rows").alias("held")), "key").select("asked", "held")
