@@ -5,14 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallygrain.functions.scalars import units
+from tallygrain.operators import changes
 from tallygrain.registry import query
-from tallygrain.session import work_folder
+from tallygrain.session import work_folder, written
 from tallygrain.shapes import shape
 from tallygrain.streaming import events as ev
+from tallygrain.streaming import log
 
-def _events(spark, sf):
-    # the table is one history in no promised file order: no event may be too old
-    return ev.read_events(spark, f"{sf}/events.parquet")
+
+def _followed(spark, sf, build, keys, merge):
+    """The state after the events table, each event id taken once.
+
+    The table is one history in no promised file order: no event may be too old,
+    so ids are kept in runs on shared storage, not in a state store.
+    """
+    stream = ev.open_stream(spark, f"{sf}/events.parquet", ev.FILES_PER_TRIGGER)
+    state = log.follow(stream, work_folder(spark, "follow"), build, keys, merge)
+    return log.merged(build(spark.createDataFrame([], stream.schema)), keys, merge) if state is None else state
 
 
 def _stamp(column):
@@ -28,8 +37,10 @@ STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 @query("event_stream", "select event_type, user_id, count(*) as n from events group by all")
 def event_stream(spark, sf):
-    counts = _events(spark, sf).groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
-    return ev.materialise(counts, ["event_type", "user_id"])
+    def counts(events):
+        return events.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
+
+    return _followed(spark, sf, counts, ["event_type", "user_id"], {"n": "sum"})
 
 
 @query(
@@ -37,28 +48,38 @@ def event_stream(spark, sf):
     f"""select {STAMP.format("date_trunc('minute', ts)")} as window_start, event_type, count(*) as n from events group by all""",
 )
 def throughput_tumbling(spark, sf):
-    return _windows(ev.materialise(ev.throughput(_events(spark, sf), "1 minute"), ["w", "event_type"]), "event_type", "n")
+    state = _followed(spark, sf, lambda events: ev.throughput(events, "1 minute"), ["w", "event_type"], {"n": "sum"})
+    return _windows(state, "event_type", "n")
 
 
 @query(
     "throughput_sliding",
-    f"""select {STAMP.format("time_bucket(interval 20 second, ts) - k * interval 20 second")} as window_start, event_type, count(*) as n
-        from events, range(3) r(k) group by all""",
+    f"""with panes as (select date_trunc('second', ts) as s, event_type, count(*) as tps from events group by all)
+        select {STAMP.format("s")} as second, event_type, tps,
+               cast(sum(tps) over (partition by event_type order by s range between interval 59 second preceding and current row) as bigint) as tpm
+        from panes""",
 )
 def throughput_sliding(spark, sf):
-    state = ev.materialise(ev.throughput(_events(spark, sf), "60 seconds", "20 seconds"), ["w", "event_type"])
-    return _windows(state, "event_type", "n")
+    """Transactions of every second, and of the minute that ends with it."""
+    state = _followed(spark, sf, ev.panes, ["second", "event_type"], {"tps": "sum"})
+    rates = ev.trailing(state, ["event_type"], "second", "tps", 60, "tpm")
+    return rates.select(_stamp("second").alias("second"), "event_type", "tps", "tpm")
 
 
 @query(
     "activity_last_hour",
-    f"""select {STAMP.format("time_bucket(interval 5 minute, ts)")} as window_start, user_id % 10 + 1 as warehouse_id,
-               sum(cast(round(value * 100) as bigint))::double / 100 as order_value, count(*) as n from events group by all""",
+    f"""with b as (select time_bucket(interval 5 minute, ts) as s, user_id % 10 + 1 as warehouse_id,
+                          sum(cast(round(value * 100) as bigint))::double / 100 as order_value, count(*) as n from events group by all)
+        select {STAMP.format("s")} as window_start, warehouse_id, order_value, n
+        from b where s > (select max(s) from b) - interval 1 hour""",
 )
 def activity_last_hour(spark, sf):
-    buckets = ev.activity(_events(spark, sf), (F.col("user_id") % 10 + 1).alias("warehouse_id"))
-    state = ev.materialise(buckets, ["w", "warehouse_id"])
-    return _windows(state, "warehouse_id", units("cents").alias("order_value"), "n")
+    """Value and number of orders of a warehouse in the twelve five-minute buckets up to the newest event's."""
+    def buckets(events):
+        return ev.activity(events, (F.col("user_id") % 10 + 1).alias("warehouse_id"))
+
+    state = written(_followed(spark, sf, buckets, ["w", "warehouse_id"], {"cents": "sum", "n": "sum"}), "buckets")
+    return _windows(ev.last_hour(state), "warehouse_id", units("cents").alias("order_value"), "n")
 
 
 @query(
@@ -67,7 +88,8 @@ def activity_last_hour(spark, sf):
                {STAMP.format('max(ts)')} as last_access, count(*) as access_count from events group by all""",
 )
 def device_state(spark, sf):
-    state = ev.materialise(ev.device_state(_events(spark, sf)), ["user_id", "device_id"])
+    merge = {"initial_access": "min", "last_access": "max", "access_count": "sum"}
+    state = _followed(spark, sf, ev.device_state, ["user_id", "device_id"], merge)
     return state.withColumns({c: _stamp(c) for c in ("initial_access", "last_access")})
 
 
@@ -79,7 +101,8 @@ def device_state(spark, sf):
         from events where event_type in ('signup', 'view', 'error') group by user_id""",
 )
 def login_state(spark, sf):
-    state = ev.materialise(ev.login_state(_events(spark, sf)), ["user_id"])
+    merge = {"last_login": "max", "failed_logins": "sum", "last_failed_login": "max"}
+    state = _followed(spark, sf, ev.login_state, ["user_id"], merge)
     return state.withColumns({c: _stamp(c) for c in ("last_login", "last_failed_login")})
 
 
@@ -105,10 +128,10 @@ def late_events(spark, sf):
          where event_type = 'purchase' group by 1) using (customer_id)""",
 )
 def change_feed_apply(spark, sf):
-    folder = work_folder(spark, "feed")
-    feed = _events(spark, sf).filter("event_type = 'purchase'").select(
-        F.col("user_id").alias("customer_id"), ev.cents().alias("credit_cents")
-    )
-    ev.apply_feed(feed, ["customer_id"], ["credit_cents"], f"{folder}/deltas", f"{folder}/checkpoint")
+    def increments(events):
+        bought = events.filter("event_type = 'purchase'")
+        return bought.groupBy(F.col("user_id").alias("customer_id")).agg(F.sum(ev.cents()).alias("credit_cents"))
+
     base = shape(spark, sf, "oe_customers").select("customer_id", "credit_cents")
-    return ev.feed_state(base, ["customer_id"], ["credit_cents"], f"{folder}/deltas")
+    added = _followed(spark, sf, increments, ["customer_id"], {"credit_cents": "sum"})
+    return changes.apply_increment(base, added, ["customer_id"], ["credit_cents"])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from tallygrain.session import work_folder
@@ -59,6 +59,38 @@ def throughput(stream: DataFrame, width: str, slide: str | None = None) -> DataF
     return stream.groupBy(F.window("ts", width, slide).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def panes(stream: DataFrame) -> DataFrame:
+    """Events per second and type: what rates over any longer span are added up from."""
+    return stream.groupBy(F.date_trunc("second", "ts").alias("second"), "event_type").agg(F.count(F.lit(1)).alias("tps"))
+
+
+PANE_BLOCK = 3600  # seconds of a type that are added up in one task
+
+
+def trailing(counted: DataFrame, keys: Sequence[str], at: str, value: str, seconds: int, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the ``seconds`` that end with a row's own, a row a key and second.
+
+    Seconds are cut into blocks; the last ones of a block also go to the next
+    block, which looks back at them. So a pane is copied once at most, and no
+    task holds all seconds of a key.
+    """
+    width = max(seconds, PANE_BLOCK)
+    place = F.unix_timestamp(at)
+    block = F.floor(place / width)
+    own = F.struct(block.alias("_block"), F.lit(False).alias("_guest"))
+    onward = F.struct((block + 1).alias("_block"), F.lit(True).alias("_guest"))
+    near = F.pmod(place, F.lit(width)) > width - seconds
+    rows = counted.select("*", place.alias("_s"), F.inline(F.when(near, F.array(own, onward)).otherwise(F.array(own))))
+    span = W.partitionBy(*keys, "_block").orderBy("_s").rangeBetween(-(seconds - 1), 0)
+    return rows.withColumn(out, F.sum(value).over(span)).filter(~F.col("_guest")).drop("_s", "_block", "_guest")
+
+
+def last_hour(buckets: DataFrame, hours: int = 1) -> DataFrame:
+    """The buckets of the hour that ends with the newest bucket."""
+    newest = buckets.agg(F.max("w.start")).scalar()
+    return buckets.filter(F.col("w.start") > newest - F.expr(f"interval {hours} hours"))
+
+
 def activity(stream: DataFrame, key, width: str = "5 minutes") -> DataFrame:
     """Value and count per key and bucket (half-open)."""
     return stream.groupBy(F.window("ts", width).alias("w"), key).agg(
