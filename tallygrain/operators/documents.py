@@ -18,6 +18,7 @@ from tallygrain.operators.aggregates import collect_chunks
 from tallygrain.operators.joins import new_only, semi, split_join
 from tallygrain.operators.ordered import block_of, position
 from tallygrain.operators.windows import latest_per
+from tallygrain.session import written
 
 
 def json_value(column: str | Column, path: str, kind: str) -> Column:
@@ -117,13 +118,16 @@ def doc_append(
     )
     built = placed.select(key, "_i", F.struct(*fields(F.col("_i"))).alias("_e")).select(key, "_i", "_e.*")
     names = [c for c in built.columns if c not in (key, "_i")]
-    added = collect_chunks(built, [key], "_i", names, "_added", rows)
-    kind = df.schema[array].dataType
+    # read twice: for the chunks it changes or opens, and to tell the rest, which stays where it is
+    added = written(collect_chunks(built, [key], "_i", names, "_added", rows), "added")
+    kind = added.schema["_added"].dataType
     empty = F.array().cast(kind)
-    joined = df.join(added, [key, "chunk"], "full")
-    return joined.withColumn(
-        array, F.concat(F.coalesce(array, empty), F.coalesce(F.col("_added").cast(kind), empty))
-    ).drop("_added")
+    on = [key, "chunk"]
+    # both sides have a chunk once
+    changed = added.join(df.join(added.select(*on), on, "left_semi"), on, "left")
+    longer = F.concat(F.coalesce(F.col(array).cast(kind), empty), F.col("_added"))
+    rest = df.join(added.select(*on), on, "left_anti")
+    return rest.unionByName(changed.withColumn(array, longer).select(*df.columns))
 
 
 def _changes_per_chunk(changes: DataFrame, key: str, index: str, rows: int, collected: Column) -> DataFrame:

@@ -167,6 +167,7 @@ def json_append(spark, sf):
     events = shape(spark, sf, "events").select(F.col("user_id").alias("article_id"), "event_id", "event_type")
 
     def fields(i):
+        # fixed values: the names of a comment's fields and the form of its url
         return [
             F.col("event_type").alias("name"),
             F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("comment"),
@@ -412,6 +413,8 @@ def movie_browse(spark, sf):
 # --- customer documents ---------------------------------------------------------------------------
 def customer_children(spark, sf) -> dict[str, DataFrame]:
     """Payment methods, devices and friends of each customer as ordered chunks."""
+    # fixed values: the field names PaymentInformationId, Provider, ExpiryDate, DeviceId, AccessCount, FriendFamilyId and
+    # CustomerTarget, and the arrays PaymentInfo, DeviceInfo and FriendsAndFamily
     cards = shape(spark, sf, "oe_cards").select(
         F.col("customer_id").alias("cust_id"), F.col("card_id").alias("PaymentInformationId"),
         F.col("card_type").alias("Provider"), F.add_months("issued", 36).alias("expiry"),

@@ -214,6 +214,7 @@ def document_write(spark, sf):
     return files.read_lines(spark, path)
 
 
+# fixed values: the field names of a message (one is spelled LocationLongtitude)
 PUBLISH_SQL = """select to_json(struct_pack(EventId := event_id, EventType := event_type, TimeStamp := strftime(ts, '%Y-%m-%dT%H:%MZ'),
               CustomerID := user_id, DeviceID := cast(props->>'$.k' as bigint), LocationLatitude := null, LocationLongtitude := null))::varchar as value
        from events"""

@@ -19,10 +19,10 @@ def _load(spark, sf, *names):
 
 @query(
     "oe_sales_rep_orders",
-    """with r as (select *, rank() over (partition by sales_rep_id order by total_cents desc) as sal_rank from oe_orders)
+    """with r as (select *, rank() over (partition by sales_rep_id order by total_cents desc) as place from oe_orders)
        select sales_rep_id, total_cents::double / 100 as order_total, cast(order_date as varchar) as order_date,
               cust_first_name, cust_last_name
-       from r join oe_customers using (customer_id) where sal_rank <= 10""",
+       from r join oe_customers using (customer_id) where place <= 10""",
 )
 def oe_sales_rep_orders(spark, sf):
     """The ten largest orders of every sales rep with the customer's name."""
@@ -163,8 +163,9 @@ def oe_browse_customer(spark, sf):
 def oe_browse_products(spark, sf):
     """Products with stock: up to 14 warehouses per product, up to 3 products per category and warehouse."""
     products, inventory = shape(spark, sf, "oe_products"), stored_shape(spark, sf, "oe_inventories")
+    # warehouses are ranked before the products come in; that a product is listed does not change their order
+    by_id = joins.semi(topk.browse(inventory, ["product_id"], ["warehouse_id"], 14), products, ["product_id"])
     stocked = products.select("product_id", "category_id").join(inventory, "product_id")
-    by_id = topk.browse(stocked, ["product_id"], ["warehouse_id"], 14)
     by_category = topk.browse(stocked, ["category_id", "warehouse_id"], ["product_id"], 3)
     out = ["product_id", "warehouse_id", "quantity_on_hand"]
     return by_id.select(F.lit("product").alias("browse"), *out).unionByName(
