@@ -117,25 +117,40 @@ def dyadic_pieces(low: Column, high: Column) -> Column:
 
 
 def range_join(
-    points: DataFrame, at: str, ranges: DataFrame, low: str, high: str, cell: int | Column, how: str = "inner"
+    points: DataFrame,
+    at: str,
+    ranges: DataFrame,
+    low: str,
+    high: str,
+    cell: int | Column,
+    how: str = "inner",
+    most_cells: int | None = None,
 ) -> DataFrame:
     """Pair each point with the closed ranges holding it (integer columns).
 
     An equi-join on a dyadic index: a range stands under a few aligned blocks of
     ``cell``-wide cells, however wide it is, and a point looks under the one
     block of each level that any range uses. Choose ``cell`` near the usual
-    range width: such ranges use one level only.
+    range width: such ranges use one level only. ``most_cells`` says that no
+    range touches more cells (up to ``SHORT_CELLS``), so that the levels need
+    not be looked up.
     """
     if how not in ("inner", "left"):
         raise ValueError("inner or left")
     # cells first: a scalar subquery, which ``cell`` may be, cannot stand inside a lambda function
-    cells = ranges.withColumns({"_first": block_of(low, cell), "_last": block_of(high, cell)})
-    pieces = cells.select(*ranges.columns, F.inline(dyadic_pieces(F.col("_first"), F.col("_last"))).alias("_level", "_place"))
-    # 63 levels at most
-    levels = pieces.agg(F.array_sort(F.collect_set("_level"))).scalar()
-    probes = points.withColumn("_level", F.explode(levels)).withColumn(
-        "_place", F.call_function("shiftright", block_of(at, cell), F.col("_level"))
-    )
+    listed_under = ranges.withColumns({"_first": block_of(low, cell), "_last": block_of(high, cell)})
+    pieces = listed_under.select(*ranges.columns, F.inline(dyadic_pieces(F.col("_first"), F.col("_last"))).alias("_level", "_place"))
+    if most_cells is not None and most_cells <= SHORT_CELLS:
+        cells = F.sequence(F.col("_first"), F.col("_last"))
+        listed = F.explode(F.when(F.col("_first") <= F.col("_last"), cells)).alias("_place")
+        pieces = listed_under.select(*ranges.columns, F.lit(0).alias("_level"), listed)
+        probes = points.withColumns({"_level": F.lit(0), "_place": block_of(at, cell)})
+    else:
+        # 63 levels at most
+        levels = pieces.agg(F.array_sort(F.collect_set("_level"))).scalar()
+        probes = points.withColumn("_level", F.explode(levels)).withColumn(
+            "_place", F.call_function("shiftright", block_of(at, cell), F.col("_level"))
+        )
     met = probes.join(pieces, ["_level", "_place"])
     found = met.filter((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop("_level", "_place")
     if how == "inner":

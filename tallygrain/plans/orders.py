@@ -51,7 +51,7 @@ def warehouse_activity(activity, now: str, buckets: int = 12):
     span = F.expr(f"timestamp_ntz '{now}' - interval {5 * buckets} minutes")
     recent = activity.filter((F.col("order_date") >= span) & (F.col("order_date") <= F.expr(f"timestamp_ntz '{now}'")))
     at = recent.withColumn("at", F.unix_micros(F.col("order_date").cast("timestamp")))
-    paired = joins.range_join(at, "at", intervals, "low", "high", MINUTES_5)
+    paired = joins.range_join(at, "at", intervals, "low", "high", MINUTES_5, most_cells=2)
     stamp = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd HH:mm:ss")
     sums = paired.groupBy("warehouse_id", "high", "low").agg(
         units(F.sum("total_cents")).alias("order_value"), F.count(F.lit(1)).alias("orders")

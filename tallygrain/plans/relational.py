@@ -257,7 +257,7 @@ INTERVAL_SQL = """
 )
 def interval_range_join(spark, sf):
     events = shape(spark, sf, "events").select("event_id", _micros("ts").alias("at"))
-    paired = joins.range_join(events, "at", _intervals(events, "at"), "low", "high", MINUTES_5)
+    paired = joins.range_join(events, "at", _intervals(events, "at"), "low", "high", MINUTES_5, most_cells=2)
     return paired.select("event_id", "interval_no")
 
 
@@ -486,7 +486,7 @@ def ordered_collect(spark, sf):
 )
 def interval_sum_count(spark, sf):
     activity = shape(spark, sf, "oe_activity").withColumn("at", _micros("order_date"))
-    paired = joins.range_join(activity, "at", _intervals(activity, "at"), "low", "high", MINUTES_5)
+    paired = joins.range_join(activity, "at", _intervals(activity, "at"), "low", "high", MINUTES_5, most_cells=2)
     return paired.groupBy("warehouse_id", "interval_no").agg(
         units(F.sum("total_cents")).alias("order_value"), F.count(F.lit(1)).alias("orders")
     )
