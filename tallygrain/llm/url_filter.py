@@ -2,7 +2,12 @@
 
 A term counts where it stands by itself: the characters before and after it
 are no ASCII letters or digits. One strict term, or ``min_soft`` different soft
-terms, reject a url. Host rules come first: the longest rule that fits decides.
+terms, reject a url. Host rules come first: the longest rule that fits decides,
+of equally long ones the first given.
+
+A vocabulary is read from a table of terms and their class (``vocabulary``) and
+sent to the executors once; a worker builds its automaton once and keeps it for
+all tasks that use the same terms.
 
 A null url, or one without ``://``, has an empty host and path and fits no
 rule; a null url has no terms and is allowed. Repeated rows are judged each by
@@ -12,6 +17,7 @@ the url are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -46,6 +52,7 @@ RULES = (
 STRICT = ("spam-farm", "cheap-pills", "casino-bonus", "porn", "xxx", "hentai", "escort-girls", "warez", "torrents")
 SOFT = ("spam", "farm", "cheap", "pills", "casino", "bonus", "free", "win", "sexy", "adult", "betting", "click", "buy")
 MIN_SOFT = 2
+MOST_TERMS = 1 << 20  # of a vocabulary that is read from a table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LETTER_OR_DIGIT = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
@@ -62,7 +69,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
     """Text and verdict of the longest rule that fits, else null."""
     text = verdict = F.lit(None).cast("string")
-    for rule in sorted(rules, key=lambda r: len(r.text)):
+    # the last that fits counts, so the first given of equally long rules comes last
+    for rule in sorted(reversed(rules), key=lambda r: len(r.text)):
         fits = ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)
         text = F.when(fits, rule.text).otherwise(text)
         verdict = F.when(fits, rule.verdict).otherwise(verdict)
@@ -79,6 +87,33 @@ def automaton(strict: Sequence[str], soft: Sequence[str]) -> ahocorasick.Automat
     return found
 
 
+def vocabulary(terms: DataFrame, term_col: str = "term", class_col: str = "class") -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Strict and soft terms of a table whose classes are ``strict`` and ``soft``.
+
+    Terms are put in lower case; null and empty ones are left out; a term of both
+    classes is strict. More than ``MOST_TERMS`` are refused, as every worker
+    holds them all.
+    """
+    term = F.translate(F.trim(F.col(term_col)), UPPER, LOWER).alias("term")
+    given = terms.select(term, F.col(class_col).alias("class")).filter("term != '' and class in ('strict', 'soft')")
+    found = given.groupBy("term").agg(F.max("class").alias("class")).limit(MOST_TERMS + 1).collect()
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    by_class = {c: tuple(sorted(r["term"] for r in found if r["class"] == c)) for c in ("strict", "soft")}
+    return by_class["strict"], by_class["soft"]
+
+
+# the automaton of a worker, by the checksum of its terms: the last one used
+_KEPT: dict[str, ahocorasick.Automaton] = {}
+
+
+def kept_automaton(key: str, strict: Sequence[str], soft: Sequence[str]) -> ahocorasick.Automaton:
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = automaton(strict, soft)
+    return _KEPT[key]
+
+
 def terms_in(url: str, found: ahocorasick.Automaton) -> tuple[int, int]:
     """Occurrences of strict terms and the number of different soft terms."""
     strict, soft = 0, set()
@@ -106,8 +141,11 @@ def filter_urls(
 ) -> DataFrame:
     """One row per row: id, url, host, path, rule, n_strict, n_soft, verdict."""
 
+    sent = df.sparkSession.sparkContext.broadcast((tuple(strict), tuple(soft)))
+    key = hashlib.sha256("\n".join([*strict, "", *soft]).encode()).hexdigest()
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = automaton(strict, soft)
+        found = kept_automaton(key, *sent.value)
         for batch in batches:
             hits = [terms_in(u or "", found) for u in batch.column("_lower").to_pylist()]
             columns = [pa.array([h[i] for h in hits], pa.int32()) for i in (0, 1)]

@@ -91,3 +91,38 @@ def test_empty_table_and_extra_columns(spark):
     assert url_filter.filter_urls(df).count() == 0
     one = spark.createDataFrame([(1, "http://a.com/" + "x" * 100_000, "h", 3)] * 2, SCHEMA + ", host string, verdict int")
     assert [r["verdict"] for r in url_filter.filter_urls(one).collect()] == ["allow", "allow"]
+
+
+def test_vocabulary_of_100_000_terms_from_a_table(spark):
+    rng = random.Random(8)
+    terms = [("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 12))), rng.choice(["strict", "soft"])) for _ in range(100_000)]
+    terms += [("BOTH-ways", "soft"), ("both-WAYS", "strict"), (None, "soft"), ("", "strict"), ("other", "unknown")]
+    table = spark.createDataFrame(terms, "term string, class string")
+    strict, soft = url_filter.vocabulary(table)
+    classes = {}
+    for t, c in terms:
+        if t and c != "unknown":
+            t = t.lower()
+            classes[t] = max(c, classes.get(t, ""))
+    assert (set(strict), set(soft)) == tuple({t for t, c in classes.items() if c == k} for k in ("strict", "soft"))
+    urls = ["/".join(rng.choice(terms[:5000])[0] + rng.choice(["", "", "x9"]) for _ in range(4)) for _ in range(400)]
+    df = spark.createDataFrame([(i, "http://a.org/" + u) for i, u in enumerate(urls)], SCHEMA)
+    got = url_filter.filter_urls(df, strict=strict, soft=soft).orderBy("page_id").collect()
+    strict, soft = set(strict), set(soft)
+    for r, u in zip(got, urls):
+        words = ["http", "a", "org", *u.split("/")]
+        hits = sum(w in strict for w in words), len({w for w in words if w in soft})
+        assert (r["n_strict"], r["n_soft"]) == hits
+        assert r["verdict"] == ("block" if hits[0] or hits[1] >= 2 else "allow")
+
+
+def test_a_worker_builds_its_automaton_once():
+    first = url_filter.kept_automaton("k", ("a",), ("b",))
+    assert url_filter.kept_automaton("k", ("a",), ("b",)) is first
+    other = url_filter.kept_automaton("l", ("c",), ())
+    assert other is not first and len(url_filter._KEPT) == 1
+
+
+def test_of_equally_long_rules_the_first_counts(judged):
+    rules = (url_filter.Rule("b.org", "/", "block"), url_filter.Rule("org", "/ab", "allow"), url_filter.Rule("b.org", "/", "allow"))
+    assert [g[2::3] for g in judged(["http://b.org/ab"], rules=rules)] == [("b.org/", "block")]
