@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from tallygrain.operators.ordered import block_of, position, running_total
+from tallygrain.operators.ordered import block_of, position
 from tallygrain.session import written
 
 
@@ -82,38 +82,83 @@ def collect_ordered(
     return collect_chunks(placed, keys, "_place", fields, out, rows)
 
 
-def percentile_summary(
-    df: DataFrame, group: Sequence[str], column: str, probs: dict[str, float], width: int
-) -> DataFrame:
-    """Count, mean and exact interpolated percentiles of an integer column per group.
+RADIX = 18  # leading bits that one pass tells apart
+
+
+def _bins(df: DataFrame, group: Sequence[str], column: str, shift: Column | int, extra: Sequence[str] = ()) -> DataFrame:
+    """Rows, sum, least and largest value of each bin: the values that agree but for their last ``shift`` bits."""
+    value = F.col(column).cast("long")
+    bin_ = F.call_function("shiftright", value, F.lit(shift) if isinstance(shift, int) else shift).alias("_bin")
+    return df.groupBy(*group, *extra, bin_).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sum(value.cast("decimal(38,0)")).alias("_sum"),
+        F.min(value).alias("_min"),
+        F.max(value).alias("_max"),
+    )
+
+
+def rank_values(df: DataFrame, group: Sequence[str], column: str, ranks: Callable[[Column], list[Column]]) -> DataFrame:
+    """Per group: n, mean and ``values``, the values at the 0-based ranks that ``ranks(n)`` names, by radix selection.
 
-    Works on counts per distinct value: their running totals say at which
-    value a percentile falls. No group is gathered; ``width`` is the block
-    size along the value axis.
+    A pass counts the values by their leading bits; running totals over these
+    few bins tell which of them hold the wanted ranks, and the next pass counts
+    the values of those bins alone by their next bits. Bits that all wanted bins
+    have in common are skipped, so four passes do for any 64-bit values, and
+    fewer for narrow ones. Only counts are shuffled. Nulls are left out; equal
+    values have ranks next to each other; a group without values has no row.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(*group, column).agg(F.count(F.lit(1)).alias("_n"))
-    counts = written(counts, "counts")
-    cumulated = running_total(counts, group, [column], F.col("_n"), "_upto", [block_of(column, width)], total="_size")
-
-    def value_at(index: Column) -> Column:
-        return F.min(F.when(F.col("_upto") > index, F.col(column)))
-
-    aggs = [
-        F.sum("_n").alias("n"),
-        (F.sum(F.col(column).cast("decimal(38,0)") * F.col("_n")).cast("double") / F.sum("_n")).alias("mean"),
-    ]
-    for name, p in probs.items():
-        rank = F.lit(p) * (F.col("_size") - 1)
-        aggs += [
-            value_at(F.floor(rank)).alias(f"_lo_{name}"),
-            value_at(F.ceil(rank)).alias(f"_hi_{name}"),
-        ]
-    summary = cumulated.groupBy(*group).agg(*aggs)
-    for name, p in probs.items():
+    on = list(group)
+    # null groups meet each other
+    keyed = df.filter(F.col(column).isNotNull()).withColumn("_g", F.struct(*on))
+    shift = 64 - RADIX
+    bins = written(_bins(keyed, ["_g"], column, shift), "bins")
+    totals = bins.groupBy("_g").agg(F.sum("_n").alias("n"), (F.sum("_sum").cast("double") / F.sum("_n")).alias("mean"))
+    wanted = totals.select("_g", F.posexplode(F.array(*[r.cast("long") for r in ranks(F.col("n"))])).alias("_i", "_rank"))
+    # rank inside the part of the values that is still looked at, and that part (all, at first)
+    wanted = wanted.withColumn("_part", F.lit(None).cast("long"))
+    bins = bins.withColumn("_part", F.lit(None).cast("long"))
+    while True:
+        inside = W.partitionBy("_g", "_part").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+        # 2 ** RADIX bins of a part at most
+        placed = bins.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+        met = wanted.withColumnRenamed("_part", "_of").join(placed.withColumnRenamed("_g", "_h"), (F.col("_g") == F.col("_h")) & F.col("_of").eqNullSafe(F.col("_part")))
+        met = met.filter((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
+        found = written(
+            met.select("_g", "_i", (F.col("_rank") - F.col("_before")).alias("_rank"), F.col("_bin").alias("_part"), "_min", "_max"), "ranked"
+        )
+        # bits that differ in the widest bin that is still open
+        differing = F.when(F.col("_min") != F.col("_max"), F.length(F.bin(F.col("_min").bitwiseXOR(F.col("_max")))))
+        widest = found.agg(F.max(differing)).first()[0]
+        if widest is None:
+            break
+        lower = max(0, widest - RADIX)
+        # the parts that are still open, at most one a rank, and the bits they were told apart by
+        parts = found.filter("_min != _max").groupBy("_g").agg(F.collect_set("_part").alias("_parts"))
+        own = F.call_function("shiftright", F.col(column).cast("long"), F.lit(shift))
+        rows = keyed.join(parts, "_g").filter(F.array_contains("_parts", own)).withColumn("_part", own)
+        done = found.filter("_min = _max")
+        bins = _bins(rows, ["_g"], column, lower, ["_part"])
+        # ranks whose bin holds one value only stay as they are
+        closed = done.select("_g", F.col("_part"), F.call_function("shiftright", "_min", F.lit(lower)).alias("_bin"), "_min", "_max", "_rank")
+        closed = closed.groupBy("_g", "_part", "_bin", "_min", "_max").agg((F.max("_rank") + 1).alias("_n"))
+        bins = bins.select("_g", "_part", "_bin", "_n", "_min", "_max").unionByName(closed.select("_g", "_part", "_bin", "_n", "_min", "_max"))
+        wanted, shift = found.select("_g", "_i", "_rank", "_part"), lower
+    values = found.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_i", "_min"))).alias("_v"))
+    return totals.join(values, "_g").select(*[F.col("_g").getField(c).alias(c) for c in on], "n", "mean", F.col("_v._min").alias("values"))
+
+
+def percentile_summary(df: DataFrame, group: Sequence[str], column: str, probs: dict[str, float]) -> DataFrame:
+    """Count, mean and exact interpolated percentiles of an integer column per group."""
+
+    def ranks(n: Column) -> list[Column]:
+        return [side(F.lit(p) * (n - 1)) for p in probs.values() for side in (F.floor, F.ceil)]
+
+    found = rank_values(df, group, column, ranks)
+    for k, (name, p) in enumerate(probs.items()):
         rank = F.lit(p) * (F.col("n") - 1)
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        summary = summary.withColumn(name, low + (rank - F.floor(rank)) * (high - low))
-    return summary.drop(*[f"_{side}_{name}" for name in probs for side in ("lo", "hi")])
+        low, high = F.get("values", F.lit(2 * k)), F.get("values", F.lit(2 * k + 1))
+        found = found.withColumn(name, low + (rank - F.floor(rank)) * (high - low))
+    return found.drop("values")
 
 
 # fixed values: the order of the seven counters in a counter text

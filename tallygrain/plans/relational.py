@@ -502,7 +502,7 @@ from run_tx group by tx"""
 @query("percentile_summary", PERCENTILE_SQL)
 def percentile_summary(spark, sf):
     probs = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
-    summary = aggregates.percentile_summary(shape(spark, sf, "run_tx"), ["tx"], "cents", probs, width=256)
+    summary = aggregates.percentile_summary(shape(spark, sf, "run_tx"), ["tx"], "cents", probs)
     return summary.select("tx", "n", *[F.round(c, 4).alias(c) for c in ("mean", *probs)])
 
 

@@ -10,7 +10,7 @@ from tallygrain.registry import query
 from tallygrain.session import work_folder, written
 from tallygrain.shapes import shape
 from tallygrain.streaming import events as ev
-from tallygrain.streaming import log
+from tallygrain.streaming import late, log
 
 
 def _followed(spark, sf, build, keys, merge):
@@ -121,6 +121,31 @@ def late_events(spark, sf):
     return ev.late_report(waves, "1 day", "1 hour")
 
 
+HOUR, DAY = 3_600_000_000, 86_400_000_000  # microseconds
+WAVES = (("view", "signup"), ("click",), ("purchase", "error"))
+
+
+@query(
+    "late_rows",
+    """with waves as (select *, case when event_type in ('view', 'signup') then 0 when event_type = 'click' then 1 else 2 end as wave from events),
+            marks as (select w.wave, max(e.ts) - interval 1 day as mark from (values (1), (2)) w(wave) join waves e on e.wave < w.wave group by w.wave)
+       select event_id, event_type, user_id, wave from waves join marks using (wave)
+       where time_bucket(interval 1 hour, ts) + interval 1 hour <= mark""",
+)
+def late_rows(spark, sf):
+    """Three waves of events, the stream stopped after each; the rows that came behind a one-day watermark."""
+    folder = work_folder(spark, "late-rows")
+    events = shape(spark, sf, "events")
+    build = lambda batch: ev.throughput(batch, "1 hour")
+    for types in WAVES:
+        # one file a wave, so that it is one micro-batch
+        events.filter(F.col("event_type").isin(*types)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = ev.open_stream(spark, f"{folder}/in")
+        late.follow_late(stream, folder, "ts", HOUR, DAY, build, ["w", "event_type"], {"n": "sum"})
+    found = late.late_rows(spark, folder, stream.schema)
+    return found.select("event_id", "event_type", "user_id", F.col("batch").cast("int").alias("wave"))
+
+
 @query(
     "change_feed_apply",
     """select customer_id, cast(credit_cents + coalesce(d, 0) as bigint) as credit_cents from oe_customers left join (

@@ -196,15 +196,21 @@ def apply_batch(
             runs, gone = _merge_runs(spark, folder, id_col, [*runs, {"name": name, "level": 0, **made}], batch_id)
         batch = named.unionByName(alone)
     merged(build(batch), keys, merge).write.mode("overwrite").parquet(f"{folder}/delta/{batch_id}")
+    log, old = with_delta(spark, folder, keys, merge, manifest, batch_id)
+    write_manifest(spark, folder, manifest | log | {"batch": batch_id, "runs": runs})
+    delete_folders(spark, old + [f"{folder}/runs/{name}" for name in gone])
+
+
+def with_delta(
+    spark: SparkSession, folder: str, keys: Sequence[str], merge: Mapping[str, str], manifest: dict, batch_id: int
+) -> tuple[dict, list[str]]:
+    """The manifest's snapshot and tail with a delta that has been written, and the folders that are needed no more."""
     tail, snapshot = [*manifest["tail"], batch_id], manifest["snapshot"]
-    old: list[str] = [f"{folder}/runs/{name}" for name in gone]
-    if len(tail) >= TAIL:
-        state = read_state(spark, folder, keys, merge, manifest | {"tail": tail})
-        state.write.mode("overwrite").parquet(f"{folder}/snapshot/{batch_id}")
-        old += [f"{folder}/delta/{t}" for t in tail] + ([f"{folder}/snapshot/{snapshot}"] if snapshot is not None else [])
-        tail, snapshot = [], batch_id
-    write_manifest(spark, folder, manifest | {"batch": batch_id, "tail": tail, "snapshot": snapshot, "runs": runs})
-    delete_folders(spark, old)
+    if len(tail) < TAIL:
+        return {"tail": tail, "snapshot": snapshot}, []
+    state = read_state(spark, folder, keys, merge, manifest | {"tail": tail})
+    state.write.mode("overwrite").parquet(f"{folder}/snapshot/{batch_id}")
+    return {"tail": [], "snapshot": batch_id}, opened(folder, manifest | {"tail": tail})
 
 
 def opened(folder: str, manifest: dict) -> list[str]:

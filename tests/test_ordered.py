@@ -92,7 +92,7 @@ def test_percentiles_match_interpolation(data):
     import numpy as np
 
     probs = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p100": 1.0}
-    got = {r["k"]: r for r in aggregates.percentile_summary(data, ["k"], "v", probs, width=8).collect()}
+    got = {r["k"]: r for r in aggregates.percentile_summary(data, ["k"], "v", probs).collect()}
     for k, rs in groups().items():
         values = [v for _, v in rs]
         assert got[k]["n"] == len(values)
@@ -103,7 +103,7 @@ def test_percentiles_match_interpolation(data):
 
 def test_percentiles_skip_nulls(table):
     df = table([("a", 1), ("a", None), ("a", 3)], "k string, v long")
-    row = aggregates.percentile_summary(df, ["k"], "v", {"p50": 0.5}, width=8).collect()[0]
+    row = aggregates.percentile_summary(df, ["k"], "v", {"p50": 0.5}).collect()[0]
     assert (row["n"], row["p50"]) == (2, 2.0)
 
 
@@ -161,3 +161,39 @@ def test_queries_cut_at_splitters(spark, monkeypatch, key):
     monkeypatch.setattr(splitters, "with_block", lambda df, columns, *a, **k: used.append(columns) or plain(df, columns, *a, **k))
     queries()[key](spark, "/root/testdata/sf0.001").count()
     assert used
+
+
+@pytest.mark.parametrize("kind", ["small", "narrow", "all different", "whole range", "two ends", "one value", "negative"])
+def test_percentiles_by_radix_selection(table, kind):
+    import numpy as np
+
+    rnd = random.Random(6)
+    n = 3000
+    draw = {
+        "small": lambda i: rnd.randrange(5),
+        "narrow": lambda i: 10**12 + rnd.randrange(1000),
+        "all different": lambda i: i * 7_919_000_003 - 10**13,
+        "whole range": lambda i: rnd.randrange(-(2**62), 2**62),
+        "two ends": lambda i: rnd.choice([-(2**62), 2**62 - 1]) + rnd.randrange(3),
+        "one value": lambda i: 42,
+        "negative": lambda i: -rnd.randrange(1, 10**6),
+    }[kind]
+    data = [("hot" if i % 3 == 0 else None if i % 11 == 0 else f"k{i % 4}", draw(i)) for i in range(n)]
+    data += [("hot", None), ("empty", None), ("single", draw(1))]
+    seen = []
+    plain = aggregates._bins
+    aggregates._bins = lambda *a, **k: seen.append(1) or plain(*a, **k)
+    try:
+        got = aggregates.rank_values(table(data, "k string, v long"), ["k"], "v", lambda n: [F.lit(0), F.floor((n - 1) / 3), n - 1]).collect()
+    finally:
+        aggregates._bins = plain
+    want = defaultdict(list)
+    for k, v in data:
+        if v is not None:
+            want[k].append(v)
+    assert {r["k"] for r in got} == set(want)
+    for r in got:
+        values = sorted(want[r["k"]])
+        assert r["n"] == len(values) and r["mean"] == pytest.approx(np.mean(values), rel=1e-9, abs=1.0)
+        assert r["values"] == [values[0], values[int((len(values) - 1) / 3)], values[-1]]
+    assert len(seen) <= 4
