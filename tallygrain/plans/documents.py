@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrain.functions.scalars import as_array
-from tallygrain.operators import documents, joins, postings, predicates, topk
+from tallygrain.operators import documents, joins, postings, predicates, schemaless, topk
 from tallygrain.operators.aggregates import collect_chunks, collect_ordered, count_by
 from tallygrain.operators.ordered import block_of
 from tallygrain.plans.relational import SHARE_SQL, title_index
 from tallygrain.registry import query
-from tallygrain.session import written
+from tallygrain.session import work_folder, written
 from tallygrain.shapes import shape
 
 ROWS = 256  # elements per chunk of a document array
@@ -556,3 +556,92 @@ def movie_add_review(spark, sf):
         F.max(F.struct("year", (-F.col("movie_id")).alias("_m"))).alias("_top")
     ).select("word", (-F.col("_top._m")).alias("movie_id"))
     return joins.split_join(reviews, newest, ["word"]).drop("word")
+
+
+# --- documents without a schema -------------------------------------------------------------
+def _mixed_collection(spark, sf) -> DataFrame:
+    """Passengers as JSON lines: flights absent without an order, one object for one flight, else an array."""
+    customers, orders = shape(spark, sf, "oe_customers"), shape(spark, sf, "oe_orders")
+    flights = orders.select("customer_id", "order_id", F.unix_date("order_date").cast("long").alias("day"), "order_mode")
+    # an ordinary passenger's flights; documents of any length are in chunks (document_scan)
+    lists = collect_ordered(flights, ["customer_id"], ["day", "order_id"], ["day", "order_mode"], "flights", rows=ROWS)
+    rows = customers.join(lists, "customer_id", "left")
+    flight = lambda f: F.to_json(F.struct(f["day"].alias("FlightDate"), f["order_mode"].alias("Airport")))
+    many = F.concat(F.lit("["), F.array_join(F.transform("flights", flight), ","), F.lit("]"))
+    history = F.when(F.size("flights") == 1, flight(F.get("flights", F.lit(0)))).otherwise(many)
+    head = F.to_json(
+        F.struct(
+            F.col("customer_id").alias("PassengerId"),
+            F.struct(F.col("cust_first_name").alias("First"), F.col("cust_last_name").alias("Last")).alias("Name"),
+            F.col("country_code").alias("Country"),
+            F.coalesce("chunk", F.lit(0).cast("long")).alias("part"),
+        )
+    )
+    tail = F.when(F.col("flights").isNull(), "}").otherwise(F.concat(F.lit(',"FlightHistory":'), history, F.lit("}")))
+    path = work_folder(spark, "mixed")
+    rows.select(F.concat(F.substr(head, F.lit(1), F.length(head) - 1), tail).alias("value")).write.text(path)
+    return schemaless.read_variants(spark, path)
+
+
+@query(
+    "schemaless_scan",
+    """select c.customer_id as passenger_id, c.cust_first_name as first_name, count(o.order_id) as flights,
+              arg_min(o.order_mode, strftime(o.order_date, '%Y%m%d') || lpad(o.order_id::varchar, 20, '0')) as first_airport
+       from oe_customers c left join oe_orders o using (customer_id) group by all""",
+)
+def schemaless_scan(spark, sf):
+    """Flights of every passenger from a collection whose fields are absent, single or arrays, no schema given."""
+    docs = _mixed_collection(spark, sf)
+    flights = schemaless.elements("doc", "$.FlightHistory")
+    read = docs.select(
+        schemaless.typed("doc", "$.PassengerId", "bigint").alias("passenger_id"),
+        schemaless.typed("doc", "$.Name.First", "string").alias("first_name"),
+        schemaless.typed("doc", "$.part", "bigint").alias("part"),
+        F.size(flights).alias("n"),
+        schemaless.typed(F.get(flights, F.lit(0)), "$.Airport", "string").alias("airport"),
+    )
+    return read.groupBy("passenger_id", "first_name").agg(
+        F.sum("n").alias("flights"), F.min_by("airport", "part").alias("first_airport")
+    )
+
+
+@query(
+    "schemaless_example",
+    """select customer_id, cust_first_name, country_code from oe_customers
+       where cust_first_name = 'MACHINERY' and country_code = 'NATION_3'""",
+)
+def schemaless_example(spark, sf):
+    """Passengers that look like an example document, fields of its own type only."""
+    docs = _mixed_collection(spark, sf).filter(schemaless.typed("doc", "$.part", "bigint") == 0)
+    found = docs.filter(schemaless.matches("doc", {"Name": {"First": "MACHINERY"}, "Country": "NATION_3"}))
+    return found.select(
+        schemaless.typed("doc", "$.PassengerId", "bigint").alias("customer_id"),
+        schemaless.typed("doc", "$.Name.First", "string").alias("cust_first_name"),
+        schemaless.typed("doc", "$.Country", "string").alias("country_code"),
+    )
+
+
+@query(
+    "schemaless_fields",
+    """with k as (select c.customer_id, count(o.order_id) as n from oe_customers c left join oe_orders o using (customer_id) group by 1),
+            parts as (select n, unnest(range(greatest(1, (n + 255) // 256))) as part from k),
+            lens as (select case when n = 0 then 0 else least(256, n - part * 256) end as m from parts)
+       select 'PassengerId' as field, 'BIGINT' as kind, count(*) as n from lens
+       union all select 'Name', 'OBJECT', count(*) from lens
+       union all select 'Country', 'STRING', count(*) from lens
+       union all select 'part', 'BIGINT', count(*) from lens
+       union all select 'FlightHistory', case when m = 1 then 'OBJECT' else 'ARRAY' end, count(*) from lens where m > 0 group by 2""",
+)
+def schemaless_fields(spark, sf):
+    """Which fields the collection has, and of which types, found by aggregation."""
+    return schemaless.fields_of(_mixed_collection(spark, sf))
+
+
+@query(
+    "schemaless_path",
+    "select event_id, cast(props->>'$.k' as bigint) as k, cast(props->>'$.missing' as bigint) as missing from events",
+)
+def schemaless_path(spark, sf):
+    """Typed values by path from a shredded collection: the field that all documents have is a column."""
+    events = shape(spark, sf, "events").select("event_id", F.try_parse_json("props").alias("doc"))
+    return schemaless.shred(events).select("event_id", "k", schemaless.typed("doc", "$.missing", "bigint").alias("missing"))
