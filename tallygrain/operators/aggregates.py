@@ -82,7 +82,7 @@ def collect_ordered(
     return collect_chunks(placed, keys, "_place", fields, out, rows)
 
 
-RADIX = 18  # leading bits that one pass tells apart
+RADIX = 20  # leading bits that one pass tells apart
 
 
 def _bins(df: DataFrame, group: Sequence[str], column: str, shift: Column | int, extra: Sequence[str] = ()) -> DataFrame:
@@ -111,20 +111,23 @@ def rank_values(df: DataFrame, group: Sequence[str], column: str, ranks: Callabl
     # null groups meet each other
     keyed = df.filter(F.col(column).isNotNull()).withColumn("_g", F.struct(*on))
     shift = 64 - RADIX
-    bins = written(_bins(keyed, ["_g"], column, shift), "bins")
+    # used for the totals and for the ranks: one shuffle serves both
+    bins = _bins(keyed, ["_g"], column, shift)
     totals = bins.groupBy("_g").agg(F.sum("_n").alias("n"), (F.sum("_sum").cast("double") / F.sum("_n")).alias("mean"))
-    wanted = totals.select("_g", F.posexplode(F.array(*[r.cast("long") for r in ranks(F.col("n"))])).alias("_i", "_rank"))
+    wanted = totals.select("_g", "n", "mean", F.posexplode(F.array(*[r.cast("long") for r in ranks(F.col("n"))])).alias("_i", "_rank"))
     # rank inside the part of the values that is still looked at, and that part (all, at first)
     wanted = wanted.withColumn("_part", F.lit(None).cast("long"))
     bins = bins.withColumn("_part", F.lit(None).cast("long"))
     while True:
         inside = W.partitionBy("_g", "_part").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
         # 2 ** RADIX bins of a part at most
-        placed = bins.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-        met = wanted.withColumnRenamed("_part", "_of").join(placed.withColumnRenamed("_g", "_h"), (F.col("_g") == F.col("_h")) & F.col("_of").eqNullSafe(F.col("_part")))
+        placed = bins.select("_g", "_part", "_bin", "_n", "_min", "_max").withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+        placed = placed.withColumnRenamed("_g", "_h")
+        same = (F.col("_g") == F.col("_h")) & F.col("_of").eqNullSafe(F.col("_part"))
+        met = wanted.withColumnRenamed("_part", "_of").join(placed, same)
         met = met.filter((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
         found = written(
-            met.select("_g", "_i", (F.col("_rank") - F.col("_before")).alias("_rank"), F.col("_bin").alias("_part"), "_min", "_max"), "ranked"
+            met.select("_g", "n", "mean", "_i", (F.col("_rank") - F.col("_before")).alias("_rank"), F.col("_bin").alias("_part"), "_min", "_max"), "ranked"
         )
         # bits that differ in the widest bin that is still open
         differing = F.when(F.col("_min") != F.col("_max"), F.length(F.bin(F.col("_min").bitwiseXOR(F.col("_max")))))
@@ -142,9 +145,9 @@ def rank_values(df: DataFrame, group: Sequence[str], column: str, ranks: Callabl
         closed = done.select("_g", F.col("_part"), F.call_function("shiftright", "_min", F.lit(lower)).alias("_bin"), "_min", "_max", "_rank")
         closed = closed.groupBy("_g", "_part", "_bin", "_min", "_max").agg((F.max("_rank") + 1).alias("_n"))
         bins = bins.select("_g", "_part", "_bin", "_n", "_min", "_max").unionByName(closed.select("_g", "_part", "_bin", "_n", "_min", "_max"))
-        wanted, shift = found.select("_g", "_i", "_rank", "_part"), lower
-    values = found.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_i", "_min"))).alias("_v"))
-    return totals.join(values, "_g").select(*[F.col("_g").getField(c).alias(c) for c in on], "n", "mean", F.col("_v._min").alias("values"))
+        wanted, shift = found.select("_g", "n", "mean", "_i", "_rank", "_part"), lower
+    values = found.groupBy("_g", "n", "mean").agg(F.array_sort(F.collect_list(F.struct("_i", "_min"))).alias("_v"))
+    return values.select(*[F.col("_g").getField(c).alias(c) for c in on], "n", "mean", F.col("_v._min").alias("values"))
 
 
 def percentile_summary(df: DataFrame, group: Sequence[str], column: str, probs: dict[str, float]) -> DataFrame:

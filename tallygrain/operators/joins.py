@@ -139,13 +139,15 @@ def range_join(
         raise ValueError("inner or left")
     # cells first: a scalar subquery, which ``cell`` may be, cannot stand inside a lambda function
     listed_under = ranges.withColumns({"_first": block_of(low, cell), "_last": block_of(high, cell)})
-    pieces = listed_under.select(*ranges.columns, F.inline(dyadic_pieces(F.col("_first"), F.col("_last"))).alias("_level", "_place"))
     if most_cells is not None and most_cells <= SHORT_CELLS:
         cells = F.sequence(F.col("_first"), F.col("_last"))
         listed = F.explode(F.when(F.col("_first") <= F.col("_last"), cells)).alias("_place")
         pieces = listed_under.select(*ranges.columns, F.lit(0).alias("_level"), listed)
         probes = points.withColumns({"_level": F.lit(0), "_place": block_of(at, cell)})
     else:
+        pieces = listed_under.select(
+            *ranges.columns, F.inline(dyadic_pieces(F.col("_first"), F.col("_last"))).alias("_level", "_place")
+        )
         # 63 levels at most
         levels = pieces.agg(F.array_sort(F.collect_set("_level"))).scalar()
         probes = points.withColumn("_level", F.explode(levels)).withColumn(

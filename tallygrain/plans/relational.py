@@ -226,18 +226,12 @@ MINUTES_5 = 300_000_000  # microseconds
 
 def _intervals(points, at: str):
     """Five-minute intervals, closed at both ends, from the day of the first point to the last point."""
-    bounds = points.agg(F.min(at).alias("first"), F.max(at).alias("last"))
-    day = F.lit(86_400_000_000)
-    start = F.col("first") - F.pmod("first", day)
-    last = F.floor((F.col("last") - start) / MINUTES_5)
-    # in two steps, so that no row holds all of them
-    many = F.lit(1024).cast("long")
-    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last_no") / many)))
-    rows = bounds.select(start.alias("start"), last.alias("last_no")).select("start", "last_no", runs.alias("run"))
-    own = F.sequence(F.col("run") * many, F.least(F.col("last_no"), F.col("run") * many + many - 1))
-    numbered = rows.select("start", F.explode(own).alias("interval_no"))
-    low = F.col("start") + F.col("interval_no") * MINUTES_5
-    return numbered.select("interval_no", low.alias("low"), (low + MINUTES_5).alias("high"))
+    first, last = points.agg(F.min(at), F.max(at)).first()
+    start = 0 if first is None else first - first % 86_400_000_000
+    # as a range: no row holds all of them, and the planner knows how many they are
+    numbered = points.sparkSession.range(0 if first is None else (last - start) // MINUTES_5 + 1)
+    low = F.col("id") * MINUTES_5 + start
+    return numbered.select(F.col("id").alias("interval_no"), low.alias("low"), (low + MINUTES_5).alias("high"))
 
 
 def _micros(column: str):
