@@ -32,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from tallygrain.llm.common import expand, slices, table
 from tallygrain.llm.registry import query
@@ -42,9 +42,10 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 BLOCK_IDS = 1 << 16
 PIECE_BYTES = 8 << 20
-CACHE_WORDS = 600_000  # words remembered in a worker, and those of one slice
-CHECK_EVERY = 64  # every 64th text of a slice goes through the library too
+CACHE_WORDS = 400_000  # words remembered in a worker, and those of one slice
+CHECK_EVERY = 128  # every 128th text of a slice goes through the library too
 JOINED_WORDS = 500
+PROBE = "a the word thing strengths internationalization zzzz qxj abcdefghijklmnopqrstuvwxyz naïve über señor straße"
 HEAD = struct.Struct("<4sHHIQ")
 MAGIC, VERSION = b"TGPK", 1
 
@@ -89,6 +90,7 @@ class WordEncoder:
         apart = self._plain(["one two\nthree"])[0] == sum(self._plain(["one", "two", "three"]), [])
         same = self._plain(["ABÇ"]) == self._plain(["abç"])
         self.simple = words and same and all(self.ends[x[-1]] for x in got)
+        self.bare = self._bare()
         if not apart:
             raise ValueError("a tokenizer that joins characters across white space")
         # the words known, and of each where its ids begin in ``flat`` and how many they are
@@ -98,12 +100,24 @@ class WordEncoder:
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _bare(self) -> Tokenizer:
+        """The library without what lower-case letters do not need: its merges behind a cut at spaces.
+
+        Taken if it gives the same ids for a probe of such words; else the library as it is.
+        """
+        bare = Tokenizer(self.library.model)
+        steps = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        bare.pre_tokenizer = pre_tokenizers.Sequence(steps)
+        probe = " ".join([*PROBE.split(), *(chr(c) * 2 + "a" for c in range(0xDF, 0x250) if chr(c).islower())])
+        same = bare.encode(probe, add_special_tokens=False).ids == self._plain([probe])[0]
+        return bare if same else self.library
+
     def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of lower-case words of letters, and how many each has: the ends of words are seen by their marks."""
         groups = [words[i : i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
         ids, counts = [], []
-        for group, found in zip(groups, self._plain([" ".join(g) for g in groups])):
-            found = np.array(found, np.uint32)
+        for group, found in zip(groups, self.bare.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            found = np.array(found.ids, np.uint32)
             stops = np.flatnonzero(self.ends[found]) + 1
             if len(stops) != len(group) or stops[-1] != len(found):
                 found, own = self._any(group)
@@ -148,7 +162,7 @@ class WordEncoder:
         missing = words.take(pa.array(new))
         plain = np.asarray(pc.match_substring_regex(missing, SIMPLE), bool) if self.simple else np.zeros(len(new), bool)
         letters = missing.filter(pa.array(plain))
-        base = pc.utf8_rtrim(pc.ascii_lower(letters), ".,").dictionary_encode()
+        base = pc.utf8_rtrim(pc.utf8_lower(letters), ".,").dictionary_encode()
         base_at, unknown = self._known(base.dictionary)
         if len(unknown):
             fresh_words = base.dictionary.take(pa.array(unknown))
@@ -168,8 +182,9 @@ class WordEncoder:
                 has = np.asarray(pc.equal(tails, t), bool)
                 pairs[has, 1] += start
                 sizes[has, 1] = len(own)
-            itself, left = self._known(letters)
-            where = itself
+            # a word that is its own base is known by now
+            where = of_base.copy()
+            left = np.flatnonzero(~np.asarray(pc.equal(letters, base.dictionary.take(base.indices)), bool))
             if len(left):
                 taken = flat[expand(sizes[left].ravel(), pairs[left].ravel())]
                 where[left] = self._learn(letters.take(pa.array(left)), taken, sizes[left].sum(axis=1))
