@@ -2,10 +2,13 @@
 
 A token's ids are sorted and cut into chunks of bounded size, each a row with
 its first id and the differences from it; so a token that stands in a third of
-all rows is many rows. Rows are put in the order of their tokens and stored in
-parts of about equal size (``operators/splitters.py``), a folder each, with a
-small directory of the first and last token of every part. A term, or a prefix
-of one, opens the few parts that can hold it.
+all rows is many rows. Tables are cut into blocks of ids first, and a token's
+ids are gathered block by block: pairs of token and id are shuffled once, after
+each task has gathered its own, and no group is larger than a block. Chunks are
+put in the order of their tokens and stored in parts of about equal size
+(``operators/splitters.py``), a folder each, with a small directory of the
+first and last token of every part. A term, or a prefix of one, opens the few
+parts that can hold it.
 
 Searches are answered in batches. The postings of all their terms are merged by
 id: a row is found if it is in the lists of all terms (``&``) or of any (``|``).
@@ -22,13 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrain.operators import splitters
-from tallygrain.operators.ordered import block_of, position
 from tallygrain.session import work_folder, written
 
 CHUNK = 4096  # ids of a row
-ROWS_A_PART = 1024
+IDS_A_BLOCK = 1 << 17  # a token's ids of one block are gathered at a time
+ROWS_A_PART = 4096
 MOST_TERMS = 62  # of one search
-FIELDS = "token string, chunk long, first long, gaps array<bigint>, part int"
+FIELDS = "token string, first long, gaps array<bigint>, part int"
 
 
 class Wanted(NamedTuple):
@@ -96,18 +99,21 @@ class Index(NamedTuple):
 def build(df: DataFrame, id_col: str, tokens: Column, label: str = "index", chunk: int = CHUNK) -> Index:
     """Store an index of ``tokens`` (an array of texts; null and empty ones are left out) under ``id_col``, a whole number."""
     spark = df.sparkSession
-    pairs = df.select(F.col(id_col).cast("long").alias("id"), F.explode(F.array_distinct(tokens)).alias("token"))
-    pairs = written(pairs.filter("id is not null and token != ''").distinct(), f"{label}-pairs")
-    placed = position(pairs, ["token"], ["id"], "_n", None).withColumn("_n", F.col("_n") - 1)
-    lists = placed.groupBy("token", block_of("_n", chunk).alias("chunk")).agg(
-        F.min("id").alias("first"), F.array_sort(F.collect_list("id")).alias("ids")
-    )
-    rows = lists.select("token", "chunk", "first", F.transform("ids", lambda x: x - F.col("first")).alias("gaps"))
-    rows = splitters.with_block(written(rows, f"{label}-rows"), ["token", "chunk"], "part", ROWS_A_PART)
+    listed = df.select(F.col(id_col).cast("long").alias("id"), tokens.alias("tokens")).filter("id is not null")
+    # blocks are found for rows, which are few, and not for each of their tokens
+    blocked = splitters.with_block(listed, ["id"], "block", IDS_A_BLOCK)
+    pairs = blocked.select("id", "block", F.explode(F.array_distinct("tokens")).alias("token")).filter("token != ''")
+    lists = pairs.groupBy("token", "block").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    starts = F.sequence(F.lit(1), F.size("ids"), F.lit(chunk))
+    chunks = lists.select("token", F.explode(F.transform(starts, lambda at: F.slice("ids", at, chunk))).alias("ids"))
+    chunks = chunks.select("token", F.get("ids", F.lit(0)).alias("first"), "ids")
+    rows = chunks.select("token", "first", F.transform("ids", lambda x: x - F.col("first")).alias("gaps"))
+    rows = splitters.with_block(written(rows, f"{label}-rows"), ["token", "first"], "part", ROWS_A_PART)
     path = work_folder(spark, label)
-    rows.repartition("part").sortWithinPartitions("part", "token", "chunk").write.partitionBy("part").parquet(path)
+    rows.repartition("part").sortWithinPartitions("part", "token", "first").write.partitionBy("part").parquet(path)
     # a row a part, and parts are bounded in number
-    bounds = rows.groupBy("part").agg(F.min("token").alias("low"), F.max("token").alias("high"))
+    stored = spark.read.schema(FIELDS).parquet(path)
+    bounds = stored.groupBy("part").agg(F.min("token").alias("low"), F.max("token").alias("high"))
     return Index(spark, path, sorted((r["part"], r["low"], r["high"]) for r in bounds.collect()))
 
 

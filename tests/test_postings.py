@@ -117,6 +117,36 @@ def test_index_of_nothing(spark, table):
     assert made.parts == [] and made.search({"s": (["a*"], "|")}).count() == 0
 
 
+def test_only_rows_and_chunks_are_placed_not_their_tokens(spark, table, monkeypatch):
+    # placing a row among cut points is the dearest step; 120 texts of 40 words are 4,800 pairs
+    placed, plain_block = [], splitters.with_block
+
+    def spy(df, *args, **more):
+        placed.append(df.count())
+        return plain_block(df, *args, **more)
+
+    monkeypatch.setattr(splitters, "with_block", spy)
+    made = postings.build(table([(i, " ".join(WORDS[:40])) for i in range(120)], "id long, text string"), "id", postings.letter_tokens("text"), "p")
+    chunks = spark.read.schema(postings.FIELDS).parquet(made.path).count()
+    assert sum(placed) <= 120 + chunks and made.search({"s": (["ba*"], "&")}).count() == 120
+
+
+def test_ids_of_several_blocks(spark, table, monkeypatch):
+    # far apart, below 0, and in rows that come twice under other texts
+    monkeypatch.setattr(postings, "IDS_A_BLOCK", 32)
+    ids = [i * 10**12 for i in range(-400, 400)] + list(range(1, 200))
+    given = [(i, "hot bane") for i in ids] + [(i, "Bane, hot; gux") for i in ids[::3]] + [(None, "hot")]
+    made = postings.build(table(given, "id long, text string"), "id", postings.letter_tokens("text"), "b", chunk=20)
+    found = made.search({"hot": (["hot"], "&"), "gux": (["gu*"], "&")}).collect()
+    assert sorted(r["id"] for r in found if r["search"] == "hot") == sorted(ids)
+    assert sorted(r["id"] for r in found if r["search"] == "gux") == sorted(ids[::3])
+    # each id stands once, in chunks that follow one another
+    spans = F.col("first").alias("low"), (F.col("first") + F.element_at("gaps", -1)).alias("high"), F.size("gaps").alias("n")
+    stored = spark.read.schema(postings.FIELDS).parquet(made.path).filter("token = 'hot'").select(*spans).orderBy("low").collect()
+    assert len(stored) > 50 and sum(r["n"] for r in stored) == len(ids) and max(r["n"] for r in stored) <= 20
+    assert all(a["high"] < b["low"] for a, b in zip(stored, stored[1:]))
+
+
 @pytest.mark.parametrize("key,term", [("prefix_text_search", "aile*"), ("movie_by_name", "eauo*")])
 def test_queries_find_what_the_scan_finds(spark, key, term):
     from __spark_entry__ import queries
