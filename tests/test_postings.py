@@ -157,3 +157,19 @@ def test_queries_find_what_the_scan_finds(spark, key, term):
     got = [r["movie_id"] for r in queries()[key](spark, sf).collect()]
     scan = predicates.text_prefix_search(shape(spark, sf, "movies"), "title", term, _newest(), 16)
     assert got == [r["movie_id"] for r in scan.collect()]
+
+
+@pytest.mark.parametrize("key,word", [("movie_by_actor", "aile")])
+def test_movie_queries_place_rows_and_chunks_only(spark, tmp_path, monkeypatch, key, word):
+    from __spark_entry__ import queries
+
+    texts = [(i, " ".join(WORDS[:60] + [f"{word}, end", "x", f"{word}s"][i % 3 : i % 3 + 1])) for i in range(150)] + [(150, None)]
+    documents = spark.createDataFrame([(i, t, "en", "src0", 9) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    placed, plain_block = [], splitters.with_block
+    monkeypatch.setattr(splitters, "with_block", lambda df, *args, **more: placed.append(df.count()) or plain_block(df, *args, **more))
+    got = [(r["movie_id"], r["year"]) for r in queries()[key](spark, str(tmp_path)).collect()]
+    hits = {0} if key == "movie_by_actor" else {0, 2}
+    want = sorted(((i, 1990 + i % 35) for i, t in texts if t and i % 3 in hits), key=lambda m: (-m[1], m[0]))
+    # 9,100 pairs of a text and a word; about 60 words, a chunk each
+    assert got == want[:16] and len(placed) == 2 and sum(placed) < 400
