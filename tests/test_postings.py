@@ -159,7 +159,7 @@ def test_queries_find_what_the_scan_finds(spark, key, term):
     assert got == [r["movie_id"] for r in scan.collect()]
 
 
-@pytest.mark.parametrize("key,word", [("movie_by_actor", "aile")])
+@pytest.mark.parametrize("key,word", [("movie_by_actor", "aile"), ("movie_by_name", "eauo")])
 def test_movie_queries_place_rows_and_chunks_only(spark, tmp_path, monkeypatch, key, word):
     from __spark_entry__ import queries
 
