@@ -29,7 +29,7 @@ from tallygrain.session import work_folder, written
 
 CHUNK = 4096  # ids of a row
 IDS_A_BLOCK = 1 << 17  # a token's ids of one block are gathered at a time
-ROWS_A_PART = 4096
+ROWS_A_PART = 1 << 15  # a file each: a few MB, as most rows hold one id
 MOST_TERMS = 62  # of one search
 FIELDS = "token string, first long, gaps array<bigint>, part int"
 

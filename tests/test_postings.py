@@ -173,3 +173,19 @@ def test_movie_queries_place_rows_and_chunks_only(spark, tmp_path, monkeypatch,
     want = sorted(((i, 1990 + i % 35) for i, t in texts if t and i % 3 in hits), key=lambda m: (-m[1], m[0]))
     # 9,100 pairs of a text and a word; about 60 words, a chunk each
     assert got == want[:16] and len(placed) == 2 and sum(placed) < 400
+
+
+@pytest.mark.parametrize("key,index_name,word", [("movie_by_actor", "casts", "aile")])
+def test_movie_indexes_of_many_rare_words_are_few_files(spark, tmp_path, key, index_name, word):
+    from __spark_entry__ import queries
+
+    # 40,000 words, each in one text, as names and misspellings are: 10 folders of 4,096 rows
+    letters = str.maketrans("0123456789", "bcdfghjkmn")
+    texts = [(i, " ".join(str(i * 100 + j).translate(letters) for j in range(100)) + (f" {word}" if i % 40 == 0 else "")) for i in range(400)]
+    documents = spark.createDataFrame([(i, t, "en", "src0", 9) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["movie_id"], r["year"]) for r in queries()[key](spark, str(tmp_path)).collect()]
+    assert got == sorted(((i, 1990 + i % 35) for i in range(0, 400, 40)), key=lambda m: (-m[1], m[0]))
+    index = postings.index_of(spark, str(tmp_path), index_name, None)
+    assert 0 < len(index.parts) <= 3
+    assert spark.read.schema(postings.FIELDS).parquet(index.path).count() == 40_001
