@@ -175,7 +175,7 @@ def test_movie_queries_place_rows_and_chunks_only(spark, tmp_path, monkeypatch,
     assert got == want[:16] and len(placed) == 2 and sum(placed) < 400
 
 
-@pytest.mark.parametrize("key,index_name,word", [("movie_by_actor", "casts", "aile")])
+@pytest.mark.parametrize("key,index_name,word", [("movie_by_actor", "casts", "aile"), ("movie_by_name", "titles", "eauo")])
 def test_movie_indexes_of_many_rare_words_are_few_files(spark, tmp_path, key, index_name, word):
     from __spark_entry__ import queries
 
